@@ -1,0 +1,142 @@
+"""Problem 6: deeply nested records as flat tables with parent-child links.
+
+Adjacency-table shredding: every node of a record's tree becomes one row (node, parent, label, ordinal, scalar), level by
+level with the variant functions, whatever the depth or the fields; entity tables are then made from the adjacency table
+alone, by joining object nodes with their scalar children and pivoting these into columns.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from corvane.session import cut
+
+#: Levels below the root that are shredded; deeper containers stay as JSON text in their node's scalar.
+MAX_DEPTH = 12
+
+
+def _kind(v: str) -> Column:
+    return F.expr(f"""CASE WHEN {v} IS NULL OR is_variant_null({v}) THEN 'null'
+        WHEN schema_of_variant({v}) LIKE 'ARRAY%' THEN 'array' WHEN schema_of_variant({v}) LIKE 'OBJECT%' THEN 'object' ELSE 'scalar' END""")
+
+
+def _node(df: DataFrame, json_text_labels: tuple[str, ...]) -> DataFrame:
+    """Adds kind and scalar. Text under one of ``json_text_labels`` that is a JSON list or object counts as that."""
+    if json_text_labels:
+        text = F.expr("try_variant_get(v, '$', 'string')")
+        hidden = F.when(
+            F.col("label").isin(*json_text_labels) & text.rlike(r"^\s*[\[{]"), F.expr("try_parse_json(try_variant_get(v, '$', 'string'))")
+        )
+        df = df.withColumn("v", F.coalesce(hidden, F.col("v")))
+    return df.withColumn("kind", _kind("v")).withColumn("scalar", F.when(F.col("kind") == "scalar", F.expr("try_variant_get(v, '$', 'string')")))
+
+
+def adjacency(df: DataFrame, key: str, value: Column, json_text_labels: tuple[str, ...] = ()) -> DataFrame:
+    """(record, node, parent, label, ordinal, kind, scalar) of every node of ``value``, a variant column.
+
+    node is the path of positions from the root ('' is the root, '3.0' the first child of the root's fourth child),
+    label the field's name (null for elements of a list), ordinal the position in the list or object, kind object,
+    array, scalar or null. Records without a key are left out; null values (missing or unparseable payloads) give no
+    node. Elements that are null are nodes of kind null, so positions count all elements as stored. The table is
+    written once to the checkpoint folder; each level is read from the one above.
+    """
+    level = _node(
+        df.where(F.col(key).isNotNull()).select(
+            F.col(key).alias("record"), F.lit("").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("label"), F.lit(0).alias("ordinal"), value.alias("v")
+        ).where(F.col("v").isNotNull()),
+        json_text_labels,
+    )
+    shape = ["record", "node", "parent", "label", "ordinal", "kind", "scalar"]
+    tables = []
+    for depth in range(MAX_DEPTH + 1):
+        level = cut(level)
+        tables.append(level.select(*shape))
+        containers = level.where(F.col("kind").isin("array", "object"))
+        if depth == MAX_DEPTH or containers.isEmpty():
+            break
+        containers.createOrReplaceTempView("corvane_containers")
+        children = df.sparkSession.sql(
+            """SELECT c.record, concat(c.node, CASE WHEN c.node = '' THEN '' ELSE '.' END, x.pos) AS node, c.node AS parent,
+                      x.key AS label, x.pos AS ordinal, x.value AS v
+               FROM corvane_containers c, LATERAL variant_explode(c.v) AS x"""
+        )
+        level = _node(children, json_text_labels)
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def children(nodes: DataFrame, parents: DataFrame, label: str, keep: list[str], position: str) -> DataFrame:
+    """The elements of the list under field ``label`` of the object nodes ``parents`` (record, node and ``keep``).
+
+    A lone object or scalar counts as a list of one. Elements that are null are left out, but count in ``position``.
+    """
+    field = nodes.where(F.col("label") == label).select("record", F.col("node").alias("list"), F.col("parent").alias("owner"), "kind", "scalar")
+    owners = parents.select("record", F.col("node").alias("owner"), *keep)
+    lists = owners.join(field, ["record", "owner"])
+    many = lists.where(F.col("kind") == "array").drop("kind", "scalar").join(
+        nodes.select("record", F.col("parent").alias("list"), "node", F.col("ordinal").alias(position), "kind", "scalar"), ["record", "list"]
+    )
+    lone = lists.where(F.col("kind").isin("object", "scalar")).select("record", *keep, F.col("list").alias("node"), F.lit(0).alias(position), "kind", "scalar")
+    return many.select("record", *keep, "node", position, "kind", "scalar").unionByName(lone).where(F.col("kind") != "null")
+
+
+def entity(nodes: DataFrame, objects: DataFrame, keep: list[str], fields: list[str]) -> DataFrame:
+    """Object nodes with their scalar children pivoted into columns ``fields``; a missing or nested field is null."""
+    scalars = nodes.where(F.col("kind") == "scalar").where(F.col("label").isin(*fields)).select("record", F.col("parent").alias("node"), "label", "scalar")
+    wide = objects.where(F.col("kind") == "object").select("record", "node", *keep).join(scalars, ["record", "node"], "left")
+    picks = [F.max(F.when(F.col("label") == f, F.col("scalar"))).alias(f) for f in fields]
+    return wide.groupBy("record", "node", *keep).agg(*picks)
+
+
+def batch_nodes(batches: DataFrame) -> DataFrame:
+    """The adjacency table of batch_result."""
+    return adjacency(batches, "batch_id", F.expr("to_variant_object(batch_result)"))
+
+
+def payload_nodes(results: DataFrame) -> DataFrame:
+    """The adjacency table of payload; a payload that can't be parsed as a whole gives no node."""
+    return adjacency(results, "record_id", F.expr("try_parse_json(payload)"), json_text_labels=("theories", "key_concepts"))
+
+
+def _root(nodes: DataFrame) -> DataFrame:
+    return nodes.where((F.col("node") == "") & (F.col("kind") == "object"))
+
+
+def subcluster_tables(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sub-clusters with their scalar fields, theory ids): linked by record and sub_pos."""
+    subs = children(nodes, _root(nodes), "subclusters", [], "sub_pos")
+    table = entity(nodes, subs, ["sub_pos"], ["subcluster_name", "mechanism_focus", "theory_count", "status", "warning_reason"])
+    ids = children(nodes, subs, "theory_ids", ["sub_pos"], "id_pos").where((F.col("kind") == "scalar") & (F.trim("scalar") != ""))
+    return table.drop("node"), ids.select("record", "sub_pos", "id_pos", F.col("scalar").alias("theory_id"))
+
+
+def theory_tables(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(theories with their scalar fields, key concepts): linked by record and theory_pos.
+
+    A concept stored as a bare string is its own text; concepts without text give no row.
+    """
+    theories = children(nodes, _root(nodes), "theories", [], "theory_pos")
+    table = entity(nodes, theories, ["theory_pos"], ["name", "mode", "evidence", "confidence_is_theory", "paper_focus"])
+    concepts = children(nodes, theories.where(F.col("kind") == "object"), "key_concepts", ["theory_pos"], "concept_pos")
+    objects = entity(nodes, concepts, ["theory_pos", "concept_pos"], ["concept", "description"]).drop("node")
+    bare = concepts.where(F.col("kind") == "scalar").select(
+        "record", "theory_pos", "concept_pos", F.col("scalar").alias("concept"), F.lit(None).cast("string").alias("description")
+    )
+    both = objects.unionByName(bare).where(F.trim(F.coalesce(F.col("concept"), F.lit(""))) != "")
+    return table.drop("node"), both
+
+
+def shred_found(batches: DataFrame, results: DataFrame) -> DataFrame:
+    """(table_name, record_key, parent_pos, child_pos, child_key): one row per theory id and per key concept."""
+    ids = subcluster_tables(batch_nodes(batches))[1]
+    concepts = theory_tables(payload_nodes(results))[1]
+    return ids.select(
+        F.lit("stage6_batches").alias("table_name"), F.col("record").alias("record_key"), F.col("sub_pos").cast("int").alias("parent_pos"), F.col("id_pos").cast("int").alias("child_pos"), F.col("theory_id").alias("child_key")
+    ).unionByName(
+        concepts.select(
+            F.lit("extraction_results").alias("table_name"), F.col("record").alias("record_key"), F.col("theory_pos").cast("int").alias("parent_pos"), F.col("concept_pos").cast("int").alias("child_pos"), F.col("concept").alias("child_key")
+        )
+    )
