@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import copies, sampling, shred
+from corvane.llm import canonical, copies, sampling, shred
 from corvane.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,19 @@ def p1_theory_groups(spark: SparkSession, d: str) -> DataFrame:
     return copies.theory_copies(table(spark, d, "theories")).groups.select("first_key", "copies", "spellings")
 
 
+# ---- problem 4
+
+
+@query()
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.names_found(table(spark, d, "theory_entries"), table(spark, d, "ontology"))
+
+
+@query()
+def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.unmatched(table(spark, d, "theory_entries"), table(spark, d, "ontology"))
+
+
 # ---- problem 5
 
 SAMPLE = """WITH u AS (SELECT {unit} AS unit, strftime(min(ingested_at), '%Y-%m-%d') AS batch FROM theory_entries WHERE coalesce({unit}, '') <> '' GROUP BY 1),
