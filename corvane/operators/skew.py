@@ -28,22 +28,25 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.02, weight_array: str |
     if share <= 4 / TRACKED:
         raise ValueError(f"share must exceed {4 / TRACKED}, the error of the sketch")
     rows = df.where(F.col(key).isNotNull())
-    rows = rows.select(F.col(key).cast("string").alias("k"), *([F.explode(weight_array)] if weight_array else []))
+    rows = rows.select((F.hex(key) if dict(df.dtypes)[key] == "binary" else F.col(key).cast("string")).alias("k"), *([F.explode(weight_array)] if weight_array else []))
     found = rows.agg(F.expr(f"approx_top_k(k, {int(1 / share) + 1}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("total"))
+    item = F.unhex("t.item") if dict(df.dtypes)[key] == "binary" else F.col("t.item")
     return (
         found.select("total", F.explode("top").alias("t"))
         .where(F.col("t.count") >= F.col("total") * F.lit(share))
-        .select(F.col("t.item").alias(key), F.col("t.count").cast("long").alias("n"))
+        .select(item.alias(key), F.col("t.count").cast("long").alias("n"))
     )
 
 
+def pinned(heavy: DataFrame, share: float) -> DataFrame:
+    """``heavy`` fetched once, so that the branches that use it don't each repeat the sketch: at most ``1 / share`` keys."""
+    return heavy.sparkSession.createDataFrame(heavy.limit(int(1 / share) + 1).collect(), heavy.schema)
+
+
 def split_by_weight(df: DataFrame, key: str, heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of ``df`` whose key is in ``heavy`` and all others (null keys among them)."""
-    keys = F.broadcast(heavy.select(F.col(key).alias("__heavy")))
-    return (
-        df.join(keys, df[key].cast("string") == F.col("__heavy"), "left_semi"),
-        df.join(keys, df[key].cast("string") == F.col("__heavy"), "left_anti"),
-    )
+    keys = F.broadcast(heavy.select(F.col(key).cast(df.schema[key].dataType).alias("__heavy")))
+    return df.join(keys, df[key] == F.col("__heavy"), "left_semi"), df.join(keys, df[key] == F.col("__heavy"), "left_anti")
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, share: float = 0.02, how: str = "inner") -> DataFrame:
@@ -57,9 +60,9 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, share: float = 0.02,
         raise ValueError("how must be inner or left")
     clash = {c: f"{c}_right" for c in right.columns if c != key and c in left.columns}
     right = right.withColumnsRenamed(clash)
-    heavy = heavy_keys(left, key, share)
+    heavy = pinned(heavy_keys(left, key, share), share)
     few, many = split_by_weight(left, key, heavy)
-    few_right = right.join(F.broadcast(heavy.select(F.col(key).alias("__heavy"))), right[key].cast("string") == F.col("__heavy"), "left_semi")
+    few_right = split_by_weight(right, key, heavy)[0]
     joined = few.join(F.broadcast(few_right), key, how)
     return joined.unionByName(many.join(right, key, how))
 
@@ -79,7 +82,7 @@ def balanced_aggregate(
     column whose hash picks the salt; rows with equal ``spread`` meet in one partial group, so that distinct counts
     over it add up. Null keys form a group of their own.
     """
-    few, many = split_by_weight(df, key, heavy_keys(df, key, share))
+    few, many = split_by_weight(df, key, pinned(heavy_keys(df, key, share), share))
     salted = few.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts))).groupBy(key, "__salt").agg(*partial())
     return salted.groupBy(key).agg(*final()).unionByName(many.groupBy(key).agg(*partial()))
 
