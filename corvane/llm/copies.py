@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators.skew import skew_join
+from corvane.session import cut
 
 #: Everything that is disregarded: separators, controls and punctuation of any script.
 NOISE = r"[\p{Z}\p{C}\p{P}\s]+"
@@ -44,9 +45,14 @@ def bare_json(text: Column) -> Column:
     )
 
 
+def _digest(names: list[str]) -> Column:
+    return F.substring(F.unhex(F.sha2(F.concat_ws("\x04", *[F.coalesce(F.concat(F.lit("="), n), F.lit("~")) for n in names]), 256)), 1, 16)
+
+
 @dataclass
 class Copies:
-    """groups: one row per distinct record (first_key, copies, canonical columns); members: key -> first_key."""
+    """groups: one row per distinct record (canonical columns, first_key, copies, spellings); members: key -> first_key
+    of every row whose record was stored more than once."""
 
     groups: DataFrame
     members: DataFrame
@@ -66,20 +72,18 @@ def collapse(df: DataFrame, key: str, columns: list[str], json_columns: tuple[st
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *texts)
     for c in required:
         rows = rows.where(F.col(f"c{columns.index(c)}").rlike(r"[\p{L}\p{N}]"))
-    # A digest stands for the raw row where keys must be kept; the groups themselves are made on full texts.
-    raw = F.sha2(F.concat_ws("\x01", *[F.coalesce(F.concat(F.lit("="), c), F.lit("~")) for c in names]), 256)
-    rows = rows.withColumn("raw", raw)
+    # 16-byte digests stand for texts where keys must be kept; wide texts are shuffled once, by the raw collapse.
+    rows = rows.withColumn("raw", _digest(names))
     survivors = rows.groupBy("raw", *names).agg(F.min("key").alias("first_raw"), F.count(F.lit(1)).alias("n"))
     canonical = [(bare_json(F.col(n)) if c in json_columns else bare(F.col(n))).alias(n) for n, c in zip(names, columns, strict=True)]
     distinct = survivors.select("raw", "first_raw", "n", *canonical)
     groups = distinct.groupBy(*names).agg(F.min("first_raw").alias("first_key"), F.sum("n").alias("copies"), F.count(F.lit(1)).alias("spellings"))
-    # raw digest -> first key: the same canonical texts, hashed, so that the wide texts are shuffled once only
-    digest = F.sha2(F.concat_ws("\x04", *[F.coalesce(F.concat(F.lit("="), n), F.lit("~")) for n in names]), 256)
-    keyed = distinct.select("raw", "first_raw", digest.alias("group"))
-    firsts = keyed.groupBy("group").agg(F.min("first_raw").alias("first_key"), F.count(F.lit(1)).alias("spellings"))
-    raw_to_first = skew_join(keyed.select("group", "raw"), firsts, "group", share).select("raw", "first_key")
-    members = skew_join(rows.select("raw", "key"), raw_to_first, "raw", share).select("key", "first_key").distinct()
-    return Copies(groups.select(*[F.col(n).alias(f"canonical_{c}") for n, c in zip(names, columns, strict=True)], "first_key", "copies", "spellings"), members)
+    slim = cut(distinct.select("raw", "first_raw", "n", _digest(names).alias("group")))
+    repeated = slim.groupBy("group").agg(F.min("first_raw").alias("first_key"), F.sum("n").alias("copies")).where("copies > 1")
+    raw_to_first = skew_join(slim.select("group", "raw"), repeated.select("group", "first_key"), "group", share).select("raw", "first_key")
+    members = skew_join(cut(rows.select("raw", "key")), cut(raw_to_first), "raw", share).select("key", "first_key").distinct()
+    renamed = [F.col(n).alias(f"canonical_{c}") for n, c in zip(names, columns, strict=True)]
+    return Copies(groups.select(*renamed, "first_key", "copies", "spellings"), members)
 
 
 def theory_copies(theories: DataFrame) -> Copies:
