@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import canonical, copies, sampling, shred
+from corvane.llm import canonical, copies, leak, sampling, shred
 from corvane.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,6 +135,21 @@ def p6_theories(spark: SparkSession, d: str) -> DataFrame:
     return shred.theory_tables(shred.payload_nodes(table(spark, d, "extraction_results")))[0]
 
 
+# ---- problem 8
+
+
+@query()
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leaks_found(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query()
+def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which test items leaked, into how many documents."""
+    found = leak.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.round(F.max("cover"), 2).alias("most"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
