@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators.skew import skew_join
+from corvane.session import cut
 
 #: Edits that a word may have suffered; words shorter than LONG may have one, or two neighbours swapped.
 K, LONG = 2, 6
@@ -152,25 +153,26 @@ def match_values(values: DataFrame, ontology: DataFrame) -> DataFrame:
     """
     split = values.select("value", words(F.col("value")).alias("w")).where(F.size("w") > 0)
     tokens = split.select("value", F.explode(F.array_distinct("w")).alias("token"))
-    fixed = corrections(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")), vocabulary(ontology))
+    counted = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    fixed = cut(corrections(counted, cut(vocabulary(ontology))))
     back = tokens.join(fixed, "token").groupBy("value").agg(_key(F.flatten(F.collect_set("parts"))).alias("key"))
     # abbreviations: letters as typed, dots and spaces aside, exact
     long_stop = [w for w in STOP if len(w) > 1]
     spelled = split.select("value", F.concat(F.lit("="), F.array_join(F.filter("w", lambda w: ~w.isin(long_stop)), "")).alias("key"))
-    known = forms(ontology)
-    found = back.join(known, "key").unionByName(spelled.join(known, "key"))
+    known = cut(forms(ontology))
+    found = back.unionByName(spelled).join(known, "key")
     return found.groupBy("value").agg(F.min("ontology_id").alias("ontology_id"), F.max("ontology_id").alias("last")).where(F.col("ontology_id") == F.col("last")).drop("last")
 
 
 def names_found(entries: DataFrame, ontology: DataFrame) -> DataFrame:
     """(theory_id, field, ontology_id): one row per value that is a form of an entry."""
-    rows = mentions(entries)
-    matched = match_values(rows.select("value").distinct(), ontology)
+    rows = cut(mentions(entries))
+    matched = cut(match_values(cut(rows.select("value").distinct()), ontology))
     return skew_join(rows, matched, "value").select("theory_id", "field", "ontology_id").distinct()
 
 
 def unmatched(entries: DataFrame, ontology: DataFrame) -> DataFrame:
     """(field, value, mentions): the values that mean no entry of the list, most frequent spellings included."""
-    rows = mentions(entries)
+    rows = cut(mentions(entries))
     counted = rows.groupBy("field", "value").agg(F.count(F.lit(1)).alias("mentions"))
-    return counted.join(match_values(rows.select("value").distinct(), ontology), "value", "left_anti").select("field", "value", "mentions")
+    return counted.join(match_values(cut(rows.select("value").distinct()), ontology), "value", "left_anti").select("field", "value", "mentions")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import canonical, copies, leak, sampling, shred
+from corvane.llm import canonical, copies, leak, residue, sampling, shred
 from corvane.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,6 +150,25 @@ def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.round(F.max("cover"), 2).alias("most"))
 
 
+# ---- problem 9
+
+
+@query()
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_found(table(spark, d, "documents"))
+
+
+@query()
+def p9_clean_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return residue.clean_corpus(table(spark, d, "documents")).select("doc_id", "lang", "source", "n_chars")
+
+
+@query()
+def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
+    kinds = residue.residue(table(spark, d, "documents")).select(F.explode("kinds").alias("kind"))
+    return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

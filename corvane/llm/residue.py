@@ -61,7 +61,7 @@ GRAMMARS: dict[str, list[tuple[tuple[str, ...], str]]] = {
     ],
     "filler": [
         (("lorem",), r"(?i)lorem\s+ipsum\s*[,.;:]?\s*(?:dolor\b|[^\W\d_]{2,}(?:us|um|is|it|et|at|ur|or|em|ant|ent|unt|ont|ibus)\b)"),
-        (("lorem",), r"(?i)(?:^|[.!?\n]\s*)lorem\s+ipsum\s*(?:$|[,.;:\n])"),
+        (("lorem",), r"(?i)(?:^|[.!?\n]\s*)lorem\s+ipsum\b(?!\s+(?:text|pages?|passages?|copy|filler|dummy|was|is|has|may|can|or|and|as|in|for|to|does|did)\b)"),
         (("dolor sit amet", "consectetur", "adipisc"), r"(?i)dolor sit amet|consectetur\s+adipisc"),
         (("blind text", "blindtext", "dummy", "filler", "placeholder", "sample text"), rf"(?i){_BEGIN}(?:(?:this|here) is (?:just |only |some )?(?:a )?)?(?:blind ?text|dummy (?:copy|text)|filler (?:copy|text)|placeholder (?:paragraph|text|copy)|sample (?:copy|paragraph))(?:\s*[.!]|\s*$|\s+(?:until|so that|for checking|for the layout|for layout|to be replaced|only|here|goes|stands in|will be replaced))"),
         (("body copy", "goes here", "in this spot", "text goes"), rf"(?i){_BEGIN}(?:body|main|article|running)?\s*(?:copy|text) (?:goes|comes|belongs) (?:in|here|at|on)\b"),
@@ -105,7 +105,7 @@ GRAMMARS: dict[str, list[tuple[tuple[str, ...], str]]] = {
         (("too many requests", "unusual traffic", "checking your browser", "not a robot", "you are human"), rf"(?i){_BEGIN}(?:too many requests (?:came|were|have|from|in)|unusual traffic (?:was|has|from|on)|we (?:are|have been) (?:checking|verifying) (?:your browser|that you)|(?:please )?(?:confirm|verify|prove) (?:that )?you are (?:not a robot|(?:a )?human))\b"),
         (("right to open", "permission", "not allowed to", "licence", "license", "access"), rf"(?i)\b(?:you do not have (?:the right|permission|access|the rights)|your (?:institution|account|subscription|licen[cs]e) (?:has no|is not|does not|lacks))\b[^.\n]{{0,30}}\b(?:open|view|access|read|see|allow|include|cover|licen[cs]e)"),
         (("denied", "not authori", "restricted", "forbidden"), rf"(?i)(?:^|[.!?:]\s|\n)\s*(?:access|permission) (?:is |was )?denied\s*(?:[.!]|$|\n)|(?:^|[.!?:]\s|\n)\s*not authori[sz]ed\s*(?:[.!]|$|\n)|(?:^|\n)\s*forbidden\s*(?:[.!]|$|\n)"),
-        (("fail", "cannot", "could not", "unable to", "did not answer"), rf"(?i){_BEGIN}(?:we|our (?:system|server|service|site)|the (?:system|server|index|database|service|archive|viewer|application)) (?:have |has |had )?(?:failed to|cannot|can ?not|could not|were unable to|was unable to|is unable to|are unable to|did not (?:answer|respond|reply))(?: (?:open|find|load|locate|show|display|reach|fetch|retrieve)| while| when| in time|\.)[^.\n]{{0,40}}"),
+        (("fail", "cannot", "could not", "unable to", "did not answer", "lost track"), rf"(?i){_BEGIN}(?:we|our (?:system|server|service|site)|the (?:system|server|index|database|service|archive|viewer|application)) (?:have |has |had )?(?:failed to|cannot|can ?not|could not|were unable to|was unable to|is unable to|are unable to|did not (?:answer|respond|reply)|lost track of|lost)(?: (?:that|this|the|open|find|load|locate|show|display|reach|fetch|retrieve)| while| when| in time|\.)[^.\n]{{0,40}}"),
         (("cannot be", "could not be"), rf"(?i){_BEGIN}(?:parts of the {_THING}|tables and figures|(?:the|this|that) (?:{_THING}|figures?|tables?|requested {_THING}))(?: and [a-z]+)? (?:cannot|could not|can ?not) be (?:shown|loaded|displayed|opened|rendered|found|located|retrieved)\b"),
         (("nicht gefunden", "nicht verfügbar", "verweigert", "interner", "nicht erreichbar"), r"(?i)\b(?:seite|dokument|artikel|datei|volltext|dienst|server) (?:wurde |ist |konnte )?(?:derzeit |vorübergehend |momentan )?nicht (?:gefunden|verfügbar|erreichbar)|\bzugriff (?:wurde )?verweigert|\binterner (?:server)?fehler"),
         (("introuvable", "indisponible", "accès refusé", "erreur", "n'a pas été trouv", "n’a pas été trouv"), r"(?i)\b(?:page|document|fichier|article|texte)(?: demandée?)? (?:est |semble )?introuvable|\b(?:service|page|document|site)(?: demandée?)? est (?:momentanément |temporairement |actuellement )?indisponible|\baccès (?:est )?refusé|\bune erreur (?:interne |inattendue )?(?:est survenue|s['’]est produite)"),
@@ -120,8 +120,9 @@ FUNCTION_WORDS = (
     "le la les de des du un une et est en que qui dans pour pas au sur ne se ce il sont avec plus par ou son cette aux ces chez sous nous mais entre sans "
     "el los las y una por con para del lo su al como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está nos durante "
 ).split()
-LATIN_ENDING = re.compile(r"(?:us|um|is|it|et|at|ur|ae|or|em|ant|ent|unt|ont|ernt|ibus|io|as|es|os|a|am|an|ere|are|ent)$")
-LATIN_RUN, LATIN_SHARE = 14, 0.6  # words in a row without a function word, and the share with Latin endings
+LATIN_ENDING = re.compile(r"(?:us|um|is|it|et|at|ur|ae|or|em|ant|ent|unt|ont|rnt|ibus|tio|as|ar|are|ere|que|ue)$")
+#: (words in a row without a function word, share of them with Latin endings): the shorter the run, the surer it must be
+LATIN_RUNS = ((5, 0.8), (14, 0.6))
 REPEATS, PERIOD = 4, 6  # copies in a row of a phrase of at most PERIOD words
 
 #: What is code or formula; blanked before any grammar but those of error dumps is tried.
@@ -207,13 +208,15 @@ def runs(w: tokens.Words) -> np.ndarray:
         return found
     text = np.repeat(np.arange(n), np.diff(w.first))
     letters = (w.data[w.start] > 57) & (w.end - w.start <= 24)
+    hashes = np.where(w.data[w.start] > 57, w.hash, np.uint64(1))  # one number is like another
+    lettered = np.concatenate([[0], np.cumsum(letters)])
     for p in range(1, PERIOD + 1):
         if len(w.hash) <= p:
             break
-        same = (w.hash[p:] == w.hash[:-p]) & (text[p:] == text[:-p]) & letters[p:] & letters[:-p]
+        same = (hashes[p:] == hashes[:-p]) & (text[p:] == text[:-p])
         need = max(REPEATS + 1, (REPEATS - 1) * p)
         for a, b in _stretches(same):
-            if b - a >= need:
+            if b - a >= need and 3 * (lettered[b] - lettered[a]) >= 2 * (b - a):
                 found[text[a]] = True
     function = _compiled()[2]
     at = np.minimum(np.searchsorted(function, w.hash), len(function) - 1)
@@ -221,10 +224,10 @@ def runs(w: tokens.Words) -> np.ndarray:
     cuts = np.zeros(len(alien), dtype=bool)
     cuts[1:] = text[1:] != text[:-1]
     for a, b in _stretches(alien, cuts):
-        if b - a >= LATIN_RUN and not found[text[a]]:
-            ws = re.findall(r"[^\W\d_]+", w.text(a, b - 1))
-            small = [x.lower() for x in ws if x[1:].islower() and len(x) > 2]
-            if len(small) >= LATIN_RUN and sum(bool(LATIN_ENDING.search(x)) for x in small) >= LATIN_SHARE * len(ws):
+        if b - a >= LATIN_RUNS[0][0] and not found[text[a]]:
+            ws = re.findall(r"[^\W\d_]+", w.text(a, b - 1).lower())
+            share = sum(len(x) > 3 and bool(LATIN_ENDING.search(x)) for x in ws) / max(1, len(ws))
+            if len(set(ws)) >= 4 and any(len(ws) >= n and share >= least for n, least in LATIN_RUNS):
                 found[text[a]] = True
     return found
 
