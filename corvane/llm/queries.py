@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import canonical, copies, leak, residue, sampling, shred
+from corvane.llm import canonical, copies, leak, packing, residue, sampling, shred
 from corvane.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,6 +135,19 @@ def p6_theories(spark: SparkSession, d: str) -> DataFrame:
     return shred.theory_tables(shred.payload_nodes(table(spark, d, "extraction_results")))[0]
 
 
+# ---- problem 7
+
+
+@query()
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
+@query()
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(packing.pack_documents(table(spark, d, "documents")))
+
+
 # ---- problem 8
 
 
