@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import canonical, copies, leak, packing, residue, sampling, shred
+from corvane.llm import canonical, copies, leak, mixture, packing, residue, sampling, shred
 from corvane.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,19 @@ def p1_theory_groups(spark: SparkSession, d: str) -> DataFrame:
     return copies.theory_copies(table(spark, d, "theories")).groups.select("first_key", "copies", "spellings")
 
 
+# ---- problem 2
+
+
+@query()
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.pairs_found(table(spark, d, "theories"))
+
+
+@query()
+def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.clusters(table(spark, d, "theories"))
+
+
 # ---- problem 4
 
 
