@@ -18,4 +18,4 @@ STAGE6 = (
 )
 ANSWERS = "MAP<STRING, STRUCT<answer: STRING, confidence: DOUBLE, reasoning: STRING>>"
 FINAL_MAP = "theories ARRAY<STRUCT<name: STRING, dois: ARRAY<STRING>>>"
-REQUEST_LOG = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+REQUEST_LOG = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"

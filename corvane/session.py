@@ -26,6 +26,7 @@ def build_session(name: str = "corvane", cores: int | str = "*", **conf: str) ->
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``, be it one file or a folder of files."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

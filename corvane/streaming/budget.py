@@ -13,9 +13,9 @@ from pyspark.sql.types import StructType
 from corvane import schemas
 
 
-def request_log(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """A stream of request events from Parquet files, a bounded number per trigger."""
-    return spark.readStream.schema(schemas.REQUEST_LOG).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def request_log(spark: SparkSession, path: str, files_per_trigger: int = 1, glob: str = "*.parquet") -> DataFrame:
+    """A stream of request events from the Parquet files in a folder, a bounded number per trigger."""
+    return spark.readStream.schema(schemas.REQUEST_LOG).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", glob).parquet(path)
 
 
 def minute_usage(events: DataFrame, slide: str = "30 seconds", late: str = "10 minutes") -> DataFrame:
@@ -27,7 +27,7 @@ def minute_usage(events: DataFrame, slide: str = "30 seconds", late: str = "10 m
 
 def trailing_usage(events: DataFrame, key: str = "user_id", seconds: int = 60) -> DataFrame:
     """Adds requests and tokens of the trailing window up to each event, per key."""
-    w = Window.partitionBy(key).orderBy(F.col("ts").cast("double")).rangeBetween(-seconds, 0)
+    w = Window.partitionBy(key).orderBy(F.col("ts").cast("timestamp").cast("double")).rangeBetween(-seconds, 0)
     return events.withColumn("requests", F.count(F.lit(1)).over(w)).withColumn("tokens", F.round(F.sum("value").over(w), 4))
 
 
