@@ -15,15 +15,24 @@ SUFFIXES = ["theory", "hypothesis", "model", "framework", "paradigm", "approach"
 ABBREVIATION = r"[A-Z]{2,6}[0-9]*"
 
 
+#: White space of any kind, no-break and thin spaces among it.
+WS = r"[\s\p{Z}]"
+
+
+def strip(x: Column) -> Column:
+    """Without white space at its ends."""
+    return F.regexp_replace(x, f"^{WS}+|{WS}+$", "")
+
+
 def squeezed(x: Column) -> Column:
     """White space runs as one space, ends trimmed."""
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    return F.trim(F.regexp_replace(x, f"{WS}+", " "))
 
 
 def fuzzy_key(name: Column) -> Column:
     """Key of exact lookups: bracketed abbreviations, punctuation, possessives and generic words left out."""
-    x = F.trim(F.lower(name))
-    x = F.regexp_replace(x, r"\s*[\(\[][a-z]{2,6}[0-9]*[\)\]]\s*", " ")
+    x = strip(F.lower(name))
+    x = F.regexp_replace(x, WS + r"*[\(\[][a-z]{2,6}[0-9]*[\)\]]" + WS + "*", " ")
     x = F.regexp_replace(x, r"[-_/\\()\[\]{}]", " ")
     x = F.regexp_replace(x, r"[‘’]", "'")
     x = F.regexp_replace(squeezed(x), r"'s |s' ", " ")
@@ -34,9 +43,9 @@ def fuzzy_key(name: Column) -> Column:
 
 def grouping_key_sql(name: Column) -> Column:
     """The grouping key before title case: upper-case abbreviations, 'ageing' and a trailing 'of aging' left out."""
-    x = F.regexp_replace(F.trim(name), r"\s*[\(\[]" + ABBREVIATION + r"[\)\]]\s*", " ")
+    x = F.regexp_replace(strip(name), WS + r"*[\(\[]" + ABBREVIATION + r"[\)\]]" + WS + "*", " ")
     x = F.regexp_replace(x, r"(?i)\bageing\b", "aging")
-    return squeezed(F.regexp_replace(x, r"(?i)\s+of\s+aging\s*$", ""))
+    return squeezed(F.regexp_replace(x, "(?i)" + WS + "+of" + WS + "+aging" + WS + "*$", ""))
 
 
 @F.pandas_udf(T.StringType())
@@ -51,8 +60,8 @@ def grouping_key(name: Column) -> Column:
 
 def final_name(name: Column) -> Column:
     """Name as published: 'ageing' spelled 'aging'; a trailing 'of aging' goes unless a hallmark is meant."""
-    x = F.regexp_replace(F.trim(name), r"(?i)\bageing\b", "aging")
-    x = F.when(F.lower(name).contains("hallmark"), x).otherwise(F.regexp_replace(x, r"(?i)\s+of\s+aging\s*$", ""))
+    x = F.regexp_replace(strip(name), r"(?i)\bageing\b", "aging")
+    x = F.when(F.lower(name).contains("hallmark"), x).otherwise(F.regexp_replace(x, "(?i)" + WS + "+of" + WS + "+aging" + WS + "*$", ""))
     return F.when(name == "SINE Retrotransposon Activation Theory", "Retrotransposon Activation Theory").otherwise(squeezed(x))
 
 
@@ -65,7 +74,7 @@ def clustering_key(name: Column) -> Column:
 
 def voting_key(name: Column) -> Column:
     """Key under which mappings are voted on: trailing dots and British spellings left out."""
-    x = F.rtrim(F.trim(name), F.lit("."))
+    x = F.rtrim(strip(name), F.lit("."))
     for a, b in (("Signalling", "Signaling"), ("signalling", "signaling"), ("Ageing", "Aging"), ("ageing", "aging")):
         x = F.replace(x, F.lit(a), F.lit(b))
     return squeezed(x)
@@ -73,18 +82,18 @@ def voting_key(name: Column) -> Column:
 
 def doi_key(doi: Column) -> Column:
     """DOI for comparisons: trimmed, lower case, without a resolver's prefix; empty is null."""
-    return F.nullif(F.regexp_replace(F.lower(F.trim(doi)), r"^(https?://(dx\.)?doi\.org/|doi:\s*)", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(F.lower(strip(doi)), r"^(https?://(dx\.)?doi\.org/|doi:\s*)", ""), F.lit(""))
 
 
 def doi_of_file(file_name: Column) -> Column:
     """The DOI that a file is named after: base name without its last extension, the first underscore a slash."""
     base = F.regexp_replace(F.element_at(F.split(file_name, "/"), -1), r"\.[^.]*$", "")
-    return F.lower(F.trim(F.regexp_replace(base, r"^([^_]+)_", "$1/")))
+    return F.lower(strip(F.regexp_replace(base, r"^([^_]+)_", "$1/")))
 
 
 def strip_batch_suffix(name: Column) -> Column:
     """'X (Batch 3)' as 'X'."""
-    return F.regexp_replace(name, r"(?i)\s*\(Batch\s+[0-9]+\)\s*$", "")
+    return F.regexp_replace(name, "(?i)" + WS + r"*\(Batch\s+[0-9]+\)" + WS + "*$", "")
 
 
 def file_name(name: Column) -> Column:
@@ -95,7 +104,7 @@ def file_name(name: Column) -> Column:
 def abbreviations(name: Column) -> Column:
     """All abbreviations in brackets, or an upper-case name that is one."""
     bracketed = F.regexp_extract_all(name, F.lit(r"[\(\[](" + ABBREVIATION + r")[\)\]]"), F.lit(1))
-    whole = F.when(F.trim(name).rlike("^" + ABBREVIATION + "$"), F.array(F.trim(name))).otherwise(F.array().cast("array<string>"))
+    whole = F.when(strip(name).rlike("^" + ABBREVIATION + "$"), F.array(strip(name))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(bracketed, whole))
 
 
@@ -109,8 +118,8 @@ def core_tokens(name: Column) -> Column:
 
 def confidence_level(label: Column) -> Column:
     """high, medium, low or unknown of a free confidence label; two levels count as the lower one."""
-    s = F.lower(F.trim(label))
-    head = F.trim(F.split_part(s, F.lit("("), F.lit(1)))
+    s = F.lower(strip(label))
+    head = strip(F.split_part(s, F.lit("("), F.lit(1)))
     has = {w: s.contains(w) for w in ("high", "medium", "low")}
     return (
         F.when(s.isNull() | (s == ""), "unknown")
@@ -143,13 +152,13 @@ def answer_option(answer: Column, options: Column, question: Column, extended: t
     Tried in order: the answer itself; what stands before ``, ; ( [ - :`` or before but, however, although, compared
     without case; an option at the answer's start.
     """
-    a = F.trim(answer)
+    a = strip(answer)
     picks = []
     for d in (",", ";", "(", "[", "-", ":"):
-        head = F.regexp_replace(F.trim(F.split_part(a, F.lit(d), F.lit(1))), r"\)+$", "")
+        head = F.regexp_replace(strip(F.split_part(a, F.lit(d), F.lit(1))), r"\)+$", "")
         picks.append(F.when(a.contains(d), _option(head, options)))
     for d in ("but", "however", "although"):
-        head = F.regexp_replace(F.trim(F.split_part(a, F.lit(f" {d} "), F.lit(1))), r"\)+$", "")
+        head = F.regexp_replace(strip(F.split_part(a, F.lit(f" {d} "), F.lit(1))), r"\)+$", "")
         picks.append(F.when(F.lower(a).contains(d), _option(head, options)))
     start = F.element_at(F.filter(options, lambda o: F.lower(a).startswith(F.lower(o))), 1)
     exact = F.when(F.array_contains(options, a), a)
@@ -164,5 +173,5 @@ def _option(head: Column, options: Column) -> Column:
 
 def scored_answer(answer: Column) -> Column:
     """Answer as scored: the two shades of yes count as Yes."""
-    a = F.trim(answer)
+    a = strip(answer)
     return F.when(a.contains("Yes, quantitatively shown") | a.contains("Yes, but not shown"), "Yes").otherwise(a)

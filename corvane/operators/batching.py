@@ -135,4 +135,4 @@ def similar_batches(names: DataFrame, size: int, most: int = 5000, reach: int =
             batch[i] = batch[near] = made
         return pd.DataFrame({"batch": batch, "name": pdf.name})
 
-    return todo.groupBy(F.lit(1)).applyInPandas(greedy, "batch int, name string")
+    return todo.withColumn("one", F.lit("all")).groupBy("one").applyInPandas(greedy, "batch int, name string")

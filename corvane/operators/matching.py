@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import names, similarity
+from corvane.session import ship
+
+#: Aliases that a task holds at once.
+LIST_MOST = 20_000
 
 
 def searchable(ontology: DataFrame) -> DataFrame:
@@ -38,25 +46,88 @@ def match_exact(names_: DataFrame, ontology: DataFrame) -> DataFrame:
     return names_.select("name", names.fuzzy_key(F.col("name")).alias("key")).join(exact_aliases(ontology), "key").select("name", "canonical")
 
 
-def best_fuzzy(names_: DataFrame, ontology: DataFrame, threshold: float | None = None) -> DataFrame:
+def best_fuzzy(names_: DataFrame, ontology: DataFrame) -> DataFrame:
     """(name, canonical, alias, score): the alias with the best of two similarities, token order first.
 
-    Names are compared with the whole list, in blocks: the list is the small side (checked by Spark against its
-    broadcast limit) and each distinct name is scored once. With a ``threshold`` only pairs whose lengths allow that
-    score are scored: 200 * shorter / (shorter + longer) bounds both similarities. Ties go to the earlier alias.
+    Each distinct name is scored once, against the whole list. The list goes to the tasks in slices of about LIST_MOST
+    aliases, each with a pass of its own, so that no task holds more of it, however long it is; the slices' winners are
+    then compared. Ties go to the earlier alias.
     """
-    a, b = F.length("name"), F.length("alias")
-    pairs = names_.select("name").distinct().join(
-        searchable(ontology), F.lit(True) if threshold is None else 200 * F.least(a, b) >= F.lit(threshold) * (a + b), "inner"
-    )
-    scored = pairs.withColumn("t", similarity.token_sort_ratio(F.col("name"), F.col("alias"))).withColumn("r", similarity.ratio(F.col("name"), F.col("alias")))
-    top = scored.groupBy("name").agg(
-        F.max(F.struct("t", -F.col("pos.ontology_id"), -F.col("pos.p"), "alias", "canonical")).alias("t"),
-        F.max(F.struct("r", -F.col("pos.ontology_id"), -F.col("pos.p"), "alias", "canonical")).alias("r"),
-    )
-    by_ratio = F.col("r.r") > F.col("t.t")
+    todo = names_.where(F.col("name").isNotNull()).select("name").distinct()
+    spark = todo.sparkSession
+    ship(spark)
+    aliases = searchable(ontology).select("pos", "canonical", "alias")
+    slices = max(1, -(-aliases.count() // LIST_MOST))
+    todo = todo.repartition(spark.sparkContext.defaultParallelism, "name")
+    each = "STRUCT<score: DOUBLE, p1: BIGINT, p2: BIGINT, alias: STRING, canonical: STRING>"
+    found = None
+    for k in range(slices):
+        part = aliases.where(F.pmod(F.xxhash64("alias"), F.lit(slices)) == k).orderBy("pos").collect()
+        one = todo.mapInPandas(_searcher([(r.pos.ontology_id, r.pos.p, r.alias, r.canonical) for r in part]), f"name string, t {each}, r {each}")
+        found = one if found is None else found.unionByName(one)
+    if slices > 1:
+        found = found.groupBy("name").agg(F.max("t").alias("t"), F.max("r").alias("r"))
+    by_ratio = F.col("r.score") > F.col("t.score")
     pick = lambda c: F.when(by_ratio, F.col(f"r.{c}")).otherwise(F.col(f"t.{c}"))
-    return top.select("name", pick("canonical").alias("canonical"), pick("alias").alias("alias"), F.greatest("r.r", "t.t").alias("score"))
+    return found.where(F.col("t").isNotNull()).select("name", pick("canonical").alias("canonical"), pick("alias").alias("alias"), pick("score").alias("score"))
+
+
+def _searcher(part: list[tuple[int, int, str, str]]):
+    """Names to their best aliases of one slice: by token-sorted (t) and plain (r) ratio, positions negated for ties."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nearest = _Nearest([a for _, _, a, _ in part])
+        row = lambda k, s: (s, -part[k][0], -part[k][1], part[k][2], part[k][3])
+        for pdf in batches:
+            both = [nearest(n) for n in pdf.name] if part else []
+            keys = ["score", "p1", "p2", "alias", "canonical"]
+            yield pd.DataFrame({"name": pdf.name, "t": [dict(zip(keys, row(*t), strict=True)) for t, _ in both] or None, "r": [dict(zip(keys, row(*r), strict=True)) for _, r in both] or None})
+
+    return search
+
+
+class _Nearest:
+    """The best alias for a name by token-sorted and plain ratio, exact: one word of bits per alias, all aliases at once."""
+
+    def __init__(self, aliases: list[str]):
+        self.forms = [_Bits(aliases), _Bits([_sorted(a) for a in aliases])]
+
+    def __call__(self, name: str) -> tuple[tuple[int, float], tuple[int, float]]:
+        return self.forms[1].best(_sorted(name)), self.forms[0].best(name)
+
+
+class _Bits:
+    """Longest common subsequences of one text with many, by bit-parallel rows; aliases beyond 64 letters one by one."""
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.length = texts, np.array([len(t) for t in texts], dtype=np.int64)
+        self.long = np.flatnonzero(self.length > 64)
+        self.masks: dict[str, np.ndarray] = {}
+        for i, t in enumerate(texts):
+            if len(t) <= 64:
+                for k, c in enumerate(t):
+                    self.masks.setdefault(c, np.zeros(len(texts), dtype=np.uint64))[i] |= np.uint64(1 << k)
+        width = np.minimum(self.length, 64).astype(np.uint64)
+        self.full = np.where(width == 64, ~np.uint64(0), (np.uint64(1) << (width % np.uint64(64))) - np.uint64(1))
+
+    def best(self, text: str) -> tuple[int, float]:
+        state = np.full(len(self.texts), ~np.uint64(0))
+        for c in text:
+            mask = self.masks.get(c)
+            if mask is not None:
+                hit = state & mask
+                state = (state + hit) | (state - hit)
+        common = np.bitwise_count(~state & self.full).astype(np.int64)
+        for k in self.long:
+            common[k] = similarity.common_subsequence(text, self.texts[k])
+        total = self.length + len(text)
+        score = np.where(total > 0, 200.0 * common / np.maximum(total, 1), 100.0)
+        at = int(score.argmax())
+        return at, float(score[at])
+
+
+def _sorted(text: str) -> str:
+    return " ".join(sorted(text.split()))
 
 
 def compound_agreement(name: str, alias: str, least: float = 0.8) -> tuple:

@@ -250,10 +250,10 @@ def inserted_or_ignored(spark: SparkSession, d: str) -> DataFrame:
     return sinks.insert_or_ignore(old, new.select("k", "r", "o"), ["k"], F.struct("o", F.coalesce("r", F.lit("")))).select("k", "r")
 
 
-@query("SELECT theory_id, arg_max(mode, ingested_at) AS mode, max(ingested_at) AS seen FROM theory_entries GROUP BY 1")
+@query("SELECT theory_id, arg_max(coalesce(mode, ''), ingested_at) AS mode, strftime(max(ingested_at), '%Y-%m-%d %H:%M:%S') AS seen FROM theory_entries GROUP BY 1")
 def last_deliveries(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "theory_entries").select("theory_id", "mode", F.col("ingested_at").alias("seen"))
-    return sinks.insert_or_replace(e, ["theory_id"], F.desc("seen"))
+    e = table(spark, d, "theory_entries").select("theory_id", F.coalesce("mode", F.lit("")).alias("mode"), F.col("ingested_at").alias("seen"))
+    return sinks.insert_or_replace(e, ["theory_id"], F.desc("seen")).withColumn("seen", F.date_format("seen", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("SELECT doi, NULL::VARCHAR AS result, title FROM papers UNION ALL SELECT doi, result, NULL FROM paper_evaluations")

@@ -11,7 +11,13 @@ from corvane.plans.registry import query
 from corvane.session import table
 
 GENERIC = "|".join(names.GENERIC)
-SQUEEZE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+WS = r"[\s\p{Z}]"
+SQUEEZE = "trim(regexp_replace({0}, '" + WS.replace("{", "{{").replace("}", "}}") + "+', ' ', 'g'))"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
 
 
 def _rr(x: str, pattern: str, by: str) -> str:
@@ -20,7 +26,7 @@ def _rr(x: str, pattern: str, by: str) -> str:
 
 def fuzzy_sql(x: str) -> str:
     """The fuzzy key in SQL."""
-    x = _rr(f"trim(lower({x}))", r"\s*[\(\[][a-z]{2,6}[0-9]*[\)\]]\s*", " ")
+    x = _rr(_strip(f"lower({x})"), WS + r"*[\(\[][a-z]{2,6}[0-9]*[\)\]]" + WS + "*", " ")
     x = _rr(_rr(x, r"[-_/\\()\[\]{}]", " "), "[‘’]", "'")
     x = _rr(SQUEEZE.format(x), "'s |s' ", " ")
     x = _rr(SQUEEZE.format(x), "'s|s'", "")
@@ -28,24 +34,24 @@ def fuzzy_sql(x: str) -> str:
 
 
 def grouping_sql(x: str) -> str:
-    x = _rr(_rr(f"trim({x})", r"\s*[\(\[][A-Z]{2,6}[0-9]*[\)\]]\s*", " "), r"(?i)\bageing\b", "aging")
-    return SQUEEZE.format(_rr(x, r"(?i)\s+of\s+aging\s*$", ""))
+    x = _rr(_rr(_strip(x), WS + r"*[\(\[][A-Z]{2,6}[0-9]*[\)\]]" + WS + "*", " "), r"(?i)\bageing\b", "aging")
+    return SQUEEZE.format(_rr(x, "(?i)" + WS + "+of" + WS + "+aging" + WS + "*$", ""))
 
 
 def final_sql(x: str) -> str:
-    base = _rr(f"trim({x})", r"(?i)\bageing\b", "aging")
-    cut = _rr(base, r"(?i)\s+of\s+aging\s*$", "")
+    base = _rr(_strip(x), r"(?i)\bageing\b", "aging")
+    cut = _rr(base, "(?i)" + WS + "+of" + WS + "+aging" + WS + "*$", "")
     return f"CASE WHEN {x} = 'SINE Retrotransposon Activation Theory' THEN 'Retrotransposon Activation Theory' ELSE {SQUEEZE.format(f'CASE WHEN lower({x}) LIKE $${chr(37)}hallmark{chr(37)}$$ THEN {base} ELSE {cut} END')} END"
 
 
 def voting_sql(x: str) -> str:
-    out = f"rtrim(trim({x}), '.')"
+    out = f"rtrim({_strip(x)}, '.')"
     for a, b in (("Signalling", "Signaling"), ("signalling", "signaling"), ("Ageing", "Aging"), ("ageing", "aging")):
         out = f"replace({out}, '{a}', '{b}')"
     return SQUEEZE.format(out)
 
 
-CLUSTERING = r"trim(regexp_replace(replace(regexp_replace(regexp_replace(lower(n), '[^\w\s]', '', 'g'), '\b(theory|hypothesis|model|framework|the)\b', '', 'g'), 'ageing', 'aging'), '\s+', ' ', 'g'))"
+CLUSTERING = SQUEEZE.format(r"replace(regexp_replace(regexp_replace(lower(n), '[^\w\s]', '', 'g'), '\b(theory|hypothesis|model|framework|the)\b', '', 'g'), 'ageing', 'aging')")
 NAMES = "(SELECT DISTINCT original_name AS n FROM theory_entries WHERE original_name IS NOT NULL)"
 ALIASES = "(SELECT ontology_id, name AS canonical, unnest(list_concat([name], coalesce(aliases, []))) AS alias, unnest(range(0, 1 + len(coalesce(aliases, [])))) AS p FROM ontology)"
 
@@ -88,12 +94,12 @@ def name_key_voting(spark: SparkSession, d: str) -> DataFrame:
     return _keys(spark, d, names.voting_key)
 
 
-@query(r"SELECT n, regexp_replace(n || ' (Batch 12)', '(?i)\s*\(Batch\s+[0-9]+\)\s*$', '') AS key FROM " + NAMES)
+@query(rf"SELECT n, regexp_replace(n || ' (Batch 12)', '(?i){WS}*\(Batch\s+[0-9]+\){WS}*$', '') AS key FROM {NAMES}")
 def name_without_batch(spark: SparkSession, d: str) -> DataFrame:
     return _keys(spark, d, lambda n: names.strip_batch_suffix(F.concat(n, F.lit(" (Batch 12)"))))
 
 
-ABBR = r"list_distinct(list_concat(regexp_extract_all(n, '[\(\[]([A-Z]{2,6}[0-9]*)[\)\]]', 1), CASE WHEN regexp_matches(trim(n), '^[A-Z]{2,6}[0-9]*$') THEN [trim(n)] ELSE [] END))"
+ABBR = r"list_distinct(list_concat(regexp_extract_all(n, '[\(\[]([A-Z]{2,6}[0-9]*)[\)\]]', 1), CASE WHEN regexp_matches(%s, '^[A-Z]{2,6}[0-9]*$') THEN [%s] ELSE [] END))" % (_strip("n"), _strip("n"))
 
 
 @query(f"SELECT n, array_to_string(list_sort({ABBR}), ',') AS abbreviations FROM {NAMES}")

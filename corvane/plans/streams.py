@@ -18,19 +18,19 @@ def _place(spark: SparkSession) -> str:
 
 
 MINUTES = """WITH w AS (SELECT user_id, value, unnest([time_bucket(INTERVAL 30 SECONDS, ts), time_bucket(INTERVAL 30 SECONDS, ts) - INTERVAL 30 SECONDS]) AS start FROM events)
-SELECT start, user_id, count(*) AS requests, round(sum(value), 4) AS tokens FROM w GROUP BY 1, 2"""
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS requests, round(sum(value), 4) AS tokens FROM w GROUP BY 1, 2"""
 
 
 @query(MINUTES)
 def streamed_usage(spark: SparkSession, d: str) -> DataFrame:
     """Sliding minutes as a stream, complete output."""
     events = budget.request_log(spark, d, glob="events.parquet")
-    return budget.run_once(budget.minute_usage(events), f"usage_{uuid.uuid4().hex}", _place(spark), "complete")
+    return budget.run_once(budget.minute_usage(events), f"usage_{uuid.uuid4().hex}", _place(spark), "complete").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query(MINUTES)
 def sliding_usage(spark: SparkSession, d: str) -> DataFrame:
-    return budget.minute_usage(table(spark, d, "events"))
+    return budget.minute_usage(table(spark, d, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("""SELECT event_id, count(*) OVER w AS requests, round(sum(value) OVER w, 4) AS tokens FROM events

@@ -92,7 +92,7 @@ def _split(spark: SparkSession, d: str, **variant: bool) -> DataFrame:
     return consolidate.split_names(members, a, **variant)
 
 
-@query(rf"SELECT theory_id, normalized_name AS parent, coalesce(regexp_replace(sub, '(?i)\s*\(Batch\s+[0-9]+\)\s*$', ''), normalized_name) AS name, sub IS NOT NULL AS separated FROM {MENTION} LEFT JOIN {LAST} USING (theory_id) WHERE normalized_name IS NOT NULL")
+@query(rf"SELECT theory_id, normalized_name AS parent, coalesce(regexp_replace(sub, '(?i)[\s\p{{Z}}]*\(Batch\s+[0-9]+\)[\s\p{{Z}}]*$', ''), normalized_name) AS name, sub IS NOT NULL AS separated FROM {MENTION} LEFT JOIN {LAST} USING (theory_id) WHERE normalized_name IS NOT NULL")
 def split_keeping_unmapped(spark: SparkSession, d: str) -> DataFrame:
     return _split(spark, d)
 

@@ -15,7 +15,7 @@ from corvane import schemas
 
 def request_log(spark: SparkSession, path: str, files_per_trigger: int = 1, glob: str = "*.parquet") -> DataFrame:
     """A stream of request events from the Parquet files in a folder, a bounded number per trigger."""
-    return spark.readStream.schema(schemas.REQUEST_LOG).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", glob).parquet(path)
+    return spark.readStream.schema(schemas.REQUEST_LOG).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", glob).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def minute_usage(events: DataFrame, slide: str = "30 seconds", late: str = "10 minutes") -> DataFrame:
