@@ -129,9 +129,13 @@ def keywords(texts: DataFrame, key: str, text: str, k: int = 10, longest: int =
     """
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3)
     rows = texts.select(F.col(key).alias("key"), words.alias("w"))
+
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
+
     grams = None
     for n in range(1, longest + 1):
-        one = rows.where(F.size("w") >= n).select("key", F.size("w").alias("total"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.array_join(F.slice("w", i, n), " "))).alias("at", "keyword"), F.lit(n).alias("n"))
+        one = rows.where(F.size("w") >= n).select("key", F.size("w").alias("total"), F.posexplode(runs(n)).alias("at", "keyword"), F.lit(n).alias("n"))
         grams = one if grams is None else grams.unionByName(one)
     stats = grams.groupBy("key", "keyword", "n").agg(F.count(F.lit(1)).alias("freq"), F.min("at").alias("first"), F.max("total").alias("total"))
     by_key = Window.partitionBy("key")

@@ -72,10 +72,11 @@ def at_share(sizes: DataFrame, column: str, *shares: float) -> DataFrame:
     Values are counted first; the running count over distinct values finds each element, so no list of all values is
     made.
     """
-    counts = sizes.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("c"))
-    run = counts.withColumn("upto", F.sum("c").over(Window.orderBy(column))).withColumn("n", F.sum("c").over(Window.partitionBy(F.lit(1))))
-    picks = [F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * s), F.col("n") - 1), F.col(column))).alias(f"p{round(100 * s)}") for s in shares]
-    return run.agg(*picks, F.max(column).alias("max"), F.min(column).alias("min"), F.max("n").alias("n"))
+    counts = sizes.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    run = counts.withColumn("__upto", F.sum("__c").over(Window.orderBy("__v"))).withColumn("__n", F.sum("__c").over(Window.partitionBy(F.lit(1))))
+    at = lambda s: F.least(F.floor(F.col("__n") * s), F.col("__n") - 1)
+    picks = [F.min(F.when(F.col("__upto") > at(s), F.col("__v"))).alias(f"p{round(100 * s)}") for s in shares]
+    return run.agg(*picks, F.max("__v").alias("max"), F.min("__v").alias("min"), F.max("__n").alias("n"))
 
 
 def cost(tokens_in: Column, tokens_out: Column, price_in: float, price_out: float) -> Column:

@@ -66,7 +66,7 @@ def doi_list(spark: SparkSession, path: str) -> DataFrame:
 def questions(spark: SparkSession, path: str) -> DataFrame:
     """(question_name, question, options) of a JSON map; options are parted by ' / '."""
     parsed = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schemas.QUESTIONS)).alias("question_name", "q"))
-    return parsed.select("question_name", "q.question", F.transform(F.split("q.answers", "/"), F.trim).alias("options"))
+    return parsed.select("question_name", "q.question", F.transform(F.split("q.answers", "/"), lambda o: F.trim(o)).alias("options"))
 
 
 def synonyms(spark: SparkSession, path: str | None) -> DataFrame:
