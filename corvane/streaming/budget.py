@@ -50,7 +50,10 @@ class _Admission(StatefulProcessor):
             if admitted:
                 held.append((now, float(r.value)))
             out.append((r.event_id, key[0], admitted))
-        self.recent.put(held)
+        if held:
+            self.recent.put(held)
+        else:
+            self.recent.clear()
         yield pd.DataFrame(out, columns=["event_id", "user_id", "admitted"])
 
     def close(self) -> None:
