@@ -4,9 +4,10 @@
    for one part, the two differing parts are taken as synonyms, for every entry that has that part.
 2. Values are made distinct, split into words, and the words made distinct: all later work is on distinct words, however
    often a value occurs. A word that is no word of the list is compared with the list's words (and pairs of neighbours
-   that lost the space between them) by a partition-based pigeonhole join: each reference string is cut into K + 1
-   segments, of which one must survive K edits, at a position that moved by at most K; an equality join on (length,
-   segment, substring) finds the candidates, Spark's ``levenshtein`` verifies them.
+   that lost the space between them) by a partition-based pigeonhole join: an edit spoils one segment, or two where
+   neighbours at a cut are swapped, so of the 2 K + 1 segments that a reference string is cut into one must survive K
+   edits, at a position that moved by at most K; an equality join on (length, segment, substring) finds the candidates,
+   Spark's ``levenshtein`` verifies them (a swap costs it two, which the letters in common tell from two changes).
 3. A misspelling must look like one: a word that occurs in many different values is a word of its own ("lever"), not
    another word misspelt ("ledger").
 4. The set of corrected words is looked up among the forms by equality. What finds none is reported by an anti-join.
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from corvane.operators.skew import skew_join
 from corvane.session import cut
 
-#: Edits that a word may have suffered; words shorter than LONG may have one, or two neighbours swapped.
-K, LONG = 2, 6
+#: Edits that a word of LONG letters or more may have suffered, and a shorter one; two neighbours swapped are one edit.
+K, K_SHORT, LONG = 2, 1, 6
 #: A word in at least OWN values, and in more than OWN_SHARE of the values its reference word is in, is no misspelling.
 OWN, OWN_SHARE = 3, 0.05
 #: What kind of thing a name calls itself, and words that say nothing on which entry is meant.
@@ -100,14 +101,27 @@ def vocabulary(ontology: DataFrame) -> DataFrame:
     return single.unionByName(pairs.join(single, "ref", "left_anti"))
 
 
-def _segments(ref: DataFrame) -> DataFrame:
-    """Cut each ref into K + 1 segments of nearly equal length: (ref, len, seg, at, piece), at starting with 1."""
-    n, m = F.length("ref"), K + 1
-    cut = ref.select("*", n.alias("len"), F.explode(F.sequence(F.lit(0), F.lit(K))).alias("seg"))
-    at = F.floor(F.col("seg") * F.col("len") / m).cast("int")
-    to = F.floor((F.col("seg") + 1) * F.col("len") / m).cast("int")
-    cut = cut.withColumn("at", at + 1).withColumn("width", to - at)
-    return cut.withColumn("piece", F.expr("substring(ref, at, width)"))
+def _edits(length: Column) -> Column:
+    return F.when(length >= LONG, K).otherwise(K_SHORT)
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """For each reference length ``len``: the numbers of its segments, where they start (from 1) and how long they are."""
+    n = 2 * _edits(F.col("len")) + 1
+    df = df.withColumn("parts_n", n).select("*", F.explode(F.sequence(F.lit(0), F.col("parts_n") - 1)).alias("seg"))
+    start, stop = (F.floor((F.col("seg") + i) * F.col("len") / F.col("parts_n")).cast("int") for i in (0, 1))
+    return df.withColumn("at", start + 1).withColumn("width", stop - start).where("width > 0").drop("parts_n")
+
+
+def _changed(a: str, b: str, distance: str) -> Column:
+    """Edits between two words, swaps counted once: letters that differ, and half of what levenshtein adds to them."""
+    letters = F.aggregate(
+        F.array_distinct(F.split(b, "")),
+        F.lit(0),
+        lambda s, c: s + F.least(F.length(a) - F.length(F.replace(F.col(a), c, F.lit(""))), F.length(b) - F.length(F.replace(F.col(b), c, F.lit("")))),
+    )
+    other = F.greatest(F.length(a), F.length(b)) - letters
+    return other + F.ceil((F.col(distance) - other) / 2)
 
 
 def corrections(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -120,20 +134,18 @@ def corrections(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     known = tokens.join(vocab.select(F.col("ref").alias("token"), "parts"), "token")
     strange = tokens.join(vocab.select(F.col("ref").alias("token")), "token", "left_anti")
     weight = vocab.join(tokens.select(F.col("token").alias("ref"), F.col("n").alias("ref_n")), "ref", "left")
-    refs = _segments(weight.where(F.length("ref") > K).select("ref", "parts", F.coalesce("ref_n", F.lit(0)).alias("ref_n")))
+    refs = _cut(weight.where(F.length("ref") > 2).select("ref", "parts", F.coalesce("ref_n", F.lit(0)).alias("ref_n"), F.length("ref").alias("len")))
+    refs = refs.select("ref", "parts", "ref_n", "len", "seg", F.expr("substring(ref, at, width)").alias("piece"))
     # all places at which a surviving segment of a reference of each possible length can stand in the token
     probes = strange.where(F.length("token") > 1).select("token", "n", F.explode(F.sequence(F.length("token") - K, F.length("token") + K)).alias("len"))
-    probes = probes.where(F.col("len") > K).select("*", F.explode(F.sequence(F.lit(0), F.lit(K))).alias("seg"))
-    start, stop = (F.floor((F.col("seg") + i) * F.col("len") / (K + 1)).cast("int") for i in (0, 1))
-    probes = probes.withColumn("at", start + 1).withColumn("width", stop - start).select("*", F.explode(F.sequence(F.lit(-K), F.lit(K))).alias("shift"))
-    probes = probes.where((F.col("at") + F.col("shift") >= 1) & (F.col("at") + F.col("shift") + F.col("width") - 1 <= F.length("token")))
-    probes = probes.select("token", "n", "len", "seg", F.expr("substring(token, at + shift, width)").alias("piece")).distinct()
-    pairs = probes.join(refs, ["len", "seg", "piece"]).select("token", "n", "ref", "parts", "ref_n").distinct()
-    pairs = pairs.withColumn("edits", F.levenshtein("token", "ref", K)).where(F.col("edits") >= 0)
-    swapped = F.array_sort(F.split("token", "")) == F.array_sort(F.split("ref", ""))
-    pairs = pairs.where((F.col("edits") <= 1) | (F.length("ref") >= LONG) | swapped)
+    probes = _cut(probes.where("len > 2")).select("*", F.explode(F.sequence(F.lit(-K), F.lit(K))).alias("shift"))
+    probes = probes.where((F.abs("shift") <= _edits(F.col("len"))) & (F.col("at") + F.col("shift") >= 1) & (F.col("at") + F.col("shift") + F.col("width") - 1 <= F.length("token")))
+    probes = probes.select("token", "n", "len", "seg", F.expr("substring(token, at + shift, width)").alias("piece"))
+    pairs = probes.join(refs, ["len", "seg", "piece"]).withColumn("distance", F.levenshtein("token", "ref", 2 * K)).where("distance >= 0")
+    pairs = pairs.select("token", "n", "ref", "parts", "ref_n", "distance").distinct().withColumn("edits", _changed("token", "ref", "distance"))
+    pairs = pairs.where(F.col("edits") <= _edits(F.length("ref")))
     pairs = pairs.where((F.col("n") < OWN) | (F.col("n") <= OWN_SHARE * F.col("ref_n")))
-    best = pairs.groupBy("token").agg(F.min(F.struct("edits", -F.col("ref_n"), "ref", "parts")).alias("b")).select("token", F.col("b.parts").alias("parts"))
+    best = pairs.groupBy("token").agg(F.min(F.struct("edits", "distance", -F.col("ref_n"), "ref", "parts")).alias("b")).select("token", F.col("b.parts").alias("parts"))
     own = strange.join(best.select("token"), "token", "left_anti").select("token", F.array("token").alias("parts"))
     return known.select("token", "parts").unionByName(best).unionByName(own)
 

@@ -63,7 +63,7 @@ LIST = [
     "value, entry",
     [
         ("synaptic  MORTAR leakage model", 1), ("Leakage of the Mortar (Synaptic) as a cause of aging", 1), ("Mortar Leakage", 1), ("Dermal Ledger Seepage Concept", 2), ("Ledger seepage in dermal ageing", 2), ("silent-lighthouse paradigm", 1),
-        ("S.M.L.M.", 1), ("SMLM theory", 1), ("the so-called Synaptic Mortar Leakage Model (SMLM), revised", 1), ("Synaptc Motrar Leakage Modle", 1), ("mortarleakage framework", 1), ("Retinal Anvil Taering Model", 3), ("Oar Build-up Hypothesis", 4),
+        ("S.M.L.M.", 1), ("SMLM theory", 1), ("the so-called Synaptic Mortar Leakage Model (SMLM), revised", 1), ("Synaptc Motrar Leakage Modle", 1), ("mortarleakage framework", 1), ("Retinal Anvil Taering Model", 3), ("Retinal Anvil Taerign Model", 3), ("Syynpatic_Mortar-Leakage", 1), ("Oar Build-up Hypothesis", 4),
         ("Dermal Mortar Leakage Model", None), ("Synaptic Mortar Migration Model", None), ("Synaptic Anvil Leakage", None), ("Theory of aging", None), ("?", None), ("Leakage", None), ("Synaptic Mortar Leakage Model of Drugol", None), ("SMLX", None), ("12", None),
         ("x" * 50000, None),
     ],
@@ -88,6 +88,8 @@ def test_names_found_and_unmatched(df):
 
 
 def brute_correction(token, vocab):
+    """By plain edit distance; a swap that distance counts twice is told by the letters in common."""
+
     def distance(a, b):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
@@ -97,13 +99,18 @@ def brute_correction(token, vocab):
             row = new
         return row[-1]
 
-    ok = [(d, w) for w in vocab if (d := distance(token, w)) <= 2 and len(w) > 2 and len(token) > 1 and (d <= 1 or len(w) >= 6 or sorted(token) == sorted(w))]
-    return min(ok)[1] if ok else token
+    def edits(a, b):
+        d, other = distance(a, b), max(len(a), len(b)) - sum(min(a.count(c), b.count(c)) for c in set(b))
+        return other + math.ceil((d - other) / 2), d
+
+    ok = [(*edits(token, w), w) for w in vocab if len(w) > 2 and len(token) > 1 and abs(len(w) - len(token)) <= 2]
+    ok = [o for o in ok if o[1] <= 4 and o[0] <= (2 if len(o[2]) >= 6 else 1)]
+    return min(ok)[2] if ok else token
 
 
 def test_pigeonhole_join_against_brute_force(df):
     vocab = ["leakage", "mortar", "oar", "tide", "synaptic", "loom", "tearing", "wearing"]
-    tokens = {"".join(t) for w in vocab for i in range(len(w) + 1) for t in (w[:i] + "x" + w[i:], w[:i] + w[i + 1 :], w[:i] + "q" + w[i + 2 :], w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :])}
+    tokens = {"".join(t) for w in vocab for i in range(len(w) + 1) for t in (w[:i] + "x" + w[i:], w[:i] + w[i + 1 :], w[:i] + "q" + w[i + 2 :], w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :], w[1:2] + w[:1] + w[2:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :], w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :] + "z")}
     got = canonical.corrections(df([(t, 1) for t in sorted(tokens) if t], "token string, n bigint"), df([(w, [w]) for w in vocab], "ref string, parts array<string>"))
     for r in got.collect():
         assert r.parts[0] == (r.token if r.token in vocab else brute_correction(r.token, vocab)), r
