@@ -42,6 +42,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there, so that lost executors cost no lineage."""
     ensure_checkpoint_dir(df.sparkSession)
+    # A checkpoint keeps its plan's partitioning, though adaptive execution may have coalesced it; a union that trusts the
+    # partitioning of its inputs then fails on their differing numbers of partitions.
+    df.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     return df.checkpoint(eager=True)
 
 
