@@ -59,18 +59,18 @@ LIST = [
 ]
 
 
-@pytest.mark.parametrize(
-    "value, entry",
-    [
+CASES = [
         ("synaptic  MORTAR leakage model", 1), ("Leakage of the Mortar (Synaptic) as a cause of aging", 1), ("Mortar Leakage", 1), ("Dermal Ledger Seepage Concept", 2), ("Ledger seepage in dermal ageing", 2), ("silent-lighthouse paradigm", 1),
         ("S.M.L.M.", 1), ("SMLM theory", 1), ("the so-called Synaptic Mortar Leakage Model (SMLM), revised", 1), ("Synaptc Motrar Leakage Modle", 1), ("mortarleakage framework", 1), ("Retinal Anvil Taering Model", 3), ("Retinal Anvil Taerign Model", 3), ("Syynpatic_Mortar-Leakage", 1), ("Oar Build-up Hypothesis", 4),
         ("Dermal Mortar Leakage Model", None), ("Synaptic Mortar Migration Model", None), ("Synaptic Anvil Leakage", None), ("Theory of aging", None), ("?", None), ("Leakage", None), ("Synaptic Mortar Leakage Model of Drugol", None), ("SMLX", None), ("12", None),
         ("x" * 50000, None),
-    ],
-)
-def test_canonical_names(df, value, entry):
-    got = canonical.match_values(df([(value,)], "value string"), df(LIST, ONTOLOGY)).collect()
-    assert [r.ontology_id for r in got] == ([entry] if entry else [])
+]
+
+
+def test_canonical_names(df):
+    got = canonical.match_values(df([(v,) for v, _ in CASES], "value string"), df(LIST, ONTOLOGY)).collect()
+    found = {r.value: r.ontology_id for r in got}
+    assert {v[:60]: found.get(v) for v, _ in CASES} == {v[:60]: e for v, e in CASES}
 
 
 def test_real_words_are_no_misspellings(df):
