@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.names import answer_option, scored_answer
 
 
+#: A questionnaire has few questions; they become literals of the plan.
+QUESTIONS_MOST = 1000
+
+
 def gate(docs: DataFrame, questions: DataFrame, text: str = "text") -> DataFrame:
     """(doc columns, question_name, ask): a question is asked if it has no keywords or one occurs in the text, whatever the case.
 
-    ``questions``: question_name, keywords; a handful of rows, joined to every document.
+    ``questions``: question_name, keywords; at most QUESTIONS_MOST of them. Each document is read once.
     """
-    q = questions.select("question_name", F.transform(F.coalesce("keywords", F.array().cast("array<string>")), F.lower).alias("__k"))
+    asked = questions.select("question_name", "keywords").limit(QUESTIONS_MOST + 1).collect()
+    if len(asked) > QUESTIONS_MOST:
+        raise ValueError(f"more than {QUESTIONS_MOST} questions")
     lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
-    return docs.withColumn("__t", lowered).join(q, F.lit(True)).withColumn("ask", (F.size("__k") == 0) | F.exists("__k", lambda k: F.col("__t").contains(k))).drop("__t", "__k")
+
+    def wanted(keywords: list[str] | None) -> Column:
+        hit = F.lit(not keywords)
+        for k in keywords or []:
+            hit = hit | F.col("__t").contains((k or "").lower())
+        return hit
+
+    each = [F.struct(F.lit(r.question_name).alias("question_name"), wanted(r.keywords).alias("ask")) for r in sorted(asked)]
+    none = F.array().cast("array<struct<question_name:string,ask:boolean>>")
+    return docs.withColumn("__t", lowered).withColumn("__q", F.explode(F.array(*each) if each else none)).select(*docs.columns, "__q.question_name", "__q.ask")
 
 
 def settle(asked: DataFrame, replies: DataFrame, questions: DataFrame, key: str = "doi") -> DataFrame:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from corvane.functions.similarity import cosine, overlap_coefficient
+from corvane.functions.similarity import overlap_coefficient
 
 #: Largest set that is clustered exactly in one task; its distances take WARD_MOST ** 2 * 8 bytes.
 WARD_MOST = 4000
+#: Centres or queries that a task holds at once.
+SLICE = 4000
 
 
 def means(rows: DataFrame, cluster: str, vector: str) -> DataFrame:
@@ -20,14 +26,46 @@ def means(rows: DataFrame, cluster: str, vector: str) -> DataFrame:
     return per.groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda s: s["m"]).alias("mean"), F.max("n").alias("size"))
 
 
+def _matrix(array: pa.Array) -> np.ndarray:
+    return np.vstack(array.to_numpy(zero_copy_only=False)).astype(np.float64) if len(array) else np.empty((0, 0))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, np.nan)
+
+
+def _slices(side: DataFrame, *columns: str) -> Iterator[list]:
+    """The rows of ``side`` on the driver, SLICE at most at a time."""
+    n = max(1, -(-side.count() // SLICE))
+    for k in range(n):
+        yield side.where(F.pmod(F.xxhash64(columns[0]), F.lit(n)) == k).select(*columns).orderBy(columns[0]).collect()
+
+
 def nearest_mean(rows: DataFrame, key: str, vector: str, centers: DataFrame, cluster: str) -> DataFrame:
-    """(key, cluster, distance): the centre of least cosine distance; ties go to the least cluster.
+    """(key, cluster, distance): the centre of least cosine distance; ties (to nine digits) go to the least cluster.
 
-    The centres are the small side: their number is that of the clusters.
+    Rows stay where they are: the centres go to the tasks, in slices, each compared with whole batches by one matrix
+    product. Rows whose vector is null or zero have no nearest centre.
     """
-    c = centers.select(F.col(cluster).alias("__c"), F.col("mean").alias("__m"))
-    scored = rows.where(F.col(vector).isNotNull()).join(c, F.lit(True)).withColumn("__d", F.round(1 - cosine(F.col(vector), F.col("__m")), 9))
-    return scored.groupBy(key).agg(F.min(F.struct(F.col("__d").alias("d"), F.col("__c").alias("c"))).alias("b")).select(key, F.col("b.c").alias(cluster), F.col("b.d").alias("distance"))
+    kinds = f"`{key}` {rows.schema[key].dataType.simpleString()}, `{cluster}` {centers.schema[cluster].dataType.simpleString()}, distance double"
+    kind = to_arrow_type(centers.schema[cluster].dataType)
+    live = rows.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias(vector))
+    out = None
+    for part in _slices(centers, cluster, "mean"):
+        names, m = [r[0] for r in part], _unit(np.array([r[1] for r in part], dtype=np.float64)) if part else np.empty((0, 0))
+
+        def nearest(batches: Iterator[pa.RecordBatch], names: list = names, m: np.ndarray = m) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not len(names) or not batch.num_rows:
+                    continue
+                d = np.round(1 - _unit(_matrix(batch.column(1))) @ m.T, 9)
+                ok = np.flatnonzero(~np.isnan(d).all(axis=1))
+                at = np.nanargmin(d[ok], axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), pa.array([names[k] for k in at], kind), pa.array(d[ok, at])], [key, cluster, "distance"])
+
+        one = live.mapInArrow(nearest, kinds)
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy(key).agg(F.min(F.struct(F.col("distance").alias("d"), F.col(cluster).alias("c"))).alias("b")).select(key, F.col("b.c").alias(cluster), F.col("b.d").alias("distance"))
 
 
 def absorb_small(rows: DataFrame, key: str, vector: str, cluster: str, least: int = 5) -> DataFrame:
@@ -40,11 +78,36 @@ def absorb_small(rows: DataFrame, key: str, vector: str, cluster: str, least: in
 
 
 def most_similar(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
-    """(query, key, similarity, rank): the ``k`` rows most alike each query, itself left out. All rows are compared."""
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"))
-    scored = rows.join(q, F.col(key) != F.col("query")).select("query", key, F.round(cosine(F.col(vector), F.col("__q")), 6).alias("similarity"))
+    """(query, key, similarity, rank): the ``k`` rows most alike each query, itself left out; ties go to the least key.
+
+    A stated set of queries against all rows, in blocks: queries go to the tasks in slices, a batch of rows is one
+    matrix product, and only the best ``k`` of each batch leave the task, so that what is shuffled is batches times
+    queries, not rows times queries.
+    """
+    kind, arrow = rows.schema[key].dataType.simpleString(), to_arrow_type(rows.schema[key].dataType)
+    live = rows.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, F.col(vector).cast("array<double>").alias(vector))
+    asked = queries.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias(vector))
+    out = None
+    for part in _slices(asked, key, vector):
+        names, m = np.array([r[0] for r in part]), _unit(np.array([r[1] for r in part], dtype=np.float64)) if part else np.empty((0, 0))
+
+        def best(batches: Iterator[pa.RecordBatch], names: np.ndarray = names, m: np.ndarray = m) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not len(names) or not batch.num_rows:
+                    continue
+                keys = batch.column(0).to_numpy(zero_copy_only=False)
+                s = np.round(m @ _unit(_matrix(batch.column(1))).T, 6)
+                s[(names[:, None] == keys[None, :]) | np.isnan(s)] = -np.inf
+                order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :k]
+                q = np.repeat(np.arange(len(names)), order.shape[1])
+                r = order.ravel()
+                ok = np.isfinite(s[q, r])
+                yield pa.RecordBatch.from_arrays([pa.array(names[q[ok]], arrow), pa.array(keys[r[ok]], arrow), pa.array(s[q[ok], r[ok]])], ["query", key, "similarity"])
+
+        one = live.mapInArrow(best, f"query {kind}, `{key}` {kind}, similarity double")
+        out = one if out is None else out.unionByName(one)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def ward(rows: DataFrame, key: str, vector: str, cutoff: float, group: str | None = None) -> DataFrame:

@@ -43,11 +43,14 @@ def with_precedence(first: DataFrame, second: DataFrame, key: str, decides: str
 def surrogate_ids(rows: DataFrame, *order: str, prefix: str = "T", width: int = 6) -> DataFrame:
     """Running ids ``T000001`` in the given order, without a global sort in one task.
 
-    Rows are range-partitioned and sorted by the order; each partition's size is counted, and its offset added.
+    Rows are range-partitioned by the order and written once with the number of their partition; each partition's size
+    is counted, and the sizes before it are added to the ranks within it.
     """
     from pyspark.sql.types import LongType
 
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    from corvane.session import cut
+
+    spread = cut(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     counts = spread.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("__part", F.coalesce(before, F.lit(0)).cast(LongType()).alias("__offset"))
