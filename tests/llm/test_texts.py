@@ -87,6 +87,20 @@ def test_large_blocks_are_split(mixed, monkeypatch):
     assert len(got & want) >= 0.98 * len(want)
 
 
+def test_oversized_blocks_are_fitted(spark, monkeypatch):
+    """A concept triple of more than CAP classes: each class has a density, and the fringe isn't what is typical."""
+    monkeypatch.setattr(mixture, "CAP", 8)
+    hot = [["hot alpha", "hot beta", "hot gamma", f"own {i}"] for i in range(40)]
+    rare = [["hot alpha", "hot beta", "hot gamma", "rare delta", f"fringe {i}"] for i in range(2)]
+    out = [(i + 1, "d", f"n{i}", "m", "e", "h", None, 1, json.dumps([{"concept": c} for c in cs])) for i, cs in enumerate(hot + rare)]
+    frame = spark.createDataFrame(out, THEORY)
+    m = mixture.similar(frame)
+    assert m.classes.count() == 42 and m.density.where("density IS NOT NULL").count() == 42
+    assert m.links.count() == 42 * 41 // 2
+    (c,) = mixture.clusters(frame).collect()
+    assert c["size"] == 42 and not {41, 42} & set(c.typical_ids)
+
+
 def test_mixture_edges(spark):
     empty = spark.createDataFrame([], THEORY)
     assert mixture.pairs_found(empty).isEmpty() and mixture.clusters(empty).isEmpty()
