@@ -8,8 +8,9 @@
    neighbours at a cut are swapped, so of the 2 K + 1 segments that a reference string is cut into one must survive K
    edits, at a position that moved by at most K; an equality join on (length, segment, substring) finds the candidates,
    Spark's ``levenshtein`` verifies them (a swap costs it two, which the letters in common tell from two changes).
-3. A misspelling must look like one: a word that occurs in many different values is a word of its own ("lever"), not
-   another word misspelt ("ledger").
+3. A misspelling must look like one: a word that occurs in many different contexts is a word of its own ("lever"), not
+   another word misspelt ("ledger"), unless correcting it makes forms of many of these contexts. A context is the set of
+   the other words of a value, fillers aside, so copies that differ in case, punctuation or fillers count once.
 4. The set of corrected words is looked up among the forms by equality. What finds none is reported by an anti-join.
 """
 
@@ -23,8 +24,10 @@ from corvane.session import cut
 
 #: Edits that a word of LONG letters or more may have suffered, and a shorter one; two neighbours swapped are one edit.
 K, K_SHORT, LONG = 2, 1, 6
-#: A word in at least OWN values, and in more than OWN_SHARE of the values its reference word is in, is no misspelling.
-OWN, OWN_SHARE = 3, 0.05
+#: A word in at least OWN contexts, and in more than OWN_SHARE as many as its reference word, is no misspelling, unless its
+#: correction makes different forms, TRUE of them for each of its contexts (measured on two tables: 0.5 and more for
+#: misspellings, 0.01 and less for other words). Contexts that differ in the word for the kind alone make one form.
+OWN, OWN_SHARE, TRUE = 3, 0.05, 0.25
 #: What kind of thing a name calls itself, and words that say nothing on which entry is meant.
 KINDS = ["theory", "theories", "model", "models", "framework", "hypothesis", "hypotheses", "concept", "paradigm", "mechanism", "approach", "account", "view"]
 FILLERS = [
@@ -124,14 +127,11 @@ def _changed(a: str, b: str, distance: str) -> Column:
     return other + F.ceil((F.col(distance) - other) / 2)
 
 
-def corrections(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(token, parts): the words of the list that a token stands for.
+def candidates(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(token, n, ref, parts, ref_n, distance, edits): the reference words within the allowed edits of the tokens that are none.
 
-    ``tokens``: (token, n), n being the number of values it is in. A token that the list has stands for itself; another
-    one stands for the nearest reference word within the allowed edits (ties: the more frequent, then the first in the
-    alphabet), unless it is a word of its own; all others stand for themselves too.
+    ``tokens``: (token, n), n being the number of values it is in.
     """
-    known = tokens.join(vocab.select(F.col("ref").alias("token"), "parts"), "token")
     strange = tokens.join(vocab.select(F.col("ref").alias("token")), "token", "left_anti")
     weight = vocab.join(tokens.select(F.col("token").alias("ref"), F.col("n").alias("ref_n")), "ref", "left")
     refs = _cut(weight.where(F.length("ref") > 2).select("ref", "parts", F.coalesce("ref_n", F.lit(0)).alias("ref_n"), F.length("ref").alias("len")))
@@ -143,11 +143,43 @@ def corrections(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     probes = probes.select("token", "n", "len", "seg", F.expr("substring(token, at + shift, width)").alias("piece"))
     pairs = probes.join(refs, ["len", "seg", "piece"]).withColumn("distance", F.levenshtein("token", "ref", 2 * K)).where("distance >= 0")
     pairs = pairs.select("token", "n", "ref", "parts", "ref_n", "distance").distinct().withColumn("edits", _changed("token", "ref", "distance"))
-    pairs = pairs.where(F.col("edits") <= _edits(F.length("ref")))
-    pairs = pairs.where((F.col("n") < OWN) | (F.col("n") <= OWN_SHARE * F.col("ref_n")))
+    return pairs.where(F.col("edits") <= _edits(F.length("ref")))
+
+
+def corrections(tokens: DataFrame, vocab: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(token, parts): the words of the list that a token stands for.
+
+    A token that the list has stands for itself; another one stands for the nearest reference word of ``pairs`` (all
+    ``candidates`` if not given; ties: the more frequent, then the first in the alphabet); all others stand for themselves too.
+    """
+    pairs = candidates(tokens, vocab) if pairs is None else pairs
+    known = tokens.join(vocab.select(F.col("ref").alias("token"), "parts"), "token").select("token", "parts")
     best = pairs.groupBy("token").agg(F.min(F.struct("edits", "distance", -F.col("ref_n"), "ref", "parts")).alias("b")).select("token", F.col("b.parts").alias("parts"))
-    own = strange.join(best.select("token"), "token", "left_anti").select("token", F.array("token").alias("parts"))
-    return known.select("token", "parts").unionByName(best).unionByName(own)
+    named = known.unionByName(best)
+    own = tokens.join(named.select("token"), "token", "left_anti").select("token", F.array("token").alias("parts"))
+    return named.unionByName(own)
+
+
+def _corrected(tokens: DataFrame, fixed: DataFrame) -> DataFrame:
+    """(value, key): the content words of the values with their tokens corrected."""
+    return tokens.join(fixed, "token").groupBy("value").agg(_key(F.flatten(F.collect_set("parts"))).alias("key"))
+
+
+def misspelt(tokens: DataFrame, counted: DataFrame, vocab: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Those ``pairs`` whose token is no word of its own.
+
+    ``tokens``: (value, token); ``counted``: (token, n, contexts). A token in many contexts stays if, with all tokens of its values corrected, there are
+    TRUE different forms (``known``) for each of its contexts.
+    """
+    spread = counted.select("token", "contexts")
+    pairs = cut(pairs.join(spread, "token").join(spread.select(F.col("token").alias("ref"), F.col("contexts").alias("ref_contexts")), "ref", "left"))
+    few = (F.col("contexts") < OWN) | (F.col("contexts") <= OWN_SHARE * F.coalesce("ref_contexts", F.lit(0)))
+    doubted = cut(pairs.where(~few).select("token").distinct())
+    asked = tokens.join(doubted, "token")
+    whole = tokens.join(asked.select("value").distinct(), "value", "left_semi")
+    hits = _corrected(whole, corrections(counted, vocab, pairs)).join(known.select("key"), "key", "left_semi")
+    hits = asked.join(hits, "value").groupBy("token").agg(F.count_distinct("key").alias("hits"))
+    return pairs.join(hits, "token", "left").where(few | (F.coalesce("hits", F.lit(0)) >= TRUE * F.col("contexts")))
 
 
 def mentions(entries: DataFrame, fields: dict[str, str] | None = None, key: str = "theory_id") -> DataFrame:
@@ -164,14 +196,18 @@ def match_values(values: DataFrame, ontology: DataFrame) -> DataFrame:
     Very long values are no special case: they have words that no form has. An empty list matches nothing.
     """
     split = values.select("value", words(F.col("value")).alias("w")).where(F.size("w") > 0)
-    tokens = split.select("value", F.explode(F.array_distinct("w")).alias("token"))
-    counted = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    fixed = cut(corrections(counted, cut(vocabulary(ontology))))
-    back = tokens.join(fixed, "token").groupBy("value").agg(_key(F.flatten(F.collect_set("parts"))).alias("key"))
+    telling = F.array_sort(F.array_distinct(F.filter("w", lambda w: ~w.isin(FILLERS))))
+    contexts = split.select("value", telling.alias("telling"), F.explode(F.array_distinct("w")).alias("token"))
+    contexts = contexts.select("value", "token", F.xxhash64(F.array_join(F.array_remove("telling", F.col("token")), " ")).alias("context"))
+    tokens = contexts.select("value", "token")
+    counted = cut(contexts.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("context").alias("contexts")))
+    vocab, known = cut(vocabulary(ontology)), cut(forms(ontology))
+    pairs = cut(candidates(counted, vocab))
+    fixed = cut(corrections(counted, vocab, cut(misspelt(tokens, counted, vocab, pairs, known))))
+    back = _corrected(tokens, fixed)
     # abbreviations: letters as typed, dots and spaces aside, exact
     long_stop = [w for w in STOP if len(w) > 1]
     spelled = split.select("value", F.concat(F.lit("="), F.array_join(F.filter("w", lambda w: ~w.isin(long_stop)), "")).alias("key"))
-    known = cut(forms(ontology))
     found = back.unionByName(spelled).join(known, "key")
     return found.groupBy("value").agg(F.min("ontology_id").alias("ontology_id"), F.max("ontology_id").alias("last")).where(F.col("ontology_id") == F.col("last")).drop("last")
 

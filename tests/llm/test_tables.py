@@ -79,6 +79,16 @@ def test_real_words_are_no_misspellings(df):
     assert sorted(r.value for r in got.collect()) == ["Dermal Ledegr Leakage Theory", "Dermal Ledger Leakage Model", "Dermal Ledger Leakage Theory"]
 
 
+def test_repeated_misspellings_are_corrected(df):
+    """Neither cosmetic copies of a misspelt name nor one misspelling in many names make it a word of its own."""
+    copies_ = ["Dermal Ledegr Leakage Theory", "'dermal ledegr leakage theory'", "Dermal - LEDEGR - Leakage Theory", "the Dermal Ledegr Leakage Theory, revised"]
+    names = [f"{site} Ledegr Leakage Theory" for site in ("Dermal", "Gastric", "Ocular", "Renal")]
+    listed = [*LIST, *[(10 + i, "c", "s", n.replace("Ledegr", "Ledger"), [], [], None) for i, n in enumerate(names[1:])]]
+    for values in (copies_, names):
+        got = canonical.match_values(df([(v,) for v in values], "value string"), df(listed, ONTOLOGY))
+        assert sorted(r.value for r in got.collect()) == sorted(values)
+
+
 def test_names_found_and_unmatched(df):
     entry = "theory_id string, original_name string, mapped_name string, match_result struct<canonical_name:string>, value string"
     e = df([("T1", "SMLM", None, ("Mortar Leakage",), "x"), ("T1", "SMLM", None, ("Mortar Leakage",), "x"), ("T2", "nothing", "", None, "x"), (None, "SMLM", None, None, "x")], entry)
