@@ -101,6 +101,14 @@ def test_oversized_blocks_are_fitted(spark, monkeypatch):
     assert c["size"] == 42 and not {41, 42} & set(c.typical_ids)
 
 
+def test_every_record_is_in_one_cluster(mixed):
+    frame, truth = mixed
+    c = mixture.all_clusters(frame).collect()
+    assert sum(r["size"] for r in c) == len(truth) + 4 and len({r.cluster_id for r in c}) == len(c)
+    short = {r.cluster_id: (r["size"], r.typical_ids) for r in c if r.cluster_id > 9000}
+    assert short == {9001: (2, [9001, 9002]), 9003: (1, [9003]), 9004: (1, [9004])}
+
+
 def test_mixture_edges(spark):
     empty = spark.createDataFrame([], THEORY)
     assert mixture.pairs_found(empty).isEmpty() and mixture.clusters(empty).isEmpty()
