@@ -19,10 +19,10 @@ def filtered(m: DataFrame) -> DataFrame:
 
 
 def named(m: DataFrame, ontology: DataFrame) -> DataFrame:
-    """Stages 1 to 3: (theory_id, original, name, stage): matched names, then mapped ones, then refined ones."""
+    """Stages 1 to 3: (theory_id, original, name, stage): names matched by the whole ladder, then mapped ones, then refined ones."""
     rows = m.select("theory_id", F.col("name").alias("original"))
     distinct = cut(rows.select(F.col("original").alias("name")).distinct())
-    matched = cut(matching.match_exact(distinct, ontology).unionByName(matching.match_abbreviation(distinct, ontology)).groupBy("name").agg(F.min("canonical").alias("mapped")))
+    matched = cut(matching.match_names(distinct, ontology).where("matched").select("name", F.col("canonical").alias("mapped")))
     left = cut(distinct.join(matched, "name", "left_anti"))
     mapped = cut(annotators.map_names(left, annotators.rule_key).select("name", "mapped"))
     refined = annotators.map_names(mapped.select(F.col("mapped").alias("name")), annotators.rule_key).select(F.col("name").alias("mapped"), F.col("mapped").alias("refined"))
@@ -31,11 +31,17 @@ def named(m: DataFrame, ontology: DataFrame) -> DataFrame:
     return rows.join(every.withColumnRenamed("name", "original"), "original").select("theory_id", "original", F.col("mapped").alias("name"), "stage")
 
 
-def clustered(rows: DataFrame) -> DataFrame:
+def clustered(rows: DataFrame, stage: int = 5) -> DataFrame:
     """Names in clusters of a common first core word (in the place of embeddings), with their role by size."""
     sizes = rows.groupBy("name").agg(F.count(F.lit(1)).alias("total"))
     key = F.coalesce(F.get(names.core_tokens(F.col("name")), 0), F.lower("name"))
-    return consolidate.split_by_size(sizes.withColumn("cluster", key), "total", 5)
+    return consolidate.split_by_size(sizes.withColumn("cluster", key), "total", stage)
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """Stage 7: the names that stage 6 left in clusters again; singletons take a reference name of theirs, if there is one."""
+    mapped = annotators.refine_rare(clustered(rows, 7), annotators.rule_first_reference).groupBy("name").agg(F.min("mapped").alias("mapped"))
+    return consolidate.remapped(rows, mapped).select("theory_id", "original", "name")
 
 
 def cascade(m: DataFrame, ontology: DataFrame, large: int = 40) -> DataFrame:
@@ -54,7 +60,7 @@ def cascade(m: DataFrame, ontology: DataFrame, large: int = 40) -> DataFrame:
 
     parts = annotate.recluster(asked, by_digit, "cluster_name string, theory_id string, subcluster_name string")
     split = parts.select("theory_id", "subcluster_name")
-    return rows.join(split, "theory_id", "left").select("theory_id", "original", F.coalesce("subcluster_name", "name").alias("name"))
+    return gathered(cut(rows.join(split, "theory_id", "left").select("theory_id", "original", F.coalesce("subcluster_name", "name").alias("name"))))
 
 
 def _mentions(spark: SparkSession, d: str) -> DataFrame:

@@ -68,3 +68,14 @@ def test_prompts(df):
 def test_cascade_conserves(spark, data):
     lost = cascade.naming_cascade_conserves(spark, data).first()
     assert lost.extra == 0 and lost.duplicates == 0
+
+
+def test_cascade_matches_fuzzily_and_gathers(df):
+    listed = df([(1, "Mitochondrial Free Radical Theory", [], [])], "ontology_id bigint, name string, aliases array<string>, abbreviations array<string>")
+    m = df([("T1", "Mitochondrial Free Radicals Theory"), ("T2", "Something Else Entirely")], "theory_id string, name string")
+    got = {r.theory_id: (r.name, r.stage) for r in cascade.named(m, listed).collect()}
+    assert got == {"T1": ("Mitochondrial Free Radical Theory", "matched"), "T2": ("Something Else Entirely", "refined")}
+    names = ["Damage Accrual"] * 3 + ["Accrual Burden"] + ["Accrual Spread"] * 2 + ["Lone Wolf"]
+    rows = df([(f"T{i}", n, n) for i, n in enumerate(names)], "theory_id string, original string, name string")
+    got = {r.original: r.name for r in cascade.gathered(rows).collect()}
+    assert got == {"Damage Accrual": "Damage Accrual", "Accrual Burden": "Damage Accrual", "Accrual Spread": "Accrual Spread", "Lone Wolf": "Lone Wolf"}
