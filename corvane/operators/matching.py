@@ -135,7 +135,7 @@ def compound_agreement(name: str, alias: str, least: float = 0.8) -> tuple:
     x, y = names.core_tokens(F.col(name)), names.core_tokens(F.col(alias))
     small, large = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
     overlap = F.size(F.array_intersect(x, y)) / small
-    single = similarity.ratio(x[0], y[0])
+    single = similarity.ratio(F.coalesce(F.get(x, 0), F.lit("")), F.coalesce(F.get(y, 0), F.lit("")))
     agrees = F.when(small == 0, False).when(large == 1, single >= 93).otherwise((overlap >= least) & (small / large >= 0.6))
     return agrees, F.when(small == 0, 0.0).when(large == 1, single / 100).otherwise(overlap)
 

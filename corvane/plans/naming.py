@@ -141,9 +141,8 @@ def abbreviation_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fuzzy_match_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """Abbreviation, exact, fuzzy: every distinct name of the theories with its match or its nearest alias."""
-    todo = table(spark, d, "theories").select("name").where("name IS NOT NULL").distinct()
-    return matching.match_names(todo, table(spark, d, "ontology")).withColumn("score", F.round("score", 4))
+    """Abbreviation, exact, fuzzy: every distinct name of the mentions with its match or its nearest alias."""
+    return matching.match_names(_names(spark, d), table(spark, d, "ontology")).withColumn("score", F.round("score", 4))
 
 
 @query(f"SELECT n AS name FROM {NAMES} WHERE n <> '' AND n NOT IN (SELECT name FROM ontology)")
@@ -246,7 +245,8 @@ def name_exemplars(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def similarity_batches(spark: SparkSession, d: str) -> DataFrame:
-    return batching.similar_batches(table(spark, d, "ontology").select("name"), 20)
+    """The names of the mentions that the list does not hold."""
+    return batching.similar_batches(matching.not_listed(_names(spark, d), table(spark, d, "ontology")), 20)
 
 
 @query("SELECT category, subcategory, name, alias FROM (SELECT category, subcategory, name, unnest(coalesce(aliases, [])) AS alias FROM ontology)")

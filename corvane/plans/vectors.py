@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import similarity
-from corvane.operators import vectors
+from corvane.operators import matching, vectors
 from corvane.plans.registry import query
 from corvane.session import table
 
@@ -75,4 +75,6 @@ def subclusters_to_recluster_with(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def alphabetical_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.neighbours_by_tfidf(table(spark, d, "ontology").select("name"))
+    """The names of the mentions that the list does not hold."""
+    names = table(spark, d, "theory_entries").select(F.col("original_name").alias("name"))
+    return vectors.neighbours_by_tfidf(matching.not_listed(names, table(spark, d, "ontology")))

@@ -4,6 +4,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corvane.functions import names, similarity
+from corvane.operators import matching
+from corvane.plans import catalogue
 
 
 def column(df, values, f, kind="string"):
@@ -84,3 +86,19 @@ def test_vector_and_set_similarity(df):
     row = df([([1.0, 0.0], [1.0, 1.0], ["a", "b"], ["b"]), ([0.0, 0.0], [1.0, 1.0], [], ["b"])], "a array<double>, b array<double>, x array<string>, y array<string>")
     got = row.select(F.round(similarity.cosine(F.col("a"), F.col("b")), 4), similarity.overlap_coefficient(F.col("x"), F.col("y"))).collect()
     assert [tuple(r) for r in got] == [(0.7071, 1.0), (None, 0.0)]
+
+
+def test_costly_name_queries_read_the_mentions(spark, data):
+    queries = catalogue.queries()
+    mentions = {r[0] for r in spark.read.parquet(f"{data}/theory_entries.parquet").select("original_name").distinct().collect()} - {None}
+    assert {r.name for r in queries["fuzzy_match_ladder"](spark, data).select("name").collect()} == mentions
+    todo = {r.name for r in queries["names_not_listed"](spark, data).collect()}
+    assert {r.name for r in queries["similarity_batches"](spark, data).select("name").collect()} == todo
+    pairs = queries["alphabetical_neighbours"](spark, data).select("a", "b").collect()
+    assert pairs and {n for r in pairs for n in r} <= todo
+
+
+def test_names_without_core_words_can_be_compared(df):
+    rows = df([("the of", "the of"), ("?", "Wear"), ("Wear", "Wear")], "name string, alias string")
+    agrees, overlap = matching.compound_agreement("name", "alias")
+    assert [tuple(r) for r in rows.select(agrees, overlap).collect()] == [(False, 0.0), (False, 0.0), (True, 1.0)]
