@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import canonical, copies, leak, mixture, packing, residue, sampling, shred
+from corvane.llm import canonical, copies, leak, mixture, packing, residue, sampling
 from corvane.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,35 +119,6 @@ def p5_rows_of_sampled_names(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("theory_id", "normalized_name").agg(F.count(F.lit(1)).alias("deliveries"))
 
 
-# ---- problem 6
-
-
-@query("""WITH b AS (SELECT batch_id, s.i AS p, batch_result.subclusters[s.i].theory_ids AS ids FROM stage6_batches, unnest(range(1, len(batch_result.subclusters) + 1)) AS s(i)),
-i AS (SELECT 'stage6_batches' AS table_name, batch_id AS record_key, p - 1 AS parent_pos, q.i - 1 AS child_pos, ids[q.i] AS child_key FROM b, unnest(range(1, len(ids) + 1)) AS q(i)),
-x AS (SELECT record_id, payload::JSON->'theories' AS t FROM extraction_results WHERE json_valid(payload)),
-x1 AS (SELECT record_id, CASE json_type(t) WHEN 'ARRAY' THEN t WHEN 'OBJECT' THEN json_array(t) ELSE '[]'::JSON END AS t FROM x WHERE t IS NOT NULL),
-th AS (SELECT record_id, p.i AS p, json_extract(t, '$[' || p.i || '].key_concepts') AS k FROM x1, unnest(range(0, json_array_length(t)::BIGINT)) AS p(i)),
-k0 AS (SELECT record_id, p, CASE WHEN json_type(k) = 'VARCHAR' AND json_valid(k->>'$') THEN (k->>'$')::JSON ELSE k END AS k FROM th WHERE k IS NOT NULL),
-k1 AS (SELECT record_id, p, CASE json_type(k) WHEN 'ARRAY' THEN k WHEN 'NULL' THEN '[]'::JSON ELSE json_array(k) END AS k FROM k0),
-c AS (SELECT record_id, p, q.i AS q, json_extract(k, '$[' || q.i || ']') AS c FROM k1, unnest(range(0, json_array_length(k)::BIGINT)) AS q(i)),
-f AS (SELECT 'extraction_results' AS table_name, record_id AS record_key, p AS parent_pos, q AS child_pos, CASE json_type(c) WHEN 'VARCHAR' THEN c->>'$' WHEN 'OBJECT' THEN c->>'$.concept' END AS child_key FROM c)
-SELECT table_name, record_key, parent_pos::INT AS parent_pos, child_pos::INT AS child_pos, child_key FROM (SELECT * FROM i UNION ALL SELECT * FROM f) WHERE trim(coalesce(child_key, '')) <> ''""")
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return shred.shred_found(table(spark, d, "stage6_batches"), table(spark, d, "extraction_results"))
-
-
-@query("""SELECT batch_id AS record, (s.i - 1)::INT AS sub_pos, batch_result.subclusters[s.i].subcluster_name AS subcluster_name, batch_result.subclusters[s.i].mechanism_focus AS mechanism_focus,
-  batch_result.subclusters[s.i].theory_count::VARCHAR AS theory_count, batch_result.subclusters[s.i].status AS status, batch_result.subclusters[s.i].warning_reason AS warning_reason
-FROM stage6_batches, unnest(range(1, len(batch_result.subclusters) + 1)) AS s(i) WHERE batch_result.subclusters[s.i] IS NOT NULL""")
-def p6_subclusters(spark: SparkSession, d: str) -> DataFrame:
-    return shred.subcluster_tables(shred.batch_nodes(table(spark, d, "stage6_batches")))[0]
-
-
-@query()
-def p6_theories(spark: SparkSession, d: str) -> DataFrame:
-    return shred.theory_tables(shred.payload_nodes(table(spark, d, "extraction_results")))[0]
-
-
 # ---- problem 7
 
 

@@ -1,13 +1,11 @@
-"""Problems 1, 4, 5 and 6: copies, canonical names, samples, shredding."""
+"""Problems 1, 4 and 5: copies, canonical names, samples."""
 
-import itertools
-import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import canonical, copies, sampling, shred
+from corvane.llm import canonical, copies, sampling
 
 
 def rows(frame):
@@ -157,43 +155,3 @@ def test_sample_of_names_takes_all_rows(df):
     assert kept.count() == e.join(names, "normalized_name", "left_semi").count() > 0
     redelivered = e.unionByName(e.withColumn("ingested_at", F.expr("ingested_at + interval 40 days")))
     assert rows(sampling.sample_by_id(redelivered, 0.2)) == rows(sampling.sample_by_id(e, 0.2))
-
-
-BATCH = "batch_id bigint, batch_result struct<subclusters:array<struct<subcluster_name:string,theory_ids:array<string>,theory_count:int>>,separation_rationale:string>, record string"
-
-
-def test_shredding(df):
-    b = df([(1, ([("s", ["T1", None, "", "T1"], 2), None, ("t", None, None), ("u", [], None)], "why"), "x"), (2, None, "x"), (3, (None, None), "x"), (None, ([("s", ["T9"], 1)], ""), "x")], BATCH)
-    payloads = {
-        1: {"theories": [{"name": "A", "key_concepts": [{"concept": "c0"}, None, "c2", {"description": "d"}, {"concept": ""}]}, None, {"name": "B", "key_concepts": {"concept": "lone"}}]},
-        2: {"theories": {"name": "C", "key_concepts": json.dumps([{"concept": "t0"}, "t1"])}},
-        3: {"theories": [{"key_concepts": "bare text"}]},
-        4: {"theories": None}, 5: [], 6: None,
-    }
-    p = df([(k, json.dumps(v), "x") for k, v in payloads.items()] + [(7, '{"theories": [{"name"', "x"), (8, None, "x"), (9, "", "x")], "record_id bigint, payload string, node string")
-    assert rows(shred.shred_found(b, p)) == sorted(
-        [("stage6_batches", 1, 0, 0, "T1"), ("stage6_batches", 1, 0, 3, "T1"), ("extraction_results", 1, 0, 0, "c0"), ("extraction_results", 1, 0, 2, "c2"), ("extraction_results", 1, 2, 0, "lone"),
-         ("extraction_results", 2, 0, 0, "t0"), ("extraction_results", 2, 0, 1, "t1"), ("extraction_results", 3, 0, 0, "bare text")], key=str,
-    )
-    table, _ = shred.theory_tables(shred.payload_nodes(p))
-    assert {(r.record, r.theory_pos, r.name) for r in table.collect()} == {(1, 0, "A"), (1, 2, "B"), (2, 0, "C"), (3, 0, None)}
-    assert shred.shred_found(b.limit(0), p.limit(0)).isEmpty()
-
-
-def test_adjacency_is_complete(df):
-    doc = {"a": [1, {"b": None, "c": ["x", []]}], "d": {"e": {"f": True}}}
-    nodes = shred.adjacency(df([(1, json.dumps(doc))], "k int, j string"), "k", F.expr("try_parse_json(j)")).collect()
-
-    def count(x):
-        return 1 + (sum(map(count, x.values())) if isinstance(x, dict) else sum(map(count, x)) if isinstance(x, list) else 0)
-
-    assert len(nodes) == count(doc) and len({n.node for n in nodes}) == len(nodes)
-    assert all(any(m.node == n.parent for m in nodes) for n in nodes if n.parent is not None)
-    assert {n.scalar for n in nodes if n.kind == "scalar"} == {"1", "x", "true"}
-
-
-def test_product_of_positions_is_stable(df):
-    """Positions count elements as stored, whatever the partitioning."""
-    p = df([(i, json.dumps({"theories": [{"key_concepts": [f"c{i}", None, f"d{i}"]}]})) for i in range(40)], "record_id bigint, payload string")
-    got = shred.theory_tables(shred.payload_nodes(p.repartition(9)))[1]
-    assert {(r.record, r.concept_pos, r.concept) for r in got.collect()} == set(itertools.chain.from_iterable([(i, 0, f"c{i}"), (i, 2, f"d{i}")] for i in range(40)))
