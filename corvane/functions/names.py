@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words that the fuzzy key leaves out.
-GENERIC = "hypotheses hypothesis theories theory models model frameworks framework paradigms paradigm approaches approach concepts concept mechanisms mechanism aging ageing senescence".split()
-ARTICLES = ["of", "the", "a", "an"]
+GENERIC = [
+    "hypotheses", "hypothesis", "theories", "theory", "models", "model", "frameworks", "framework", "paradigms", "paradigm", "approaches", "approach", "concepts", "concept", "mechanisms", "mechanism",
+    "aging", "ageing", "senescence",
+]
 CORE_STOP = ["of", "the", "a", "an", "and", "or", "in", "on", "at", "to", "for", "with", "by"]
 SUFFIXES = ["theory", "hypothesis", "model", "framework", "paradigm", "approach"]
 ABBREVIATION = r"[A-Z]{2,6}[0-9]*"
@@ -102,10 +104,8 @@ def file_name(name: Column) -> Column:
 
 
 def abbreviations(name: Column) -> Column:
-    """All abbreviations in brackets, or an upper-case name that is one."""
-    bracketed = F.regexp_extract_all(name, F.lit(r"[\(\[](" + ABBREVIATION + r")[\)\]]"), F.lit(1))
-    whole = F.when(strip(name).rlike("^" + ABBREVIATION + "$"), F.array(strip(name))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(bracketed, whole))
+    """All abbreviations in round or square brackets, in order; a bare upper-case name is none."""
+    return F.regexp_extract_all(name, F.lit(r"[\(\[](" + ABBREVIATION + r")[\)\]]"), F.lit(1))
 
 
 def core_tokens(name: Column) -> Column:

@@ -78,9 +78,14 @@ def even(rows: DataFrame, most: int, group: str, *order: Column | str) -> DataFr
 
 
 def exemplars(rows: DataFrame, name: str, key: str, most: int = 4, seed: str = "42") -> DataFrame:
-    """At most ``most`` rows of each name, chosen by a seeded hash of the key (an operator that samples by design)."""
-    rank = F.row_number().over(Window.partitionBy(name).orderBy(F.md5(F.concat(F.lit(seed + "|"), F.col(key))), key))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= most)
+    """At most ``most`` rows of each name, chosen by a seeded hash of the key (an operator that samples by design).
+
+    Ranked within the ranges of the hash first, so that a name with most of the rows spreads over tasks.
+    """
+    rows = rows.withColumn("__h", F.md5(F.concat(F.lit(seed + "|"), F.col(key))))
+    part = Window.partitionBy(name, F.substring("__h", 1, 2)).orderBy("__h", key)
+    few = rows.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= most)
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy(name).orderBy("__h", key))).where(F.col("rank") <= most).drop("__h")
 
 
 def dynamic_size(canonical: int, size: int = 90, least: int = 30, beyond: int = 3000) -> int:

@@ -36,9 +36,10 @@ def abbreviation_list(ontology: DataFrame) -> DataFrame:
 
 
 def match_abbreviation(names_: DataFrame, ontology: DataFrame) -> DataFrame:
-    """(name, canonical) by the first abbreviation of the name that the list has."""
+    """(name, canonical, abbr) by the first abbreviation of the name that the list has."""
     found = names_.select("name", F.posexplode(names.abbreviations(F.col("name"))).alias("at", "abbr")).join(abbreviation_list(ontology), "abbr")
-    return found.groupBy("name").agg(F.min_by("canonical", "at").alias("canonical"))
+    first = found.groupBy("name").agg(F.min(F.struct("at", "canonical", "abbr")).alias("f"))
+    return first.select("name", "f.canonical", "f.abbr")
 
 
 def match_exact(names_: DataFrame, ontology: DataFrame) -> DataFrame:
@@ -49,6 +50,8 @@ def match_exact(names_: DataFrame, ontology: DataFrame) -> DataFrame:
 def best_fuzzy(names_: DataFrame, ontology: DataFrame) -> DataFrame:
     """(name, canonical, alias, score): the alias with the best of two similarities, token order first.
 
+    The canonical name is that of the alias' fuzzy key in ``exact_aliases``: where keys collide, the last entry's.
+
     Each distinct name is scored once, against the whole list. The list goes to the tasks in slices of about LIST_MOST
     aliases, each with a pass of its own, so that no task holds more of it, however long it is; the slices' winners are
     then compared. Ties go to the earlier alias.
@@ -56,31 +59,32 @@ def best_fuzzy(names_: DataFrame, ontology: DataFrame) -> DataFrame:
     todo = names_.where(F.col("name").isNotNull()).select("name").distinct()
     spark = todo.sparkSession
     ship(spark)
-    aliases = searchable(ontology).select("pos", "canonical", "alias")
+    aliases = searchable(ontology).select("pos", "alias")
     slices = max(1, -(-aliases.count() // LIST_MOST))
     todo = todo.repartition(spark.sparkContext.defaultParallelism, "name")
-    each = "STRUCT<score: DOUBLE, p1: BIGINT, p2: BIGINT, alias: STRING, canonical: STRING>"
+    each = "STRUCT<score: DOUBLE, p1: BIGINT, p2: BIGINT, alias: STRING>"
     found = None
     for k in range(slices):
         part = aliases.where(F.pmod(F.xxhash64("alias"), F.lit(slices)) == k).orderBy("pos").collect()
-        one = todo.mapInPandas(_searcher([(r.pos.ontology_id, r.pos.p, r.alias, r.canonical) for r in part]), f"name string, t {each}, r {each}")
+        one = todo.mapInPandas(_searcher([(r.pos.ontology_id, r.pos.p, r.alias) for r in part]), f"name string, t {each}, r {each}")
         found = one if found is None else found.unionByName(one)
     if slices > 1:
         found = found.groupBy("name").agg(F.max("t").alias("t"), F.max("r").alias("r"))
     by_ratio = F.col("r.score") > F.col("t.score")
     pick = lambda c: F.when(by_ratio, F.col(f"r.{c}")).otherwise(F.col(f"t.{c}"))
-    return found.where(F.col("t").isNotNull()).select("name", pick("canonical").alias("canonical"), pick("alias").alias("alias"), pick("score").alias("score"))
+    best = found.where(F.col("t").isNotNull()).select("name", pick("alias").alias("alias"), pick("score").alias("score"))
+    return best.join(exact_aliases(ontology), names.fuzzy_key(F.col("alias")) == F.col("key"), "left").select("name", "canonical", "alias", "score")
 
 
-def _searcher(part: list[tuple[int, int, str, str]]):
+def _searcher(part: list[tuple[int, int, str]]):
     """Names to their best aliases of one slice: by token-sorted (t) and plain (r) ratio, positions negated for ties."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        nearest = _Nearest([a for _, _, a, _ in part])
-        row = lambda k, s: (s, -part[k][0], -part[k][1], part[k][2], part[k][3])
+        nearest = _Nearest([a for _, _, a in part])
+        row = lambda k, s: (s, -part[k][0], -part[k][1], part[k][2])
         for pdf in batches:
             both = [nearest(n) for n in pdf.name] if part else []
-            keys = ["score", "p1", "p2", "alias", "canonical"]
+            keys = ["score", "p1", "p2", "alias"]
             yield pd.DataFrame({"name": pdf.name, "t": [dict(zip(keys, row(*t), strict=True)) for t, _ in both] or None, "r": [dict(zip(keys, row(*r), strict=True)) for _, r in both] or None})
 
     return search
@@ -141,21 +145,33 @@ def compound_agreement(name: str, alias: str, least: float = 0.8) -> tuple:
 
 
 def match_names(names_: DataFrame, ontology: DataFrame, threshold: float = 90.0, overlap: float = 0.8) -> DataFrame:
-    """(name, matched, canonical, alias, score, match_type): the whole ladder over distinct names.
+    """(name, matched, canonical, alias, score, match_type, reasoning): the whole ladder over distinct names.
 
     Each rung sees only what the rungs above left. A fuzzy score counts from ``threshold`` (nine tenths of it for names
-    with an abbreviation); below 97 the core words must agree too. Null names are left out.
+    with an abbreviation); below 97 the core words must agree too. A name that matches nothing keeps its nearest alias;
+    with an empty list it has none. Null names are left out.
     """
     todo = names_.where(F.col("name").isNotNull()).select("name").distinct()
-    by_abbr = match_abbreviation(todo, ontology).select("name", F.lit(True).alias("matched"), "canonical", F.col("name").alias("alias"), F.lit(100.0).alias("score"), F.lit("abbreviation").alias("match_type"))
+    sure = lambda kind, why: (F.lit(True).alias("matched"), "canonical", F.col("name").alias("alias"), F.lit(100.0).alias("score"), F.lit(kind).alias("match_type"), why.alias("reasoning"))
+    by_abbr = match_abbreviation(todo, ontology).select("name", *sure("abbreviation", F.concat(F.lit("Matched via abbreviation: "), "abbr")))
     left = todo.join(by_abbr.select("name"), "name", "left_anti")
-    exact = match_exact(left, ontology).select("name", F.lit(True).alias("matched"), "canonical", F.col("name").alias("alias"), F.lit(100.0).alias("score"), F.lit("exact").alias("match_type"))
+    exact = match_exact(left, ontology).select("name", *sure("exact", F.lit("Exact match found in ontology")))
     left = left.join(exact.select("name"), "name", "left_anti")
-    agrees, _ = compound_agreement("name", "alias", overlap)
-    bar = F.when(F.size(names.abbreviations(F.col("name"))) > 0, threshold * 0.9).otherwise(threshold)
-    fuzzy = best_fuzzy(left, ontology).withColumn("agrees", agrees)
-    hit = (F.col("score") >= bar) & ((F.col("score") >= 97) | F.col("agrees"))
-    fuzzy = fuzzy.select("name", hit.alias("matched"), "canonical", "alias", "score", F.when(hit, "high_confidence").otherwise("no_match").alias("match_type"))
+    agrees, shared = compound_agreement("name", "alias", overlap)
+    short = F.size(names.abbreviations(F.col("name"))) > 0
+    bar = F.when(short, threshold * 0.9).otherwise(threshold)
+    near = left.join(best_fuzzy(left, ontology), "name", "left").withColumn("agrees", agrees).withColumn("shared", shared)
+    hit = F.coalesce((F.col("score") >= bar) & ((F.col("score") >= 97) | F.col("agrees")), F.lit(False))
+    says = lambda form, *c: F.format_string(form, *c)
+    lowered = F.when(short, says(" (lowered to %.1f due to abbreviation)", bar)).otherwise("")
+    why = (  # fixed values: the wording of the reasons
+        F.when(F.col("score").isNull(), "No similar theory found in ontology")
+        .when(F.col("score") < bar, F.concat(says("Best match score (%.1f) below threshold (%.1f)", "score", bar), lowered))
+        .when(F.col("score") >= 97, says("Very high fuzzy score (%.1f) indicates strong match despite minor variations", "score"))
+        .when(F.col("agrees"), says("High confidence fuzzy match (score: %.1f)", "score"))
+        .otherwise(says("High fuzzy score (%.1f) but failed compound name validation (overlap: %.2f). Likely a variant theory.", "score", "shared"))
+    )
+    fuzzy = near.select("name", hit.alias("matched"), "canonical", "alias", "score", F.when(hit, "high_confidence").otherwise("no_match").alias("match_type"), why.alias("reasoning"))
     return by_abbr.unionByName(exact).unionByName(fuzzy)
 
 

@@ -23,19 +23,24 @@ def duplicated(rows: DataFrame, key: str) -> DataFrame:
 
 
 def health(requested: DataFrame, assigned: DataFrame, alarm: float = 0.3) -> DataFrame:
-    """(cluster_name, requested, assigned, missing, extra, singles, severity) of checkpointed splits.
+    """(cluster_name, requested, assigned, missing, extra, warnings, in_warnings, rate, severity) of checkpointed splits.
 
-    critical: ids missing or made up; warning: more than ``alarm`` of the sub-clusters have a single member; else ok.
+    ``assigned``: cluster_name, sub (the sub-cluster's key), status, theory_id. warnings counts the sub-clusters of status
+    singleton_warning, in_warnings the ids that they list, rate is their share of the requested ids. critical: ids
+    missing or made up, or no result at all; warning: a rate above ``alarm``; else ok.
     """
     r = requested.select("cluster_name", "theory_id", F.lit(1).alias("r")).distinct()
-    a = assigned.where(F.col("theory_id").isNotNull()).select("cluster_name", "theory_id", F.lit(1).alias("a")).distinct()
+    listed = assigned.where(F.col("theory_id").isNotNull())
+    a = listed.groupBy("cluster_name", "theory_id").agg(F.lit(1).alias("a"))
     ids = r.join(a, ["cluster_name", "theory_id"], "full").groupBy("cluster_name").agg(
         F.count("r").alias("requested"), F.count("a").alias("assigned"), F.count_if(F.col("a").isNull()).alias("missing"), F.count_if(F.col("r").isNull()).alias("extra")
     )
-    subs = assigned.groupBy("cluster_name", "subcluster_name").agg(F.count("theory_id").alias("n")).groupBy("cluster_name").agg(F.count(F.lit(1)).alias("subs"), F.count_if(F.col("n") == 1).alias("singles"))
-    out = ids.join(subs, "cluster_name", "left").fillna(0, ["subs", "singles"])
-    severity = F.when((F.col("missing") > 0) | (F.col("extra") > 0), "critical").when(F.col("singles") > F.col("subs") * F.lit(alarm), "warning").otherwise("ok")
-    return out.select("cluster_name", "requested", "assigned", "missing", "extra", "singles", severity.alias("severity"))
+    subs = listed.where("status = 'singleton_warning'").groupBy("cluster_name", "sub").agg(F.count(F.lit(1)).alias("n"))
+    subs = subs.groupBy("cluster_name").agg(F.count(F.lit(1)).alias("warnings"), F.sum("n").alias("in_warnings"))
+    out = ids.join(subs, "cluster_name", "left").fillna(0, ["warnings", "in_warnings"])
+    rate = F.coalesce(F.try_divide("in_warnings", "requested"), F.lit(0.0))
+    severity = F.when((F.col("missing") > 0) | (F.col("extra") > 0) | (F.col("assigned") == 0), "critical").when(rate > F.lit(alarm), "warning").otherwise("ok")
+    return out.select("cluster_name", "requested", "assigned", "missing", "extra", "warnings", "in_warnings", rate.alias("rate"), severity.alias("severity"))
 
 
 def missing_ids(requested: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.functions.similarity import overlap_coefficient
+from corvane.session import cut, ship
 
 #: Largest set that is clustered exactly in one task; its distances take WARD_MOST ** 2 * 8 bytes.
 WARD_MOST = 4000
@@ -49,6 +50,7 @@ def nearest_mean(rows: DataFrame, key: str, vector: str, centers: DataFrame, clu
     """
     kinds = f"`{key}` {rows.schema[key].dataType.simpleString()}, `{cluster}` {centers.schema[cluster].dataType.simpleString()}, distance double"
     kind = to_arrow_type(centers.schema[cluster].dataType)
+    ship(rows.sparkSession)
     live = rows.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias(vector))
     out = None
     for part in _slices(centers, cluster, "mean"):
@@ -69,12 +71,15 @@ def nearest_mean(rows: DataFrame, key: str, vector: str, centers: DataFrame, clu
 
 
 def absorb_small(rows: DataFrame, key: str, vector: str, cluster: str, least: int = 5) -> DataFrame:
-    """(key, cluster): members of clusters smaller than ``least`` join the nearest larger one; without any, all stay."""
-    size = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("__n"))
-    sized = rows.join(size, cluster)
-    big, small = sized.where(F.col("__n") >= least), sized.where(F.col("__n") < least)
-    moved = nearest_mean(small, key, vector, means(big, cluster, vector), cluster).select(key, F.col(cluster).alias("__to"))
-    return sized.join(moved, key, "left").select(key, F.coalesce("__to", cluster).alias(cluster))
+    """(key, cluster): clusters smaller than ``least`` go, each as a whole, to the larger one whose mean is nearest their own.
+
+    By cosine distance of the means. Where there is no larger cluster, or a mean is zero or null, clusters stay.
+    """
+    sized = means(rows, cluster, vector).join(rows.groupBy(F.col(cluster).alias("__c")).agg(F.count(F.lit(1)).alias("__n")), F.col(cluster) == F.col("__c"))
+    sized = cut(sized.select(cluster, "mean", "__n"))
+    small = sized.where(F.col("__n") < least).select(F.col(cluster).alias("__small"), "mean")
+    moved = nearest_mean(small, "__small", "mean", sized.where(F.col("__n") >= least), cluster).select("__small", F.col(cluster).alias("__to"))
+    return rows.join(moved, F.col(cluster) == F.col("__small"), "left").select(key, F.coalesce("__to", cluster).alias(cluster))
 
 
 def most_similar(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
@@ -84,6 +89,7 @@ def most_similar(rows: DataFrame, key: str, vector: str, queries: DataFrame, k:
     matrix product, and only the best ``k`` of each batch leave the task, so that what is shuffled is batches times
     queries, not rows times queries.
     """
+    ship(rows.sparkSession)
     kind, arrow = rows.schema[key].dataType.simpleString(), to_arrow_type(rows.schema[key].dataType)
     live = rows.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, F.col(vector).cast("array<double>").alias(vector))
     asked = queries.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias(vector))
@@ -116,6 +122,7 @@ def ward(rows: DataFrame, key: str, vector: str, cutoff: float, group: str | Non
     Exact, by nearest-neighbour chains in one task per group. A group must hold at most WARD_MOST vectors: larger sets
     are divided beforehand (e.g. by ``nearest_mean``); exceeding it is an error, not a silent cut.
     """
+    ship(rows.sparkSession)
     keyed = rows.where(F.col(vector).isNotNull()).select(F.col(group).cast("string").alias("g") if group else F.lit("").alias("g"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
     largest = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if largest > WARD_MOST:

@@ -36,24 +36,44 @@ def ids_in_several_places(spark: SparkSession, d: str) -> DataFrame:
     return quality.duplicated(_assigned(spark, d), "theory_id")
 
 
-@query(f"""WITH r AS {LISTED}, a AS (SELECT DISTINCT cluster_name, theory_id FROM {OK}), i AS (SELECT coalesce(r.cluster_name, a.cluster_name) AS cluster_name, r.theory_id AS rid, a.theory_id AS aid FROM r FULL JOIN a ON r.cluster_name = a.cluster_name AND r.theory_id = a.theory_id),
-c AS (SELECT cluster_name, count(rid) AS requested, count(aid) AS assigned, count(*) FILTER (aid IS NULL) AS missing, count(*) FILTER (rid IS NULL) AS extra FROM i GROUP BY 1),
-s AS (SELECT cluster_name, count(*) AS subs, count(*) FILTER (n = 1) AS singles FROM (SELECT cluster_name, subcluster_name, count(theory_id) AS n FROM {OK} GROUP BY 1, 2) GROUP BY 1)
-SELECT cluster_name, requested, assigned, missing, extra, coalesce(singles, 0) AS singles, CASE WHEN missing > 0 OR extra > 0 THEN 'critical' WHEN coalesce(singles, 0) > 0.3 * coalesce(subs, 0) THEN 'warning' ELSE 'ok' END AS severity FROM c LEFT JOIN s USING (cluster_name)""")
+STATUS = """(SELECT cluster_name, batch_id * 1000 + s.i AS sub, batch_result.subclusters[s.i].status AS status, unnest(batch_result.subclusters[s.i].theory_ids) AS theory_id
+  FROM stage6_batches, unnest(range(1, len(batch_result.subclusters) + 1)) AS s(i) WHERE cluster_name IS NOT NULL)"""
+
+
+@query(f"""WITH s AS (SELECT * FROM {STATUS} WHERE coalesce(theory_id, '') <> ''), names AS (SELECT cluster_name FROM s UNION SELECT cluster_name FROM {LISTED}),
+e AS (SELECT cluster_name, list(DISTINCT theory_id) AS expected FROM {LISTED} GROUP BY 1), p AS (SELECT cluster_name, list(DISTINCT theory_id) AS processed, count(DISTINCT sub) FILTER (status = 'singleton_warning') AS warnings, count(*) FILTER (status = 'singleton_warning') AS in_warnings FROM s GROUP BY 1),
+j AS (SELECT cluster_name, coalesce(expected, []) AS x, coalesce(processed, []) AS y, coalesce(warnings, 0) AS warnings, coalesce(in_warnings, 0) AS in_warnings FROM names LEFT JOIN e USING (cluster_name) LEFT JOIN p USING (cluster_name)),
+h AS (SELECT *, len(x) AS requested, len(y) AS assigned, len(list_filter(x, lambda i: NOT list_contains(y, i))) AS missing, len(list_filter(y, lambda i: NOT list_contains(x, i))) AS extra, CASE WHEN len(x) > 0 THEN in_warnings / len(x) ELSE 0 END AS rate FROM j)
+SELECT cluster_name, requested, assigned, missing, extra, warnings, in_warnings, round(rate, 6) AS rate,
+  CASE WHEN missing > 0 OR extra > 0 OR requested <> assigned OR assigned = 0 THEN 'critical' WHEN rate > 0.3 THEN 'warning' ELSE 'ok' END AS severity FROM h""")
 def checkpoint_health(spark: SparkSession, d: str) -> DataFrame:
-    return quality.health(_requested(spark, d), _assigned(spark, d))
+    b = table(spark, d, "stage6_batches").where("cluster_name IS NOT NULL").select("cluster_name", "batch_id", F.posexplode("batch_result.subclusters").alias("pos", "s"))
+    listed = b.select("cluster_name", F.struct("batch_id", "pos").alias("sub"), "s.status", F.explode("s.theory_ids").alias("theory_id")).where("theory_id <> ''")
+    return quality.health(_requested(spark, d), listed).withColumn("rate", F.round("rate", 6))
+
+
+STARTED = f"(SELECT DISTINCT cluster_name, theory_id FROM {ASSIGNED} JOIN stage6_batches USING (batch_id, cluster_name) WHERE coalesce(theory_id, '') <> '' AND cluster_name IS NOT NULL AND batch_num = 1)"
+
+
+def _started(spark: SparkSession, d: str) -> DataFrame:
+    """What the first batch of each cluster assigned: a run that stopped there."""
+    first = table(spark, d, "stage6_batches").where("batch_num = 1").select("batch_id")
+    return _assigned(spark, d).join(first, "batch_id", "left_semi")
 
 
-@query(f"""WITH r AS {LISTED}, a AS (SELECT DISTINCT cluster_name, theory_id FROM {OK}), m AS (SELECT * FROM r ANTI JOIN a USING (cluster_name, theory_id)), n AS (SELECT cluster_name, count(*) AS n FROM r GROUP BY 1), k AS (SELECT cluster_name, count(*) AS k FROM m GROUP BY 1)
+@query(f"""WITH r AS {LISTED}, a AS {STARTED}, m AS (SELECT * FROM r ANTI JOIN a USING (cluster_name, theory_id)), n AS (SELECT cluster_name, count(*) AS n FROM r GROUP BY 1), k AS (SELECT cluster_name, count(*) AS k FROM m GROUP BY 1)
 SELECT m.cluster_name, m.theory_id, round(k * 1.0 / n, 6) AS share FROM m JOIN n USING (cluster_name) JOIN k USING (cluster_name)""")
 def missing_by_cluster(spark: SparkSession, d: str) -> DataFrame:
-    return quality.missing_ids(_requested(spark, d), _assigned(spark, d)).withColumn("share", F.round("share", 6))
+    """Ids that a run lacks which stopped after the first batches, with their share of the cluster."""
+    return quality.missing_ids(_requested(spark, d), _started(spark, d)).withColumn("share", F.round("share", 6))
 
 
-@query(f"""WITH r AS {LISTED}, a AS (SELECT DISTINCT cluster_name, theory_id FROM {OK}), m AS (SELECT * FROM r ANTI JOIN a USING (cluster_name, theory_id))
-SELECT m.cluster_name, a.cluster_name AS other, count(DISTINCT m.theory_id) AS ids FROM m JOIN a ON a.theory_id = m.theory_id AND a.cluster_name <> m.cluster_name GROUP BY 1, 2""")
+@query(f"""WITH r AS {LISTED}, a AS {STARTED}, w AS (SELECT DISTINCT normalized_name AS cluster_name, theory_id FROM {MENTION} WHERE normalized_name IS NOT NULL), m AS (SELECT * FROM r ANTI JOIN a USING (cluster_name, theory_id))
+SELECT m.cluster_name, w.cluster_name AS other, count(DISTINCT m.theory_id) AS ids FROM m JOIN w ON w.theory_id = m.theory_id AND w.cluster_name <> m.cluster_name GROUP BY 1, 2""")
 def missing_found_elsewhere(spark: SparkSession, d: str) -> DataFrame:
-    return quality.found_elsewhere(quality.missing_ids(_requested(spark, d), _assigned(spark, d)), _assigned(spark, d))
+    """Ids that such a run lacks, by the names under which the mentions have them."""
+    other = mentions(spark, d).where("normalized_name IS NOT NULL").select(F.col("normalized_name").alias("cluster_name"), "theory_id")
+    return quality.found_elsewhere(quality.missing_ids(_requested(spark, d), _started(spark, d)), other)
 
 
 @query(f"SELECT theory_id, arg_min(cluster_name, batch_id) AS cluster_name FROM {OK} WHERE theory_id IN (SELECT theory_id FROM {MENTION} WHERE doi IS NULL) GROUP BY 1")

@@ -227,11 +227,12 @@ def doubted_few(spark: SparkSession, d: str) -> DataFrame:
     return e.orderBy(F.asc_nulls_last("doi"), F.asc_nulls_last("confidence_score")).limit(5).select("doi", "result")
 
 
-@query(f"SELECT {DOI.format('doi')} AS k, 'old' AS version FROM papers p WHERE NOT EXISTS (SELECT 1 FROM paper_evaluations e WHERE {DOI.format('e.doi')} = {DOI.format('p.doi')}) UNION ALL SELECT DISTINCT {DOI.format('doi')}, 'new' FROM paper_evaluations WHERE coalesce(doi, '') <> ''")
+@query(f"SELECT {DOI.format('doi')} AS k, 'old' AS version FROM papers p WHERE NOT EXISTS (SELECT 1 FROM paper_evaluations e WHERE {DOI.format('e.doi')} = {DOI.format('p.doi')}) UNION ALL SELECT {DOI.format('doi')}, arg_max(coalesce(result, '') || ':' || coalesce(confidence_score, -1), (coalesce(confidence_score, -1), coalesce(result, ''))) FROM paper_evaluations WHERE {DOI.format('doi')} IS NOT NULL GROUP BY 1")
 def upserted_papers(spark: SparkSession, d: str) -> DataFrame:
     old = _papers(spark, d).select(names.doi_key(F.col("doi")).alias("k"), F.lit("old").alias("version"))
-    new = table(spark, d, "paper_evaluations").select(names.doi_key(F.col("doi")).alias("k"), F.lit("new").alias("version")).where("k IS NOT NULL").distinct()
-    return sinks.upsert_parents(old, new, "k")
+    e = table(spark, d, "paper_evaluations").select(names.doi_key(F.col("doi")).alias("k"), F.coalesce("result", F.lit("")).alias("r"), F.coalesce("confidence_score", F.lit(-1)).alias("c")).where("k IS NOT NULL")
+    new = e.select("k", F.concat("r", F.lit(":"), F.col("c").cast("string")).alias("version"), "c", "r")
+    return sinks.upsert_parents(old, new, "k", F.struct("c", "r")).select("k", "version")
 
 
 @query(f"""WITH o AS (SELECT {DOI.format('doi')} AS k, name, id FROM theories WHERE doi IS NOT NULL), n AS (SELECT {DOI.format('doi')} AS k, original_name AS name, min(theory_id) AS t FROM theory_entries WHERE coalesce(doi, '') <> '' AND original_name IS NOT NULL GROUP BY 1, 2)

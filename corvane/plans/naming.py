@@ -99,7 +99,7 @@ def name_without_batch(spark: SparkSession, d: str) -> DataFrame:
     return _keys(spark, d, lambda n: names.strip_batch_suffix(F.concat(n, F.lit(" (Batch 12)"))))
 
 
-ABBR = r"list_distinct(list_concat(regexp_extract_all(n, '[\(\[]([A-Z]{2,6}[0-9]*)[\)\]]', 1), CASE WHEN regexp_matches(%s, '^[A-Z]{2,6}[0-9]*$') THEN [%s] ELSE [] END))" % (_strip("n"), _strip("n"))
+ABBR = r"regexp_extract_all(n, '[\(\[]([A-Z]{2,6}[0-9]*)[\)\]]', 1)"
 
 
 @query(f"SELECT n, array_to_string(list_sort({ABBR}), ',') AS abbreviations FROM {NAMES}")
@@ -136,7 +136,7 @@ def exact_alias_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT n AS name, arg_min(s.canonical, i) AS canonical FROM (SELECT n, unnest({ABBR}) AS a, generate_subscripts({ABBR}, 1) AS i FROM {NAMES}) JOIN {SHORT} s ON a = s.abbr GROUP BY 1")
 def abbreviation_match(spark: SparkSession, d: str) -> DataFrame:
-    return matching.match_abbreviation(_names(spark, d), table(spark, d, "ontology"))
+    return matching.match_abbreviation(_names(spark, d), table(spark, d, "ontology")).select("name", "canonical")
 
 
 @query()

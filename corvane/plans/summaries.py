@@ -10,7 +10,7 @@ from corvane.operators import consolidate, lineage, matching, quality
 from corvane.plans.documents import DOI, LEVEL
 from corvane.plans.naming import ABBR, EXACT, SHORT, fuzzy_sql
 from corvane.plans.registry import query
-from corvane.session import table
+from corvane.session import cut, table
 
 MENTION = "(SELECT DISTINCT theory_id, original_name, normalized_name, mapped_name, mapping_confidence_stage1_5, confidence_is_theory, mode, paper_focus, nullif(lower(doi), '') AS doi, pmid FROM theory_entries)"
 
@@ -29,9 +29,9 @@ SELECT coalesce(a.canonical, e.canonical) AS canonical, count(DISTINCT t.doi) AS
 def canonical_documents(spark: SparkSession, d: str) -> DataFrame:
     """Canonical name -> documents at their best focus: filter, cheap matches on distinct names, ties kept, counts."""
     m = mentions(spark, d).where(names.confidence_level(F.col("confidence_is_theory")) != "low").where("original_name IS NOT NULL AND doi IS NOT NULL")
-    m = consolidate.tops(m.select("theory_id", F.col("original_name").alias("name"), "doi", F.coalesce("paper_focus", F.lit(0)).alias("f")), "doi", "f")
+    m = cut(consolidate.tops(m.select("theory_id", F.col("original_name").alias("name"), "doi", F.coalesce("paper_focus", F.lit(0)).alias("f")), "doi", "f"))
     ontology, todo = table(spark, d, "ontology"), m.select("name").distinct()
-    a = matching.match_abbreviation(todo, ontology).withColumnRenamed("canonical", "a")
+    a = matching.match_abbreviation(todo, ontology).select("name", F.col("canonical").alias("a"))
     e = matching.match_exact(todo, ontology).withColumnRenamed("canonical", "e")
     found = m.join(a, "name", "left").join(e, "name", "left").withColumn("canonical", F.coalesce("a", "e")).where("canonical IS NOT NULL")
     return found.groupBy("canonical").agg(F.count_distinct("doi").alias("docs"), F.count(F.lit(1)).alias("mentions"))
@@ -69,10 +69,35 @@ def final_name_to_docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT mapped_name AS name, count(theory_id) AS total_papers, count(DISTINCT doi) AS distinct_docs, count(DISTINCT original_name) AS originals,
-  md5(array_to_string(list_sort(list(DISTINCT theory_id)), ',')) AS ids FROM {MENTION} WHERE coalesce(mapped_name, '') <> '' GROUP BY 1""")
+  md5(array_to_string(list_sort(list(DISTINCT theory_id)), ',')) AS ids, md5(array_to_string(list(coalesce(doi, '') ORDER BY theory_id), ',')) AS dois, coalesce(array_to_string(list_sort(list(DISTINCT mode) FILTER (mode IS NOT NULL)), ','), '') AS modes FROM {MENTION} WHERE coalesce(mapped_name, '') <> '' GROUP BY 1""")
 def final_name_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = consolidate.summary(mentions(spark, d).where("coalesce(mapped_name, '') <> ''").withColumnRenamed("mapped_name", "name"), "name", "mode")
+    dois = F.md5(F.array_join(F.transform("dois", lambda x: F.coalesce(x, F.lit(""))), ","))
+    return s.select("name", "total_papers", "distinct_docs", F.col("original_names_count").alias("originals"), F.md5(F.array_join("theory_ids", ",")).alias("ids"), dois.alias("dois"), F.array_join("modes", ",").alias("modes"))
+
+
+FOLDED = r"regexp_replace(lower(mapped_name), '[^a-z0-9]+', ' ', 'g')"
+
+
+@query(f"""WITH n AS (SELECT mapped_name AS was, {FOLDED} AS name, list_sort(list(DISTINCT theory_id)) AS ids FROM {MENTION} WHERE coalesce(mapped_name, '') <> '' GROUP BY 1, 2),
+u AS (SELECT name, was, len(ids) AS n, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM n), f AS (SELECT name, id, min((-n, was, p)) AS o FROM u GROUP BY 1, 2)
+SELECT name, count(*)::INT AS total_papers, md5(string_agg(id, ',' ORDER BY o)) AS ids FROM f GROUP BY 1""")
+def merged_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries of mapped names brought together under their folded form: ids in order, each once."""
     s = consolidate.summary(mentions(spark, d).where("coalesce(mapped_name, '') <> ''").withColumnRenamed("mapped_name", "name"), "name")
-    return s.select("name", "total_papers", "distinct_docs", F.col("original_names_count").alias("originals"), F.md5(F.array_join("theory_ids", ",")).alias("ids"))
+    mapping = s.select("name", F.regexp_replace(F.lower("name"), "[^a-z0-9]+", " ").alias("mapped"))
+    m = consolidate.merged_summary(s, mapping)
+    return m.select("name", "total_papers", F.md5(F.array_join("theory_ids", ",")).alias("ids"))
+
+
+@query("""WITH v AS (SELECT normalized_name AS k, mapped_name AS v, count(*) AS n, min(theory_id) AS f FROM theory_entries WHERE coalesce(mapped_name, '') <> '' AND normalized_name IS NOT NULL GROUP BY 1, 2),
+w AS (SELECT k, arg_min(v, (-n, f)) AS v FROM v GROUP BY 1)
+SELECT e.normalized_name, w.v AS mapped_name, count(*) AS mentions, count(*) FILTER (e.mapped_name <> w.v) AS changed FROM theory_entries e JOIN w ON e.normalized_name = w.k WHERE coalesce(mapped_name, '') <> '' GROUP BY 1, 2""")
+def overruled_mappings(spark: SparkSession, d: str) -> DataFrame:
+    """Mapped names overwritten by the majority of their normalised name, with the number of changes."""
+    e = table(spark, d, "theory_entries").where("coalesce(mapped_name, '') <> '' AND normalized_name IS NOT NULL").select("theory_id", "normalized_name", "mapped_name")
+    rows, _ = consolidate.overruled(e, "normalized_name", "mapped_name", "theory_id")
+    return rows.groupBy("normalized_name", "mapped_name").agg(F.count(F.lit(1)).alias("mentions"), F.count("note").alias("changed"))
 
 
 ASSIGNED = """(SELECT batch_id, cluster_name, s.i - 1 AS sub_pos, batch_result.subclusters[s.i].subcluster_name AS subcluster_name, unnest(batch_result.subclusters[s.i].theory_ids) AS theory_id

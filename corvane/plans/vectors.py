@@ -39,9 +39,16 @@ def most_similar_vectors(spark: SparkSession, d: str) -> DataFrame:
     return vectors.most_similar(e, "vec_id", "embedding", e.where(F.col("vec_id") % 20 == 0), 5)
 
 
-@query()
+CLUSTERED = "(SELECT vec_id, embedding, CASE WHEN vec_id % 97 = 0 THEN vec_id + 1000 WHEN vec_id % 89 = 0 THEN 100 + vec_id // 300 ELSE label END AS cluster FROM embeddings)"
+
+
+@query(f"""WITH c AS {CLUSTERED}, m AS (SELECT cluster, list(m ORDER BY i) AS mean FROM (SELECT cluster, i, avg(x) AS m FROM (SELECT cluster, unnest(embedding)::DOUBLE AS x, unnest(range(0, 64)) AS i FROM c) GROUP BY 1, 2) GROUP BY 1),
+z AS (SELECT cluster, mean, n FROM m JOIN (SELECT cluster, count(*) AS n FROM c GROUP BY 1) USING (cluster)),
+t AS (SELECT s.cluster, arg_min(b.cluster, (round(1 - {COS.format(a='s.mean', b='b.mean')}, 9), b.cluster)) AS target FROM z s JOIN z b ON s.n < 5 AND b.n >= 5 GROUP BY 1)
+SELECT vec_id, coalesce(target, cluster) AS cluster FROM c LEFT JOIN t USING (cluster)""")
 def small_clusters_absorbed(spark: SparkSession, d: str) -> DataFrame:
-    e = _embeddings(spark, d).withColumn("cluster", F.when(F.col("vec_id") % 97 == 0, F.col("vec_id") + 1000).otherwise(F.col("label")))
+    v = F.col("vec_id")
+    e = _embeddings(spark, d).withColumn("cluster", F.when(v % 97 == 0, v + 1000).when(v % 89 == 0, 100 + F.floor(v / 300)).otherwise(F.col("label")))
     return vectors.absorb_small(e, "vec_id", "embedding", "cluster")
 
 

@@ -46,9 +46,10 @@ def missing_report(missing: DataFrame, each: int = 20) -> DataFrame:
     return few.orderBy(F.desc("share"), "cluster_name", "rank").select(F.format_string("%s\t%.1f %%\t%s", "cluster_name", F.col("share") * 100, "theory_id").alias("line"))
 
 
-def upsert_parents(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The new snapshot: rows of ``new`` replace those of ``existing`` with their key (last of equal keys wins by order)."""
-    return existing.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+def upsert_parents(existing: DataFrame, new: DataFrame, key: str, order: Column) -> DataFrame:
+    """The new snapshot: rows of ``new`` replace those of ``existing`` with their key; of equal keys in ``new`` the last by ``order`` wins."""
+    last = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), order).alias("__row")).select("__row.*")
+    return existing.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def replace_children(existing: DataFrame, new: DataFrame, parent: str, unique: list[str], order: Column) -> DataFrame:

@@ -49,7 +49,7 @@ def test_focus(df):
 
 
 def test_abbreviations_and_core_tokens(df):
-    assert column(df, ["Free Radical Theory (FRT)", "SMLM", "x (frt)", None], names.abbreviations) == [["FRT"], ["SMLM"], [], None]
+    assert column(df, ["Free Radical Theory (FRT)", "SMLM", "x (frt)", None], names.abbreviations) == [["FRT"], [], [], None]
     assert column(df, ["The Telomere Shortening Theory of aging by mice"], names.core_tokens) == [["mice", "shortening", "telomere"]]
 
 

@@ -16,10 +16,10 @@ def rows(frame):
 
 
 def test_match_ladder(df):
-    todo = df([(n,) for n in ("FRT", "Theory of radicals (FRT)", "free-radical hypothesis of ageing", "Telomere Theroy", "Mutation-Accumulation", "Unrelated Idea", None, "Telomere Theory with Replicative Mosaicism")], "name string")
+    todo = df([(n,) for n in ("[FRT]", "Theory of radicals (FRT)", "free-radical hypothesis of ageing", "Telomere Theroy", "Mutation-Accumulation", "Unrelated Idea", None, "Telomere Theory with Replicative Mosaicism")], "name string")
     got = {r.name: r for r in matching.match_names(todo, df(ONTOLOGY, ONTOLOGY_SCHEMA)).collect()}
     assert len(got) == 7
-    assert (got["FRT"].match_type, got["Theory of radicals (FRT)"].canonical) == ("abbreviation", "Free Radical Theory")
+    assert (got["[FRT]"].match_type, got["Theory of radicals (FRT)"].canonical) == ("abbreviation", "Free Radical Theory")
     assert got["free-radical hypothesis of ageing"].match_type == "exact" and got["Mutation-Accumulation"].match_type == "exact"
     assert got["Telomere Theroy"].matched is False and got["Telomere Theroy"].score > 90  # the core words differ
     assert not got["Unrelated Idea"].matched and not got["Telomere Theory with Replicative Mosaicism"].matched
@@ -27,7 +27,7 @@ def test_match_ladder(df):
 
 def test_match_edge_cases(df):
     empty = df([], ONTOLOGY_SCHEMA)
-    assert rows(matching.match_names(df([("x",)], "name string"), empty)) == []
+    assert [r.match_type for r in matching.match_names(df([("x",)], "name string"), empty).collect()] == ["no_match"]
     assert rows(matching.match_names(df([], "name string"), df(ONTOLOGY, ONTOLOGY_SCHEMA))) == []
     assert rows(matching.not_listed(df([("telomere theory",), ("",), (None,)], "name string"), df(ONTOLOGY, ONTOLOGY_SCHEMA))) == [("telomere theory",)]
     assert rows(matching.not_listed(df([("telomere theory",)], "name string"), df(ONTOLOGY, ONTOLOGY_SCHEMA), fold_case=True)) == []
@@ -87,7 +87,38 @@ def test_split_verdicts(df):
     assert {x.cluster_name: x.verdict for x in annotate.check_split(r, a).collect()} == {"a": "valid", "b": "singletons", "c": "extra", "d": "duplicate", "e": "all_small", "f": "empty"}
     filled = annotate.with_singletons(r.where("cluster_name = 'b'"), a.where("cluster_name = 'b'"))
     assert {x.theory_id: x.status for x in filled.collect()} == {"T1": "ok", "T2": "ok", "T3": "singleton_warning", "T4": "singleton_warning"}
-    assert {x.cluster_name: x.severity for x in quality.health(r, a).collect()}["a"] == "ok"
+
+
+def test_health_counts_ids_in_warnings(df):
+    """The share of ids in sub-clusters of status singleton_warning decides, not the number of small sub-clusters."""
+    r = df([(c, f"T{i}") for c in "abcde" for i in range(10)], "cluster_name string, theory_id string")
+    a = [("a", 1, "ok", f"T{i}") for i in range(5)] + [("a", 2, "singleton_warning", f"T{i}") for i in range(5, 10)]
+    a += [("b", 1, "ok", f"T{i}") for i in range(7)] + [("b", 2, "singleton_warning", f"T{i}") for i in range(7, 10)]
+    a += [("c", 1, "ok", f"T{i}") for i in range(9)] + [("d", i, "ok", f"T{i}") for i in range(11)]
+    got = {x.cluster_name: x for x in quality.health(r, df(a, "cluster_name string, sub int, status string, theory_id string")).collect()}
+    assert {k: v.severity for k, v in got.items()} == {"a": "warning", "b": "ok", "c": "critical", "d": "critical", "e": "critical"}
+    assert (got["a"].warnings, got["a"].in_warnings, got["a"].rate, got["c"].missing, got["d"].extra, got["e"].assigned) == (1, 5, 0.5, 1, 1, 0)
+
+
+def test_small_clusters_move_as_a_whole(df):
+    """The mean of a small cluster decides: its members stay together, although they are nearest to different large ones."""
+    big = [(f"a{i}", "A", [1.0, 0.01 * i]) for i in range(5)] + [(f"b{i}", "B", [0.01 * i, 1.0]) for i in range(5)]
+    small = [("s1", "s", [1.0, 0.2]), ("s2", "s", [0.1, 1.0]), ("s3", "s", [1.0, 0.1]), ("n", "lone", None)]
+    got = dict(map(tuple, vectors.absorb_small(df(big + small, "k string, c string, v array<double>"), "k", "v", "c").collect()))
+    assert [got[k] for k in ("s1", "s2", "s3", "n", "a0", "b0")] == ["A", "A", "A", "lone", "A", "B"]
+    few = dict(map(tuple, vectors.absorb_small(df(small, "k string, c string, v array<double>"), "k", "v", "c").collect()))
+    assert few == {"s1": "s", "s2": "s", "s3": "s", "n": "lone"}
+
+
+def test_only_bracketed_abbreviations_count(df):
+    todo = df([("MLT",), ("Mind Loss [MLT]",), ("X (ab)",)], "name string")
+    listed = df([(1, "c", "s", "Mortar Loss Theory", [], ["MLT"]), (2, "c", "s", "Moral Loss Theory", ["Mortar Loss"], [])], ONTOLOGY_SCHEMA)
+    assert rows(matching.match_abbreviation(todo, listed)) == [("Mind Loss [MLT]", "Mortar Loss Theory", "MLT")]
+    # the fuzzy key of the nearest alias belongs to the last entry that has it
+    near = matching.match_names(df([("Mortar Los Theory",)], "name string"), listed).first()
+    assert (near.alias, near.canonical, near.match_type) == ("Mortar Loss Theory", "Moral Loss Theory", "high_confidence") and near.reasoning == "Very high fuzzy score (97.1) indicates strong match despite minor variations"
+    none = matching.match_names(todo, df([], ONTOLOGY_SCHEMA)).collect()
+    assert len(none) == 3 and {(x.matched, x.reasoning) for x in none} == {(False, "No similar theory found in ontology")}
 
 
 def test_recluster_conserves(df):
@@ -114,6 +145,11 @@ def test_consolidation(df):
     assert rows(consolidate.final_map(m)) == [("m", "d1")]  # d2 has a low focus; both names then own d1 alone, and the first name wins
     s = {r.name: r for r in consolidate.summary(m.where("name is not null"), "name").collect()}
     assert s["n"].theory_ids == ["T1", "T2"] and s["m"].original_names == ["o3"] and s["m"].total_papers == 2
+    assert s["n"].dois == ["d1", "d1"] and [r.name for r in consolidate.summary(m.where("name is not null"), "name").collect()] == ["m", "n"]
+    both = consolidate.merged_summary(df([("a", ["T3", "T1"]), ("b", ["T2", "T1", "T9"]), ("c", ["T5"])], "name string, theory_ids array<string>"), df([("a", "x"), ("b", "x")], "name string, mapped string"))
+    assert [(r.name, r.theory_ids, r.total_papers) for r in both.collect()] == [("x", ["T2", "T1", "T9", "T3"], 4), ("c", ["T5"], 1)]
+    out, changes = consolidate.overruled(df([("k", "a", 1), ("k", "a", 2), ("k", "b", 3), ("k", None, 4), ("j", "b", 5)], "k string, v string, o int"), "k", "v", "o")
+    assert {(r.o, r.v, r.note) for r in out.collect()} == {(1, "a", None), (2, "a", None), (3, "a", "was b"), (4, None, None), (5, "b", None)} and rows(changes) == [("k", 1)]
     assert len(consolidate.tops(m.where("doi is not null"), "doi", "paper_focus").collect()) == 3
     v = consolidate.majority(df([("k", "b", 2), ("k", "a", 1), ("k", None, 0), ("j", "x", 5)], "k string, v string, o int"), "k", "v", "o")
     assert {r.k: r.v for r in v.collect()} == {"k": "a", "j": "x"}

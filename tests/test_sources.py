@@ -68,7 +68,7 @@ def test_files(spark, tmp_path):
 def test_upserts(df):
     old = df([("a", 1), ("b", 2)], "k string, v int")
     new = df([("b", 3), ("c", 4)], "k string, v int")
-    assert sorted(map(tuple, sinks.upsert_parents(old, new, "k").collect())) == [("a", 1), ("b", 3), ("c", 4)]
+    assert sorted(map(tuple, sinks.upsert_parents(old, new, "k", F.col("v")).collect())) == [("a", 1), ("b", 3), ("c", 4)]
     assert sorted(map(tuple, sinks.insert_or_ignore(old, df([("b", 3), ("c", 5), ("c", 4)], "k string, v int"), ["k"], F.col("v")).collect())) == [("a", 1), ("b", 2), ("c", 4)]
     assert sorted(map(tuple, sinks.insert_or_replace(old.unionByName(new), ["k"], F.desc("v")).collect())) == [("a", 1), ("b", 3), ("c", 4)]
     children = df([("a", "x", 1), ("a", "y", 2), ("b", "x", 3)], "p string, n string, v int")
