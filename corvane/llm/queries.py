@@ -80,6 +80,18 @@ def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
     return mixture.all_clusters(table(spark, d, "theories"))
 
 
+@query()
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every theory with its class (equal concepts) and its cluster."""
+    return mixture.members(table(spark, d, "theories"))
+
+
+@query()
+def p2_class_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links between classes of different texts."""
+    return mixture.class_links(table(spark, d, "theories"))
+
+
 # ---- problem 4
 
 

@@ -96,7 +96,8 @@ def test_oversized_blocks_are_fitted(spark, monkeypatch):
     frame = spark.createDataFrame(out, THEORY)
     m = mixture.similar(frame)
     assert m.classes.count() == 42 and m.density.where("density IS NOT NULL").count() == 42
-    assert m.links.count() == 42 * 41 // 2
+    assert m.edges().distinct().count() >= 41 and mixture.labels(m).select("cluster").distinct().count() == 1
+    assert mixture.pairs_found(frame).count() == 42 * 41 // 2
     (c,) = mixture.clusters(frame).collect()
     assert c["size"] == 42 and not {41, 42} & set(c.typical_ids)
 
@@ -114,12 +115,54 @@ def test_mixture_edges(spark):
     assert mixture.pairs_found(empty).isEmpty() and mixture.clusters(empty).isEmpty()
 
 
+def test_components_make_the_links(mixed, monkeypatch):
+    """What doesn't share a component is never compared: without components there are no links but copies and equal classes."""
+    frame, truth = mixed
+    m = mixture.similar(frame)
+    n = m.classes.count()
+    assert 0 < m.links.count() < n * (n - 1) // 20
+    sigs = np.arange(64)
+    sets = [np.array([1, 2, 3, 10 + i]) for i in sigs]
+    far = np.repeat(np.eye(mixture.DIMS, dtype=np.float32)[:8] * 20, 8, axis=0)  # eight heaps, though all share three concepts
+    (a, b, s, density), = mixture.linked([(sigs, far, sets)])
+    assert {(x, y) for x, y in zip(a.tolist(), b.tolist())} == {(x, y) for x in range(64) for y in range(x + 1, 64) if x // 8 == y // 8} and len(density) == 64
+
+
+def test_wide_gaps_are_narrowed(spark):
+    """A gap that many words fill beside a frequent concept still tells which two say the same, by a second concept."""
+    frequent = "frequent concept"
+    out = []
+    for i in range(40):
+        for w in ("slow", "gradual"):
+            out.append([frequent, f"own {i} thing", f"{w} repair of site{i % 6}"])
+    for i in range(40, 100):
+        out.append([frequent, f"own {i} thing", f"q{i} repair of site{i % 6}"])
+    frame = spark.createDataFrame([(i, "d", f"n{i}", "m", "e", "h", None, 1, json.dumps([{"concept": c} for c in cs])) for i, cs in enumerate(out)], THEORY)
+    assert [tuple(r) for r in mixture.thesaurus(mixture.concepts(frame)).collect()] == [("slow", "gradual")]
+
+
+def test_members_and_links(mixed):
+    frame, truth = mixed
+    got = mixture.members(frame).collect()
+    assert sorted(r.id for r in got) == sorted([*truth, 9001, 9002, 9003, 9004]) and all(r.cluster_id <= r.class_id <= r.id for r in got)
+    by = {r.id: r.cluster_id for r in got}
+    links = mixture.class_links(frame).collect()
+    assert links and all(r.first_id < r.second_id and by[r.first_id] == by[r.second_id] for r in links)
+
+
+def test_short_records_of_one_name(spark):
+    two = json.dumps([{"concept": "slow repair"}, {"concept": "late loss"}])
+    out = [(1, "d", "Wear Theory", "m", "e", "h", None, 1, two), (2, "d2", "wear-theory", "x", "e", "h", None, 1, two), (3, "d", "Other", "m", "e", "h", None, 1, two), (4, "d", None, "m", "e", "h", None, 1, None), (5, "q", None, "m", "e", "h", None, 1, None)]
+    got = {r.id: r.cluster_id for r in mixture.members(spark.createDataFrame(out, THEORY)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
 def test_em_separates_and_keeps_together():
     rng = np.random.default_rng(0)
     a, b = rng.normal(0, 0.3, (1, 8, mixture.DIMS)), rng.normal(3, 0.3, (1, 8, mixture.DIMS))
     x = np.concatenate([np.concatenate([a, b], axis=1), np.concatenate([a, a + 0.01], axis=1)]).astype(np.float32)
     same, density = mixture.mixed(x, np.ones((2, 16), dtype=bool))
-    assert not same[0, :8, 8:].any() and same[0, :8, :8].all() and same[1].all() and np.isfinite(density).all()
+    assert not same[0, :8, 8:].any() and same[0, :8, :8].any(axis=1).all() and np.isfinite(density).all()
 
 
 # ---- problem 7
