@@ -2,53 +2,65 @@
 
 1. The list's names, aliases and abbreviations become *forms*: sets of content words. Where an alias repeats a name but
    for one part, the two differing parts are taken as synonyms, for every entry that has that part.
-2. Values are made distinct, split into words, and the words made distinct: all later work is on distinct words, however
-   often a value occurs. A word that is no word of the list is compared with the list's words (and pairs of neighbours
-   that lost the space between them) by a partition-based pigeonhole join: an edit spoils one segment, or two where
-   neighbours at a cut are swapped, so of the 2 K + 1 segments that a reference string is cut into one must survive K
-   edits, at a position that moved by at most K; an equality join on (length, segment, substring) finds the candidates,
-   Spark's ``levenshtein`` verifies them (a swap costs it two, which the letters in common tell from two changes).
-3. A misspelling must look like one: a word that occurs in many different contexts is a word of its own ("lever"), not
-   another word misspelt ("ledger"), unless correcting it makes forms of many of these contexts. A context is the set of
-   the other words of a value, fillers aside, so copies that differ in case, punctuation or fillers count once.
-4. The set of corrected words is looked up among the forms by equality. What finds none is reported by an anti-join.
+2. Values are made distinct and stripped of what doesn't tell entries apart: function words, words for the kind (theory,
+   model ...), words that the list's aliases add whatever the entry, and fillers: words that the list lacks and that stand
+   beside complete forms of at least FILLER_ENTRIES entries. Fillers are learned from all values; more rows can only add some.
+3. A stripped value that is a form, in any order, means its entry.
+4. All others go through a partition-based pigeonhole join. Each form, in every order of its words, is a reference
+   string without spaces. K edits are allowed, a swap of neighbours being one edit that ``levenshtein`` counts as two, so a
+   string is cut into 2 K + 1 segments of which one must survive, at a position that moved by at most K. An equality join on
+   (length, segment, substring) finds the candidates, Spark's ``levenshtein`` verifies them, and the nearest entry wins.
+5. A misspelling must look like one, by rules that don't depend on the other rows: the words by which value and form
+   differ must be no word of the list (another site, thing or process), nor of a public vocabulary (``vocabulary``) unless
+   it only lacks a letter or a space of the form's words.
+6. What finds no entry is reported by an anti-join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import base64
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators.skew import skew_join
 from corvane.session import cut
 
-#: Edits that a word of LONG letters or more may have suffered, and a shorter one; two neighbours swapped are one edit.
-K, K_SHORT, LONG = 2, 1, 6
-#: A word in at least OWN contexts, and in more than OWN_SHARE as many as its reference word, is no misspelling, unless its
-#: correction makes different forms, TRUE of them for each of its contexts (measured on two tables: 0.5 and more for
-#: misspellings, 0.01 and less for other words). Contexts that differ in the word for the kind alone make one form.
-OWN, OWN_SHARE, TRUE = 3, 0.05, 0.25
-#: What kind of thing a name calls itself, and words that say nothing on which entry is meant.
-KINDS = ["theory", "theories", "model", "models", "framework", "hypothesis", "hypotheses", "concept", "paradigm", "mechanism", "approach", "account", "view"]
-FILLERS = [
-    "of", "the", "a", "an", "in", "as", "by", "for", "and", "to", "on", "so", "called", "see", "also", "below", "above", "cause", "aging", "ageing",
-    "senescence", "tissue", "tissues", "classical", "extended", "modified", "updated", "first", "second", "third", "version", "revised", "rev", "critique",
-]
-STOP = [*KINDS, *FILLERS]
+#: Edits that a value may have suffered, and one shorter than LONG letters; two neighbours swapped are one edit.
+K, K_SHORT, LONG = 2, 1, 9
+#: Entries beside whose complete forms a word must stand to say nothing on which entry is meant.
+FILLER_ENTRIES = 6
+#: Share of the entries whose aliases must add a word, in no name, for it to say nothing either.
+ALIAS_SHARE = 0.05
+#: Words of a form whose orders are all written out; longer forms count in the given and in alphabetical order.
+ORDERED = 4
+#: What kind of thing a name calls itself; and words without content, the subject of all theories of the list among them.
+KINDS = ["theory", "theories", "model", "models", "framework", "frameworks", "hypothesis", "hypotheses", "concept", "concepts", "paradigm", "paradigms", "mechanism", "mechanisms", "approach", "approaches", "account", "view"]
+FUNCTION = ["of", "the", "a", "an", "in", "as", "by", "for", "and", "to", "on", "so", "socalled", "or", "with", "from", "at", "called", "aging", "ageing", "senescence"]
+STOP = [*KINDS, *FUNCTION]
 FIELDS = {"original_name": "original_name", "mapped_name": "mapped_name", "canonical_name": "match_result.canonical_name"}
+#: A public tokenizer's rank file; its entries that begin with a space are the vocabulary of whole words.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+_KIND = "|".join(k for k in KINDS if len(k) > 4)
 
 
 def words(text: Column) -> Column:
-    """The words of ``text`` in lower case; anything but letters and digits parts them."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """The words of ``text`` in lower case; anything but letters and digits parts them, and so do words for the kind that lost a space."""
+    parted = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
+    parted = F.regexp_replace(parted, rf"(?<=[\p{{L}}\p{{N}}]{{3}})({_KIND})(?= |$)", " $1")
+    parted = F.regexp_replace(parted, rf"(?<= |^)({_KIND})(?=[\p{{L}}\p{{N}}]{{2}})", "$1 ")
+    return F.filter(F.split(parted, " "), lambda w: w != "")
 
 
-def _content(ws: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(ws, lambda w: ~w.isin(STOP))))
+def _told(ws: Column) -> Column:
+    """The words of a value or form that aren't STOP, each once, in order."""
+    return F.array_distinct(F.filter(ws, lambda w: ~w.isin(STOP)))
 
 
 def _key(ws: Column) -> Column:
-    return F.concat_ws(" ", _content(ws))
+    return F.concat_ws(" ", F.array_sort(ws))
 
 
 def reference_texts(ontology: DataFrame) -> DataFrame:
@@ -57,51 +69,85 @@ def reference_texts(ontology: DataFrame) -> DataFrame:
     return ontology.where(F.col("ontology_id").isNotNull()).select("ontology_id", "name", F.explode(arrays).alias("text")).where(F.col("text").isNotNull())
 
 
-def synonyms(ontology: DataFrame) -> DataFrame:
+def added_words(ontology: DataFrame) -> DataFrame:
+    """(word): words that aliases of at least ALIAS_SHARE of the entries have and no name has."""
+    t = reference_texts(ontology)
+    named = t.select(F.explode(words(F.col("name"))).alias("word")).distinct()
+    total = ontology.agg(F.greatest(F.count_distinct("ontology_id") * ALIAS_SHARE, F.lit(3)).alias("least"))
+    used = t.select("ontology_id", F.explode(_told(words(F.col("text")))).alias("word")).groupBy("word").agg(F.count_distinct("ontology_id").alias("n"))
+    return used.join(total, F.col("n") >= F.col("least")).select("word").join(named, "word", "left_anti")
+
+
+def base_forms(ontology: DataFrame) -> DataFrame:
+    """(ontology_id, name, text, w): the content words of each name and alias, in order."""
+    t = reference_texts(ontology).withColumn("w", _told(words(F.col("text"))))
+    idle = added_words(ontology).agg(F.collect_set("word").alias("idle"))  # at most 1 / ALIAS_SHARE words of each place in an alias
+    return t.join(idle).select("ontology_id", "name", "text", F.array_except("w", "idle").alias("w")).where(F.size("w") > 0)
+
+
+def synonyms(base: DataFrame) -> DataFrame:
     """(part, other): parts of names that aliases of the same entry replace, as lists of words.
 
     Learned where an alias shares at least two content words with the name and what is left of the name is one word.
     """
-    t = reference_texts(ontology).where(F.col("text") != F.col("name"))
-    n, a = _content(words(F.col("name"))), _content(words(F.col("text")))
-    t = t.select(n.alias("n"), a.alias("a")).where(F.size(F.array_intersect("n", "a")) >= 2)
-    t = t.select(F.array_except("n", "a").alias("part"), F.array_except("a", "n").alias("other"))
+    names = base.where(F.col("text") == F.col("name")).select("ontology_id", F.col("w").alias("n")).distinct()
+    t = base.where(F.col("text") != F.col("name")).join(names, "ontology_id").where(F.size(F.array_intersect("n", "w")) >= 2)
+    t = t.select(F.array_except("n", "w").alias("part"), F.array_except("w", "n").alias("other"))
     return t.where((F.size("part") == 1) & (F.size("other") >= 1)).select(F.col("part")[0].alias("part"), "other").distinct()
 
 
-def forms(ontology: DataFrame) -> DataFrame:
-    """(key, ontology_id): the sets of content words that mean an entry, and no other entry.
+def forms(base: DataFrame, ontology: DataFrame) -> DataFrame:
+    """(key, w, ontology_id): the sets of content words that mean an entry, and no other entry.
 
     Names of three content words read site, thing, process; such a name is also known by its last two (the site left
     out), where these belong to one entry only. Each form also counts with the entry's abbreviation beside it.
     """
-    ordered = F.filter(words(F.col("text")), lambda w: ~w.isin(STOP))
-    base = reference_texts(ontology).select("ontology_id", "name", "text", ordered.alias("w"))
-    named = base.where(F.col("text") == F.col("name"))
-    short = named.where(F.size("w") == 3).select("ontology_id", F.slice("w", 2, 2).alias("w"))
-    full = base.select("ontology_id", "w")
-    parts = full.unionByName(short)
-    swapped = parts.select("ontology_id", "w", F.explode("w").alias("part")).join(synonyms(ontology), "part")
-    swapped = swapped.select("ontology_id", F.concat(F.array_except("w", F.array("part")), "other").alias("w"))
-    sets = parts.unionByName(swapped).where(F.size("w") > 0)
+    short = base.where((F.col("text") == F.col("name")) & (F.size("w") == 3)).select("ontology_id", F.slice("w", 2, 2).alias("w"))
+    parts = base.select("ontology_id", "w").unionByName(short)
+    swapped = parts.select("ontology_id", "w", F.explode("w").alias("part")).join(synonyms(base), "part")
+    swapped = swapped.select("ontology_id", F.flatten(F.transform("w", lambda x: F.when(x == F.col("part"), F.col("other")).otherwise(F.array(x)))).alias("w"))
+    sets = parts.unionByName(swapped)
     abbreviated = ontology.where(F.col("ontology_id").isNotNull()).select("ontology_id", F.explode("abbreviations").alias("abbr"))
     abbreviated = abbreviated.select("ontology_id", F.lower(F.regexp_replace("abbr", r"[^\p{L}\p{N}]+", "")).alias("abbr")).where(F.col("abbr") != "")
     beside = sets.join(abbreviated, "ontology_id").select("ontology_id", F.concat("w", F.array("abbr")).alias("w"))
-    every = sets.unionByName(beside).select(_key(F.col("w")).alias("key"), "ontology_id")
-    every = every.unionByName(abbreviated.select(F.concat(F.lit("="), "abbr").alias("key"), "ontology_id"))
-    return every.where(F.col("key") != "").groupBy("key").agg(F.min("ontology_id").alias("ontology_id"), F.max("ontology_id").alias("last")).where(F.col("ontology_id") == F.col("last")).drop("last")
+    every = sets.unionByName(beside).select(_key(F.array_distinct("w")).alias("key"), F.array_distinct("w").alias("w"), "ontology_id")
+    every = every.unionByName(abbreviated.select(F.concat(F.lit("="), "abbr").alias("key"), F.array().cast("array<string>").alias("w"), "ontology_id"))
+    one = every.groupBy("key").agg(F.min("ontology_id").alias("ontology_id"), F.max("ontology_id").alias("last")).where(F.col("ontology_id") == F.col("last")).select("key", "ontology_id")
+    return every.select("key", "w").distinct().join(one, "key")
+
+
+def vocabulary(spark: SparkSession, path: str | None = VOCABULARY) -> DataFrame:
+    """(word): whole words of a public tokenizer's rank file, in lower case; none without a file.
+
+    The file has some 50,000 entries, whatever the data.
+    """
+    found = set()
+    if path and os.path.exists(path):
+        with open(path, "rb") as lines:
+            tokens = (base64.b64decode(line.split()[0]) for line in lines)
+            found = {t[1:].decode("utf-8", "ignore").lower() for t in tokens if t[:1] == b" " and t[1:].isalpha()}
+    return spark.createDataFrame([(w,) for w in sorted(found) if len(w) > 2], "word string")
+
+
+def _orders(w: Column) -> Column:
+    """All orders of up to ORDERED words, as strings without spaces; of more words, the given and the alphabetical one."""
+    flat = lambda a: F.array_join(a, "")
 
+    def grown(rest: Column, done: Column, depth: int) -> Column:
+        if depth == 1:
+            return F.transform(rest, lambda x: F.concat(done, x))
+        return F.flatten(F.transform(rest, lambda x: grown(F.array_remove(rest, x), F.concat(done, x), depth - 1)))
 
-def vocabulary(ontology: DataFrame) -> DataFrame:
-    """(ref, parts): the list's words, the stop words, and pairs of neighbouring words written as one."""
-    texts = reference_texts(ontology).select(words(F.col("text")).alias("w"))
-    spark = ontology.sparkSession
-    other = synonyms(ontology).select(F.explode("other").alias("ref"))
-    single = texts.select(F.explode("w").alias("ref")).unionByName(other).unionByName(spark.createDataFrame([(w,) for w in STOP], "ref string"))
-    single = single.distinct().select("ref", F.array("ref").alias("parts"))
-    pairs = texts.where(F.size("w") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.slice("w", i, 2))).alias("parts"))
-    pairs = pairs.select(F.array_join("parts", "").alias("ref"), "parts").groupBy("ref").agg(F.min("parts").alias("parts"))
-    return single.unionByName(pairs.join(single, "ref", "left_anti"))
+    picks = F.when(F.size(w) > ORDERED, F.array(flat(w), flat(F.array_sort(w))))
+    for n in range(1, ORDERED + 1):
+        picks = picks.when(F.size(w) == n, grown(w, F.lit(""), n))
+    return picks
+
+
+def references(known: DataFrame) -> DataFrame:
+    """(ref, w, ontology_id): the strings of the forms of at least two words, and of long single ones."""
+    rows = known.where(F.size("w") > 0).select("ontology_id", "w", F.explode(F.array_distinct(_orders(F.col("w")))).alias("ref"))
+    return rows.where((F.size("w") > 1) | (F.length("ref") >= LONG))
 
 
 def _edits(length: Column) -> Column:
@@ -117,7 +163,7 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def _changed(a: str, b: str, distance: str) -> Column:
-    """Edits between two words, swaps counted once: letters that differ, and half of what levenshtein adds to them."""
+    """Edits between two strings, swaps counted once: letters that differ, and half of what levenshtein adds to them."""
     letters = F.aggregate(
         F.array_distinct(F.split(b, "")),
         F.lit(0),
@@ -127,59 +173,36 @@ def _changed(a: str, b: str, distance: str) -> Column:
     return other + F.ceil((F.col(distance) - other) / 2)
 
 
-def candidates(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(token, n, ref, parts, ref_n, distance, edits): the reference words within the allowed edits of the tokens that are none.
+def pigeonhole(strings: DataFrame, refs: DataFrame) -> DataFrame:
+    """(string, ref, edits): the references within the allowed edits of each string (columns ``string`` and ``ref``, distinct).
 
-    ``tokens``: (token, n), n being the number of values it is in.
+    A segment's candidates are packed into one row, a part of the reference list; strings that share a segment with many
+    others (a hot name, misspelt in many ways) are joined in place, by ``skew_join``.
     """
-    strange = tokens.join(vocab.select(F.col("ref").alias("token")), "token", "left_anti")
-    weight = vocab.join(tokens.select(F.col("token").alias("ref"), F.col("n").alias("ref_n")), "ref", "left")
-    refs = _cut(weight.where(F.length("ref") > 2).select("ref", "parts", F.coalesce("ref_n", F.lit(0)).alias("ref_n"), F.length("ref").alias("len")))
-    refs = refs.select("ref", "parts", "ref_n", "len", "seg", F.expr("substring(ref, at, width)").alias("piece"))
-    # all places at which a surviving segment of a reference of each possible length can stand in the token
-    probes = strange.where(F.length("token") > 1).select("token", "n", F.explode(F.sequence(F.length("token") - K, F.length("token") + K)).alias("len"))
+    cuts = _cut(refs.select("ref").distinct().where(F.length("ref") > 2).withColumn("len", F.length("ref")))
+    cuts = cuts.select("ref", F.xxhash64("len", "seg", F.expr("substring(ref, at, width)")).alias("piece"))
+    packed = cuts.groupBy("piece").agg(F.collect_list("ref").alias("refs"))
+    # all places at which a surviving segment of a reference of each possible length can stand in the string
+    probes = strings.where(F.length("string") > 1).select("string", F.explode(F.sequence(F.lit(-K), F.lit(K))).alias("more")).withColumn("len", F.length("string") + F.col("more"))
     probes = _cut(probes.where("len > 2")).select("*", F.explode(F.sequence(F.lit(-K), F.lit(K))).alias("shift"))
-    probes = probes.where((F.abs("shift") <= _edits(F.col("len"))) & (F.col("at") + F.col("shift") >= 1) & (F.col("at") + F.col("shift") + F.col("width") - 1 <= F.length("token")))
-    probes = probes.select("token", "n", "len", "seg", F.expr("substring(token, at + shift, width)").alias("piece"))
-    pairs = probes.join(refs, ["len", "seg", "piece"]).withColumn("distance", F.levenshtein("token", "ref", 2 * K)).where("distance >= 0")
-    pairs = pairs.select("token", "n", "ref", "parts", "ref_n", "distance").distinct().withColumn("edits", _changed("token", "ref", "distance"))
-    return pairs.where(F.col("edits") <= _edits(F.length("ref")))
-
-
-def corrections(tokens: DataFrame, vocab: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(token, parts): the words of the list that a token stands for.
-
-    A token that the list has stands for itself; another one stands for the nearest reference word of ``pairs`` (all
-    ``candidates`` if not given; ties: the more frequent, then the first in the alphabet); all others stand for themselves too.
-    """
-    pairs = candidates(tokens, vocab) if pairs is None else pairs
-    known = tokens.join(vocab.select(F.col("ref").alias("token"), "parts"), "token").select("token", "parts")
-    best = pairs.groupBy("token").agg(F.min(F.struct("edits", "distance", -F.col("ref_n"), "ref", "parts")).alias("b")).select("token", F.col("b.parts").alias("parts"))
-    named = known.unionByName(best)
-    own = tokens.join(named.select("token"), "token", "left_anti").select("token", F.array("token").alias("parts"))
-    return named.unionByName(own)
+    # the part before the segment moved by ``shift``, so the part after it took the rest of the difference in length
+    probes = probes.where((F.abs("shift") + F.abs(-F.col("more") - F.col("shift")) <= _edits(F.col("len"))) & (F.col("at") + F.col("shift") >= 1) & (F.col("at") + F.col("shift") + F.col("width") - 1 <= F.length("string")))
+    probes = cut(probes.select("string", F.xxhash64("len", "seg", F.expr("substring(string, at + shift, width)")).alias("piece")).distinct())
+    met = skew_join(probes, packed, "piece").select("string", F.explode("refs").alias("ref"))
+    near = met.where(F.abs(F.length("string") - F.length("ref")) <= K).withColumn("distance", F.levenshtein("string", "ref", 2 * K)).where("distance >= 0").distinct()
+    near = near.withColumn("edits", _changed("string", "ref", "distance"))
+    return near.where(F.col("edits") <= _edits(F.length("ref"))).select("string", "ref", "edits")
 
 
-def _corrected(tokens: DataFrame, fixed: DataFrame) -> DataFrame:
-    """(value, key): the content words of the values with their tokens corrected."""
-    return tokens.join(fixed, "token").groupBy("value").agg(_key(F.flatten(F.collect_set("parts"))).alias("key"))
+def fillers(stripped: DataFrame, known: DataFrame) -> DataFrame:
+    """(word): words that the list lacks and that, alone or with others, stand beside complete forms of FILLER_ENTRIES entries.
 
-
-def misspelt(tokens: DataFrame, counted: DataFrame, vocab: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Those ``pairs`` whose token is no word of its own.
-
-    ``tokens``: (value, token); ``counted``: (token, n, contexts). A token in many contexts stays if, with all tokens of its values corrected, there are
-    TRUE different forms (``known``) for each of its contexts.
+    ``stripped``: (listed, other), the words of values that the list has and those that it lacks.
     """
-    spread = counted.select("token", "contexts")
-    pairs = cut(pairs.join(spread, "token").join(spread.select(F.col("token").alias("ref"), F.col("contexts").alias("ref_contexts")), "ref", "left"))
-    few = (F.col("contexts") < OWN) | (F.col("contexts") <= OWN_SHARE * F.coalesce("ref_contexts", F.lit(0)))
-    doubted = cut(pairs.where(~few).select("token").distinct())
-    asked = tokens.join(doubted, "token")
-    whole = tokens.join(asked.select("value").distinct(), "value", "left_semi")
-    hits = _corrected(whole, corrections(counted, vocab, pairs)).join(known.select("key"), "key", "left_semi")
-    hits = asked.join(hits, "value").groupBy("token").agg(F.count_distinct("key").alias("hits"))
-    return pairs.join(hits, "token", "left").where(few | (F.coalesce("hits", F.lit(0)) >= TRUE * F.col("contexts")))
+    rest = stripped.where((F.size("listed") > 0) & (F.size("other") > 0)).select(_key(F.col("listed")).alias("key"), F.array_sort("other").alias("other")).distinct()
+    beside = rest.join(known.select("key", "ontology_id").distinct(), "key")
+    beside = beside.groupBy("other").agg(F.count_distinct("ontology_id").alias("n")).where(F.col("n") >= FILLER_ENTRIES)
+    return beside.select(F.explode("other").alias("word")).distinct()
 
 
 def mentions(entries: DataFrame, fields: dict[str, str] | None = None, key: str = "theory_id") -> DataFrame:
@@ -189,27 +212,65 @@ def mentions(entries: DataFrame, fields: dict[str, str] | None = None, key: str
     return rows.where(F.coalesce(F.col("value"), F.lit("")) != "").distinct()
 
 
-def match_values(values: DataFrame, ontology: DataFrame) -> DataFrame:
+def _almost(w: Column, idle: Column) -> Column:
+    """Whether a word is one for the kind, or one of the long idle ones, with one or two edits."""
+    return F.exists(F.concat(F.array(*[F.lit(k) for k in KINDS if len(k) > 4]), F.filter(idle, lambda i: F.length(i) > 4)), lambda k: F.levenshtein(w, k, 3).between(1, F.when(F.length(k) > 6, 3).otherwise(2)))
+
+
+def _one_entry(found: DataFrame, by: str) -> DataFrame:
+    """(by, ontology_id) where all rows name the same entry."""
+    return found.groupBy(by).agg(F.min("ontology_id").alias("ontology_id"), F.max("ontology_id").alias("last")).where(F.col("ontology_id") == F.col("last")).drop("last")
+
+
+def match_values(values: DataFrame, ontology: DataFrame, vocabulary_path: str | None = VOCABULARY) -> DataFrame:
     """(value, ontology_id) of the distinct ``values`` (one column, value) that are forms of an entry.
 
-    Values without a letter or digit, of fillers only, or with any word that the entry's form lacks match nothing.
-    Very long values are no special case: they have words that no form has. An empty list matches nothing.
+    Values without a letter or digit, of fillers only, or with any word that the entry's form lacks match nothing; nor do
+    values that are equally near to forms of different entries. Values of any length are taken whole; the very long ones
+    have no reference of their length. An empty list matches nothing.
     """
-    split = values.select("value", words(F.col("value")).alias("w")).where(F.size("w") > 0)
-    telling = F.array_sort(F.array_distinct(F.filter("w", lambda w: ~w.isin(FILLERS))))
-    contexts = split.select("value", telling.alias("telling"), F.explode(F.array_distinct("w")).alias("token"))
-    contexts = contexts.select("value", "token", F.xxhash64(F.array_join(F.array_remove("telling", F.col("token")), " ")).alias("context"))
-    tokens = contexts.select("value", "token")
-    counted = cut(contexts.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("context").alias("contexts")))
-    vocab, known = cut(vocabulary(ontology)), cut(forms(ontology))
-    pairs = cut(candidates(counted, vocab))
-    fixed = cut(corrections(counted, vocab, cut(misspelt(tokens, counted, vocab, pairs, known))))
-    back = _corrected(tokens, fixed)
+    spark = values.sparkSession
+    base = cut(base_forms(ontology))
+    known = cut(forms(base, ontology))
+    listed = cut(known.select(F.explode("w").alias("word")).unionByName(reference_texts(ontology).select(F.explode(words(F.col("text"))).alias("word"))).distinct())
+    idle = added_words(ontology).agg(F.collect_set("word").alias("idle"))
+    split = values.select("value", words(F.col("value")).alias("all")).where(F.size("all") > 0)
+    stripped = split.join(idle).select("value", "all", "idle", F.array_except(_told(F.col("all")), "idle").alias("w"))
+    # words may be hot ("theory" is in most values, but so may any other be): they are looked up where they stand
+    tokens = cut(stripped.select("value", F.posexplode("w").alias("at", "word")))
+    told = skew_join(tokens, listed.withColumn("listed", F.lit(True)), "word", how="left").groupBy("value").agg(F.array_sort(F.collect_set(F.struct("at", "word", F.coalesce("listed", F.lit(False)).alias("listed")))).alias("t"))
+    pick = lambda keep: F.transform(F.filter("t", keep), lambda x: x["word"])
+    told = cut(told.select("value", pick(lambda x: x["listed"]).alias("listed"), pick(lambda x: ~x["listed"]).alias("other"), F.transform("t", lambda x: x["word"]).alias("w")))
+    others = cut(told.select("value", F.explode("other").alias("word")))
+    dropped = skew_join(others, cut(fillers(told, known)).withColumn("filler", F.lit(True)), "word").groupBy("value").agg(F.collect_set("word").alias("drop"))
+    # words for the kind may be misspelt as well: values are also read without what looks like one
+    bare = told.join(dropped, "value", "left").join(idle).select("value", "idle", F.when(F.col("drop").isNull(), F.col("w")).otherwise(F.array_except("w", "drop")).alias("w"))
+    kindless = F.filter("w", lambda w: ~_almost(w, F.col("idle")))
+    read = bare.select("value", F.explode(F.array_distinct(F.array("w", kindless))).alias("w")).where(F.size("w") > 0)
+    read = cut(read.withColumn("key", _key(F.col("w"))))
+    exact = read.join(known.select("key", "ontology_id").distinct(), "key").select("value", "ontology_id")
     # abbreviations: letters as typed, dots and spaces aside, exact
     long_stop = [w for w in STOP if len(w) > 1]
-    spelled = split.select("value", F.concat(F.lit("="), F.array_join(F.filter("w", lambda w: ~w.isin(long_stop)), "")).alias("key"))
-    found = back.unionByName(spelled).join(known, "key")
-    return found.groupBy("value").agg(F.min("ontology_id").alias("ontology_id"), F.max("ontology_id").alias("last")).where(F.col("ontology_id") == F.col("last")).drop("last")
+    spelled = split.select("value", F.concat(F.lit("="), F.array_join(F.filter("all", lambda w: ~w.isin(long_stop)), "")).alias("key"))
+    exact = cut(_one_entry(exact.unionByName(spelled.join(known.select("key", "ontology_id"), "key").select("value", "ontology_id")), "value"))
+    open_ = cut(read.join(exact, "value", "left_anti").select("value", "w", F.array_join("w", "").alias("string")))
+    refs = cut(references(known))
+    near = pigeonhole(open_.select("string").distinct(), refs)
+    pairs = open_.join(near, "string").join(refs.select("ref", F.col("w").alias("form"), "ontology_id"), "ref")
+    pairs = cut(pairs.select("value", "string", "edits", "ontology_id", F.array_except("w", "form").alias("extra"), F.array_except("form", "w").alias("lacking")))
+    # a misspelling brings few letters that the form's words lack
+    letters = F.array_distinct(F.split(F.array_join("lacking", ""), ""))
+    foreign = F.size(F.filter(F.array_distinct(F.split(F.array_join("extra", ""), "")), lambda c: ~F.array_contains(letters, c)))
+    pairs = pairs.where(foreign <= K)
+    # words of their own: those of the list, and those of the public vocabulary that don't only lack a letter
+    strange = pairs.select("value", "ontology_id", "edits", "lacking", F.explode_outer("extra").alias("word"))
+    shortened = F.exists("lacking", lambda r: (F.length(r) == F.length("word") + 1) & (F.levenshtein(r, F.col("word"), 1) == 1)) | F.array_join("lacking", "").contains(F.col("word"))
+    own = strange.join(listed, "word", "left_semi").select("value", "ontology_id", "edits")
+    own = own.unionByName(strange.where(~shortened).join(vocabulary(spark, vocabulary_path), "word", "left_semi").select("value", "ontology_id", "edits"))
+    left = pairs.select("value", "ontology_id", "edits").distinct().join(own.distinct(), ["value", "ontology_id", "edits"], "left_anti")
+    best = left.groupBy("value").agg(F.min(F.struct("edits", "ontology_id")).alias("b"), F.min("edits").alias("least"))
+    nearest = left.join(best.select("value", "least"), "value").where(F.col("edits") == F.col("least"))
+    return exact.unionByName(_one_entry(nearest, "value"))
 
 
 def names_found(entries: DataFrame, ontology: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Problems 1, 4 and 5: copies, canonical names, samples."""
 
+import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,34 +59,59 @@ LIST = [
 ]
 
 
+SITES = ["Gastric", "Ocular", "Renal", "Splenic", "Septal", "Tubular"]
+LIST += [(10 + i, "c", "s", f"{site} Beacon Wandering Model", [f"Beacon Straying Hypothesis in {site} Tissue"], [], None) for i, site in enumerate(SITES)]
+#: What teaches fillers: words that the list lacks, beside forms of many entries.
+TAUGHT = [f"{site} Beacon Wandering Model{end}" for site in SITES for end in (", revised", " as a cause of aging", " (so-called third version)")]
+
 CASES = [
         ("synaptic  MORTAR leakage model", 1), ("Leakage of the Mortar (Synaptic) as a cause of aging", 1), ("Mortar Leakage", 1), ("Dermal Ledger Seepage Concept", 2), ("Ledger seepage in dermal ageing", 2), ("silent-lighthouse paradigm", 1),
         ("S.M.L.M.", 1), ("SMLM theory", 1), ("the so-called Synaptic Mortar Leakage Model (SMLM), revised", 1), ("Synaptc Motrar Leakage Modle", 1), ("mortarleakage framework", 1), ("Retinal Anvil Taering Model", 3), ("Retinal Anvil Taerign Model", 3), ("Syynpatic_Mortar-Leakage", 1), ("Oar Build-up Hypothesis", 4),
+        ("Oar Buildup Hypothesis in Baasl Tisseu", 4), ("Leakgae, Synaptic Mortar", 1), ("Synaptic Mortar LeakageModel", 1), ("Synaptic Mortar Leakage Model version three", None),
         ("Dermal Mortar Leakage Model", None), ("Synaptic Mortar Migration Model", None), ("Synaptic Anvil Leakage", None), ("Theory of aging", None), ("?", None), ("Leakage", None), ("Synaptic Mortar Leakage Model of Drugol", None), ("SMLX", None), ("12", None),
-        ("x" * 50000, None),
+        ("Dermal Lever Leakage Model", None), ("x" * 50000, None), ("Synaptic Mortar Leakage " + "word " * 9000, None),
 ]
 
 
+def found_in(df, values, listed=LIST, **more):
+    return {r.value: r.ontology_id for r in canonical.match_values(df([(v,) for v in values], "value string"), df(listed, ONTOLOGY), **more).collect()}
+
+
 def test_canonical_names(df):
-    got = canonical.match_values(df([(v,) for v, _ in CASES], "value string"), df(LIST, ONTOLOGY)).collect()
-    found = {r.value: r.ontology_id for r in got}
+    found = found_in(df, [v for v, _ in CASES] + TAUGHT)
     assert {v[:60]: found.get(v) for v, _ in CASES} == {v[:60]: e for v, e in CASES}
+    assert all(found.get(v) == 10 + SITES.index(v.split()[0]) for v in TAUGHT)
+
+
+def test_adding_rows_removes_no_match(df):
+    """One misspelling in 1, 2, 3 or 50 values, in one entry's names or in many's, beside the word that it stands for or not."""
+    kinds = ["Theory", "Model", "Framework", "Concept", "Paradigm", "Hypothesis", "Approach", "Account", "View", "Mechanism"]
+    many = [f"{a}Dermal Ledegr Leakage {k}{b}" for k in kinds for a in ("", "The ") for b in ("", ".", " of Aging")][:50]
+    for n in (1, 2, 3, 50):
+        assert sorted(found_in(df, many[:n])) == sorted(many[:n])
+    small = ["Synaptic Mortar Leakege Model", "Dermal Ledegr Leakage Theory"]
+    more = [*small, *many, *[f"{s} Leakege {k}" for s in SITES for k in kinds], *[f"Dermal Ledger Leakage {k}" for k in kinds], "Leakege", "Ledegr"]
+    assert set(found_in(df, small).items()) <= set(found_in(df, more).items()) and len(found_in(df, small)) == 2
 
 
 def test_real_words_are_no_misspellings(df):
-    decoys = [(f"Dermal Lever Leakage {k}",) for k in ("Theory", "Model", "Framework", "Concept", "Paradigm")] + [("Dermal Ledegr Leakage Theory",)] + [(f"Dermal Ledger Leakage {k}",) for k in ("Theory", "Model")]
-    got = canonical.match_values(df(decoys, "value string"), df(LIST, ONTOLOGY))
-    assert sorted(r.value for r in got.collect()) == ["Dermal Ledegr Leakage Theory", "Dermal Ledger Leakage Model", "Dermal Ledger Leakage Theory"]
+    """Words of the list or of the public vocabulary mean themselves, however rare or frequent they are."""
+    listed = [*LIST, (30, "c", "s", "Dermal Anvil Wearing Model", [], [], None), (31, "c", "s", "Renal Oar Tearing Model", [], [], None)]
+    for copies_ in (1, 8):
+        values = [f"Dermal Lever Leakage {k}" for k in canonical.KINDS[:copies_]] + [f"Retinal Anvil Wearing {k}" for k in canonical.KINDS[:copies_]] + ["Dermal Ledegr Leakage Theory"]
+        assert set(found_in(df, values, listed)) == {"Dermal Ledegr Leakage Theory"}
+    assert "Dermal Lever Leakage Model" in found_in(df, ["Dermal Lever Leakage Model"], vocabulary_path=None)
 
 
-def test_repeated_misspellings_are_corrected(df):
-    """Neither cosmetic copies of a misspelt name nor one misspelling in many names make it a word of its own."""
-    copies_ = ["Dermal Ledegr Leakage Theory", "'dermal ledegr leakage theory'", "Dermal - LEDEGR - Leakage Theory", "the Dermal Ledegr Leakage Theory, revised"]
-    names = [f"{site} Ledegr Leakage Theory" for site in ("Dermal", "Gastric", "Ocular", "Renal")]
-    listed = [*LIST, *[(10 + i, "c", "s", n.replace("Ledegr", "Ledger"), [], [], None) for i, n in enumerate(names[1:])]]
-    for values in (copies_, names):
-        got = canonical.match_values(df([(v,) for v in values], "value string"), df(listed, ONTOLOGY))
-        assert sorted(r.value for r in got.collect()) == sorted(values)
+def test_all_orders():
+    """The expression for the orders of a form's words, for every number of words."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    for n in range(1, 6):
+        w = [f"w{i}" for i in range(n)]
+        (got,) = spark.createDataFrame([(w,)], "w array<string>").select(canonical._orders(F.col("w"))).first()
+        assert sorted(set(got)) == (sorted("".join(p) for p in itertools.permutations(w)) if n <= canonical.ORDERED else ["".join(w)])
 
 
 def test_names_found_and_unmatched(df):
@@ -92,36 +119,48 @@ def test_names_found_and_unmatched(df):
     e = df([("T1", "SMLM", None, ("Mortar Leakage",), "x"), ("T1", "SMLM", None, ("Mortar Leakage",), "x"), ("T2", "nothing", "", None, "x"), (None, "SMLM", None, None, "x")], entry)
     assert rows(canonical.names_found(e, df(LIST, ONTOLOGY))) == [("T1", "canonical_name", 1), ("T1", "original_name", 1)]
     assert rows(canonical.unmatched(e, df(LIST, ONTOLOGY))) == [("original_name", "nothing", 1)]
+    hot = df([(f"T{i}", "Synaptic Mortar Leakege Model" if i % 3 else f"name {i}", None, None, "x") for i in range(600)], entry)
+    assert canonical.names_found(hot, df(LIST, ONTOLOGY)).count() == 400
     assert canonical.names_found(e.limit(0), df(LIST, ONTOLOGY)).isEmpty() and canonical.names_found(e, df([], ONTOLOGY)).isEmpty()
 
 
-def brute_correction(token, vocab):
-    """By plain edit distance; a swap that distance counts twice is told by the letters in common."""
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    def edits(a, b):
-        d, other = distance(a, b), max(len(a), len(b)) - sum(min(a.count(c), b.count(c)) for c in set(b))
-        return other + math.ceil((d - other) / 2), d
-
-    ok = [(*edits(token, w), w) for w in vocab if len(w) > 2 and len(token) > 1 and abs(len(w) - len(token)) <= 2]
-    ok = [o for o in ok if o[1] <= 4 and o[0] <= (2 if len(o[2]) >= 6 else 1)]
-    return min(ok)[2] if ok else token
+def osa(a, b):
+    """Edits with swaps of neighbours as one."""
+    rows_ = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            best = min(rows_[-1][j] + 1, row[-1] + 1, rows_[-1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, rows_[-2][j - 2] + 1)
+            row.append(best)
+        rows_.append(row)
+    return rows_[-1][-1]
 
 
 def test_pigeonhole_join_against_brute_force(df):
-    vocab = ["leakage", "mortar", "oar", "tide", "synaptic", "loom", "tearing", "wearing"]
-    tokens = {"".join(t) for w in vocab for i in range(len(w) + 1) for t in (w[:i] + "x" + w[i:], w[:i] + w[i + 1 :], w[:i] + "q" + w[i + 2 :], w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :], w[1:2] + w[:1] + w[2:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :], w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :] + "z")}
-    got = canonical.corrections(df([(t, 1) for t in sorted(tokens) if t], "token string, n bigint"), df([(w, [w]) for w in vocab], "ref string, parts array<string>"))
-    for r in got.collect():
-        assert r.parts[0] == (r.token if r.token in vocab else brute_correction(r.token, vocab)), r
+    rng = random.Random(3)
+    refs = ["leakage", "mortarleakage", "synapticmortarleakage", "basaloarbuildup", "tide", "loomtearing", "tearingloom", "wearingloom", "leakagemortar"]
+    strings = {"", "x", *refs}
+    for ref in refs:
+        for _ in range(60):
+            t = list(ref)
+            for _ in range(rng.choice([1, 1, 2, 2, 3])):
+                i = rng.randrange(len(t))
+                kind = rng.randrange(4)
+                if kind == 0:
+                    t.insert(i, rng.choice("aekx"))
+                elif kind == 1 and len(t) > 2:
+                    del t[i]
+                elif kind == 2:
+                    t[i] = rng.choice("aekx")
+                elif i + 1 < len(t):
+                    t[i], t[i + 1] = t[i + 1], t[i]
+            strings.add("".join(t))
+    got = {(r.string, r.ref) for r in canonical.pigeonhole(df([(t,) for t in sorted(strings)], "string string"), df([(r,) for r in refs], "ref string")).collect()}
+    allowed = lambda ref: canonical.K if len(ref) >= canonical.LONG else canonical.K_SHORT
+    must = {(t, r) for t in strings for r in refs if len(t) > 1 and osa(t, r) <= allowed(r)}
+    assert must <= got and all(osa(t, r) <= allowed(r) + 1 for t, r in got) and len(got) < 1.1 * len(must)
 
 
 def arrivals(df, n, days):
