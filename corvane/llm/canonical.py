@@ -129,6 +129,14 @@ def vocabulary(spark: SparkSession, path: str | None = VOCABULARY) -> DataFrame:
     return spark.createDataFrame([(w,) for w in sorted(found) if len(w) > 2], "word string")
 
 
+def own_words(spark: SparkSession, listed: DataFrame, known: DataFrame, path: str | None = VOCABULARY) -> DataFrame:
+    """(word): public words that mean themselves: all but those of the list, and those that only lack a letter or a space of its words."""
+    shorter = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.length("word"))))
+    joined = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), ""))
+    near = listed.select(F.explode(shorter).alias("word")).unionByName(known.where(F.size("w") > 1).select(F.explode(joined).alias("word"))).unionByName(listed)
+    return vocabulary(spark, path).join(near, "word", "left_anti")
+
+
 def _orders(w: Column) -> Column:
     """All orders of up to ORDERED words, as strings without spaces; of more words, the given and the alphabetical one."""
     flat = lambda a: F.array_join(a, "")
@@ -242,18 +250,26 @@ def match_values(values: DataFrame, ontology: DataFrame, vocabulary_path: str |
     pick = lambda keep: F.transform(F.filter("t", keep), lambda x: x["word"])
     told = cut(told.select("value", pick(lambda x: x["listed"]).alias("listed"), pick(lambda x: ~x["listed"]).alias("other"), F.transform("t", lambda x: x["word"]).alias("w")))
     others = cut(told.select("value", F.explode("other").alias("word")))
-    dropped = skew_join(others, cut(fillers(told, known)).withColumn("filler", F.lit(True)), "word").groupBy("value").agg(F.collect_set("word").alias("drop"))
-    # words for the kind may be misspelt as well: values are also read without what looks like one
-    bare = told.join(dropped, "value", "left").join(idle).select("value", "idle", F.when(F.col("drop").isNull(), F.col("w")).otherwise(F.array_except("w", "drop")).alias("w"))
-    kindless = F.filter("w", lambda w: ~_almost(w, F.col("idle")))
-    read = bare.select("value", F.explode(F.array_distinct(F.array("w", kindless))).alias("w")).where(F.size("w") > 0)
-    read = cut(read.withColumn("key", _key(F.col("w"))))
-    exact = read.join(known.select("key", "ontology_id").distinct(), "key").select("value", "ontology_id")
+    lookup = own_words(spark, listed, known, vocabulary_path).select("word", F.lit(False).alias("filler")).unionByName(fillers(told, known).select("word", F.lit(True).alias("filler")))
+    lookup = cut(lookup.groupBy("word").agg(F.max("filler").alias("filler")))
+    looked = skew_join(others, lookup, "word").groupBy("value").agg(F.collect_set(F.when(F.col("filler"), F.col("word"))).alias("drop"), F.collect_set(F.when(~F.col("filler"), F.col("word"))).alias("own"))
+    none = F.array().cast("array<string>")
+    bare = told.join(looked, "value", "left").select("value", "other", F.coalesce("drop", none).alias("drop"), F.coalesce("own", none).alias("own"), "w")
+    bare = cut(bare.select("value", F.array_except("w", "drop").alias("w"), F.array_except(F.array_except("other", "drop"), "own").alias("strange")))
+    by_key = known.select("key", "ontology_id").distinct()
+    exact = bare.where(F.size("w") > 0).select("value", _key(F.col("w")).alias("key")).join(by_key, "key").select("value", "ontology_id")
     # abbreviations: letters as typed, dots and spaces aside, exact
     long_stop = [w for w in STOP if len(w) > 1]
     spelled = split.select("value", F.concat(F.lit("="), F.array_join(F.filter("all", lambda w: ~w.isin(long_stop)), "")).alias("key"))
-    exact = cut(_one_entry(exact.unionByName(spelled.join(known.select("key", "ontology_id"), "key").select("value", "ontology_id")), "value"))
-    open_ = cut(read.join(exact, "value", "left_anti").select("value", "w", F.array_join("w", "").alias("string")))
+    exact = cut(_one_entry(exact.unionByName(spelled.join(by_key, "key").select("value", "ontology_id")), "value"))
+    # only a value with a strange word can be a form misspelt; words for the kind may be misspelt as well, so it is also read without what looks like one
+    rest = bare.where(F.size("strange") > 0).join(exact.select("value"), "value", "left_anti").join(idle)
+    rest = rest.withColumn("kindless", F.array_except("w", F.filter("strange", lambda w: _almost(w, F.col("idle")))))
+    read = rest.select("value", F.explode(F.array_distinct(F.array("w", "kindless"))).alias("w")).where(F.size("w") > 0)
+    read = cut(read.select("value", "w", _key(F.col("w")).alias("key")))
+    second = cut(_one_entry(read.join(by_key, "key").select("value", "ontology_id"), "value"))
+    exact = exact.unionByName(second)
+    open_ = cut(read.join(second.select("value"), "value", "left_anti").select("value", "w", F.array_join("w", "").alias("string")))
     refs = cut(references(known))
     near = pigeonhole(open_.select("string").distinct(), refs)
     pairs = open_.join(near, "string").join(refs.select("ref", F.col("w").alias("form"), "ontology_id"), "ref")
@@ -262,7 +278,7 @@ def match_values(values: DataFrame, ontology: DataFrame, vocabulary_path: str |
     letters = F.array_distinct(F.split(F.array_join("lacking", ""), ""))
     foreign = F.size(F.filter(F.array_distinct(F.split(F.array_join("extra", ""), "")), lambda c: ~F.array_contains(letters, c)))
     pairs = pairs.where(foreign <= K)
-    # words of their own: those of the list, and those of the public vocabulary that don't only lack a letter
+    # words of their own: those of the list, and those of the public vocabulary that don't only lack a letter or a space
     strange = pairs.select("value", "ontology_id", "edits", "lacking", F.explode_outer("extra").alias("word"))
     shortened = F.exists("lacking", lambda r: (F.length(r) == F.length("word") + 1) & (F.levenshtein(r, F.col("word"), 1) == 1)) | F.array_join("lacking", "").contains(F.col("word"))
     own = strange.join(listed, "word", "left_semi").select("value", "ontology_id", "edits")
