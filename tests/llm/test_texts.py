@@ -251,6 +251,69 @@ def test_leaks(df):
     assert rows(found) == sorted([(1, 0), (2, 1), (3, 2), (8, 4), (8, 5), (10, 6), (1, 7)], key=str)
 
 
+def test_paraphrases_are_found(data):
+    """Held-out rewritings of the test items, planted into documents: no trigram survives where every third word is replaced."""
+    import pyarrow.parquet as pq
+
+    docs = pq.read_table(f"{data}/documents.parquet", columns=["text"])["text"].to_pylist()
+    items = [(r["item_id"], r["text"], r["answer"]) for r in pq.read_table(f"{data}/eval_items.parquet").to_pylist()]
+    index = leak.Index(items)
+    counts, n, gram = leak.range_sums(index, pa.table({"text": docs}).to_batches())
+    index.fit(counts, n, gram)
+    rng = random.Random(4)
+    hosts = [t for t in docs if t and 300 < len(t) < 3000]
+    pool = [w for t in hosts for w in t.split()]
+    body = dict(leak.passages([(i, t) for i, t, _ in items]))
+
+    def found(change):
+        texts, want = [], set()
+        for k, (i, t) in enumerate(body.items()):
+            host = rng.choice(hosts).split()
+            at = rng.randrange(len(host))
+            texts.append(" ".join(host[:at] + change(t.split()) + host[at:]))
+            want.add((k, i))
+        got = {1: set(), 2: set()}
+        for t, m, _, held, w, c, answered in leak.scored(index, pa.array(texts)):
+            got[leak.level(held, w, c, answered)].add((t, index.ids[m]))
+        return len(want & got[2]) / len(want), len(want & (got[1] | got[2])) / len(want), len(got[2] - want) / len(want)
+
+    for k in (3, 4, 5):
+        passage, _, other = found(lambda ws, k=k: [rng.choice(pool) if j % k == k - 1 else w for j, w in enumerate(ws)])
+        assert passage >= 0.98 and other <= 0.1
+    assert found(lambda ws: ws[: len(ws) // 2])[0] >= 0.98 and found(lambda ws: [w for j, w in enumerate(ws) if j % 4])[0] >= 0.98
+    assert found(lambda ws: ws[10 : 10 + int(0.35 * len(ws))])[1] >= 0.95
+    assert found(lambda ws: rng.sample(pool, len(ws)))[:2] == (0, 0)
+
+
+def test_short_items_and_many_terms(df, monkeypatch):
+    """An item of five words, verbatim; and the sums over sorted words that many terms take agree with the dense product."""
+    rng = random.Random(6)
+    items = df([(1, "zorn quaff vexed jumpy glyph", "Yes"), *[(i, prose(rng, 90), "No") for i in range(2, 9)]], "item_id bigint, text string, answer string")
+    docs = df([(1, prose(rng, 60) + " Zorn quaff, vexed jumpy glyph " + prose(rng, 60)), (2, prose(rng, 200)), (3, "zorn jumpy " + prose(rng, 100))], "doc_id bigint, text string")
+    assert rows(leak.leaks_found(docs, items)) == [(1, 1)]
+    index = leak.Index([(i, prose(rng, 90), "No") for i in range(9)])
+    batches = pa.table({"text": [prose(rng, 500), "", None, prose(rng, 30)]}).to_batches()
+    dense = leak.range_sums(index, batches)
+    many = leak.Index.__new__(leak.Index)
+    many.__dict__ = dict(index.__dict__, terms=np.unique(np.concatenate([index.terms, np.arange(5000, dtype=np.uint64)])), lookup=None)
+    many.width, many.prior = len(many.terms), np.ones(len(many.terms), dtype=np.float32)
+    sparse = leak.range_sums(many, batches)
+    at = np.searchsorted(many.terms, index.terms)
+    assert sparse[1] == dense[1] and (sparse[0][at] == dense[0]).all() and sparse[0].sum() == dense[0].sum()
+    brute = np.zeros_like(sparse[2])
+    omega = np.vstack([many.omega(), np.zeros((1, sparse[2].shape[1]))])
+    for batch in batches:
+        for _, _, w in tokens.pieces(batch.column(0)):
+            blocks, text, _ = leak._blocks(many.term_ids(w.hash), w.first, many.width)
+            own = omega[blocks].sum(axis=1)
+            pair = leak._pairs(own, text)
+            for i in range(len(blocks)):
+                before = pair[i - 1] if i and text[i - 1] == text[i] else 0
+                for t in blocks[i][blocks[i] < many.width]:
+                    brute[t] += pair[i] + before
+    assert np.allclose(sparse[2], brute, atol=1e-2)
+
+
 def test_leak_edges(df):
     docs = df([(1, "some text here")], "doc_id bigint, text string")
     items = df([(1, "one two three four five six", "Yes")], "item_id bigint, text string, answer string")
@@ -285,6 +348,9 @@ def test_heaviest_subsequence_against_brute_force():
     got, n = leak._subsequence(a, b, weights)
     for k in range(4):
         assert abs(got[k] - brute(a[k], b[k])[0]) < 1e-4
+    same = np.arange(6000) % 9  # more words than the number had room for in twelve bits
+    got, n = leak._subsequence([same], [same], weights)
+    assert n[0] == 6000 and abs(got[0] - weights[same].sum()) < 0.5
 
 
 # ---- problem 9
