@@ -356,6 +356,30 @@ def test_heaviest_subsequence_against_brute_force():
 # ---- problem 9
 
 
+def test_residue_of_unseen_wording():
+    """Wordings that no table here holds; at their first run 50 of 54 were found, and 2 of 38 look-alikes."""
+    from tests.llm.residue_cases import BODY, NEGATIVE, POSITIVE
+
+    for around in ("{}", BODY + "\n\n{}\n\n" + BODY):
+        kinds = residue.classify(pa.array([around.replace("{}", t) for _, t in POSITIVE]))
+        assert sum(want in got for (want, _), got in zip(POSITIVE, kinds, strict=True)) >= 52
+    assert sum(bool(k) for k in residue.classify(pa.array(NEGATIVE))) <= 1
+
+
+def test_no_length_is_cut_off():
+    """Long fields, quotations and words; a notice behind a fence that never closes."""
+    assert residue.judge("{{" + "a long field name " * 20 + "}}") == {"placeholder"}
+    assert residue.judge("[insert " + "a very long description " * 30 + "]") == {"placeholder"}
+    quoted = 'Some readers saw the sentence "Please enable JavaScript to continue' + " and to read on" * 30 + '" on their screens.'
+    assert residue.judge(quoted) == set()
+    assert residue.judge("```python\nx = 1\n\nPlease enable JavaScript to continue.") == {"scripts"}
+    assert residue.judge("```\nPlease enable JavaScript to continue.\n```\nis what the page says.") == set()
+    long = "Donaudampfschifffahrtsgesellschaft"
+    assert residue.classify(pa.array([f"{long} " * 8, "ACGTACGTTGCAACGTACGTTGCAACGT " * 8])) == [{"filler"}, set()]
+    for t in ("Expression of {{gene}} rose in old mice.", "Drugs such as [[drug]] were given."):
+        assert residue.judge(t) == {"placeholder"}
+
+
 @pytest.mark.parametrize(
     "text, kinds",
     [
