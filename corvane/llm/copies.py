@@ -2,7 +2,9 @@
 
 Three steps, none of which sees a row twice: byte-identical rows collapse first (a map-side combined group-by with a
 count), only the distinct survivors are canonicalised, and these are grouped again on their full canonical text, whose
-counts are summed. Keys never travel in lists: membership is a join of keys to groups, which treats groups that own a
+counts are summed. Keys never travel in lists, nor do wide texts in joins: a group is named by a digest of its canonical
+text once its texts have been compared and found equal (were two texts to share a digest, their groups are named by the
+text itself). Keys come by their group in a join: membership is a join of keys to groups, which treats groups that own a
 large share of all rows apart (``corvane.operators.skew``).
 """
 
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators.skew import skew_join
-from corvane.session import cut
+from corvane.session import cut, written
 
 #: Everything that is disregarded: separators, controls and punctuation of any script.
 NOISE = r"[\p{Z}\p{C}\p{P}\s]+"
@@ -45,8 +47,12 @@ def bare_json(text: Column) -> Column:
     )
 
 
-def _digest(names: list[str]) -> Column:
-    return F.substring(F.unhex(F.sha2(F.concat_ws("\x04", *[F.coalesce(F.concat(F.lit("="), n), F.lit("~")) for n in names]), 256)), 1, 16)
+def _whole(names: list[str]) -> Column:
+    return F.concat_ws("\x04", *[F.coalesce(F.concat(F.lit("="), n), F.lit("~")) for n in names])
+
+
+def _digest(text: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
 @dataclass
@@ -73,12 +79,16 @@ def collapse(df: DataFrame, key: str, columns: list[str], json_columns: tuple[st
     for c in required:
         rows = rows.where(F.col(f"c{columns.index(c)}").rlike(r"[\p{L}\p{N}]"))
     # 16-byte digests stand for texts where keys must be kept; wide texts are shuffled once, by the raw collapse.
-    rows = rows.withColumn("raw", _digest(names))
+    rows = rows.withColumn("raw", _digest(_whole(names)))
     survivors = rows.groupBy("raw", *names).agg(F.min("key").alias("first_raw"), F.count(F.lit(1)).alias("n"))
     canonical = [(bare_json(F.col(n)) if c in json_columns else bare(F.col(n))).alias(n) for n, c in zip(names, columns, strict=True)]
     distinct = survivors.select("raw", "first_raw", "n", *canonical)
     groups = distinct.groupBy(*names).agg(F.min("first_raw").alias("first_key"), F.sum("n").alias("copies"), F.count(F.lit(1)).alias("spellings"))
-    slim = cut(distinct.select("raw", "first_raw", "n", _digest(names).alias("group")))
+    kept = written(distinct.select("raw", "first_raw", "n", _whole(names).alias("text")).withColumn("group", _digest(F.col("text"))))
+    mixed = cut(kept.groupBy("group").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select("group", F.lit(True).alias("mixed")))
+    slim = kept.select("raw", "first_raw", "n", "group")
+    if not mixed.isEmpty():
+        slim = cut(kept.join(mixed, "group", "left").select("raw", "first_raw", "n", F.when(F.col("mixed"), F.encode("text", "UTF-8")).otherwise(F.col("group")).alias("group")))
     repeated = slim.groupBy("group").agg(F.min("first_raw").alias("first_key"), F.sum("n").alias("copies")).where("copies > 1")
     raw_to_first = skew_join(slim.select("group", "raw"), repeated.select("group", "first_key"), "group", share).select("raw", "first_key")
     members = skew_join(cut(rows.select("raw", "key")), cut(raw_to_first), "raw", share).select("key", "first_key").distinct()

@@ -44,7 +44,7 @@ def _encoding(path: str, pattern: str):
 
 
 def token_lengths(documents: DataFrame, key: str = "doc_id", tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """(key, tokens) of every row with a key; null and empty texts have 0 tokens. Whole texts are encoded.
+    """(key, tokens, mark) of every row; null and empty texts have 0 tokens. Whole texts are encoded; mark is a hash of the text.
 
     ``tokenizer`` is the path of a rank file on the driver, which Spark sends to the executors.
     """
@@ -58,9 +58,9 @@ def token_lengths(documents: DataFrame, key: str = "doc_id", tokenizer: str = TO
         encode = _encoding(SparkFiles.get(name), pattern).encode_ordinary
         for batch in batches:
             sizes = [len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], [key, "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), batch.column(2)], [key, "tokens", "mark"])
 
-    return documents.where(F.col(key).isNotNull()).select(key, "text").mapInArrow(measure, f"`{key}` {kind}, tokens bigint")
+    return documents.select(key, "text", F.xxhash64("text").alias("mark")).mapInArrow(measure, f"`{key}` {kind}, tokens bigint, mark bigint")
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -106,15 +106,19 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", bins
     Documents of up to ``capacity`` tokens are one piece (0). Longer ones are cut into pieces that start at token
     ``start``, all full but the last. ``place`` is the piece's offset in its container; containers are numbered by
     group (upper bits) and order. Documents without tokens need no space and have no container: one row, with nulls.
-    Rows with equal keys are packed each. An empty table gives no rows.
+    Rows with equal keys are packed each, those without a key too; ``lengths`` may have a column mark that tells them apart.
+    Rows that are equal in all are counted first and dealt one by one, so however many there are, they spread over the
+    groups. An empty table gives no rows.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
-    lengths = cut(lengths)
-    total = lengths.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"]
+    mark = F.col("mark") if "mark" in lengths.columns else F.lit(None).cast("bigint")
+    counted = cut(lengths.select(F.col(key).alias("key"), "tokens", mark.alias("mark")).groupBy("key", "tokens", "mark").agg(F.count(F.lit(1)).alias("n")))
+    total = counted.agg(F.coalesce(F.sum(F.col("tokens") * F.col("n")), F.lit(0)).alias("t")).first()["t"]
     groups = max(1, round(total / (capacity * bins)))
-    h = F.xxhash64(F.col(key).cast("string"))
-    rows = lengths.select(F.col(key).alias("key"), "tokens", h.alias("h"), F.pmod(h, F.lit(groups)).cast("int").alias("group"))
+    each = counted.select("key", "tokens", "mark", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("at"))
+    h = F.xxhash64(F.col("key").cast("string"), "mark", "at")
+    rows = each.select("key", "tokens", h.alias("h"), F.pmod(h, F.lit(groups)).cast("int").alias("group"))
     kind = lengths.schema[key].dataType.simpleString()
 
     def place(table: pa.Table) -> pa.Table:
@@ -149,11 +153,11 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", bins
 
 
 def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(containers, tokens, unused, used_share): how well the containers are filled."""
+    """(containers, least, tokens, unused, used_share): how well the containers are filled; no packing can do with fewer than ``least``."""
     per = packed.where(F.col("container").isNotNull()).groupBy("container").agg(F.sum("tokens").alias("t"))
     sums = per.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"))
     room = F.col("containers") * capacity
-    return sums.select("containers", "tokens", (room - F.col("tokens")).alias("unused"), F.try_divide(F.col("tokens"), room).alias("used_share"))
+    return sums.select("containers", F.ceil(F.col("tokens") / capacity).alias("least"), "tokens", (room - F.col("tokens")).alias("unused"), F.try_divide(F.col("tokens"), room).alias("used_share"))
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:

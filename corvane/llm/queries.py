@@ -62,7 +62,12 @@ def p1_entry_groups(spark: SparkSession, d: str) -> DataFrame:
     return copies.entry_copies(table(spark, d, "theory_entries")).groups.drop("spellings")
 
 
-@query()
+@query(_inline(r"""WITH t AS (SELECT id, doi, name, mode, evidence, confidence_is_theory, criteria_reasoning, paper_focus, key_concepts, concat_ws('|', coalesce('=' || @(doi), '~'), coalesce('=' || @(name), '~'), coalesce('=' || @(mode), '~'), coalesce('=' || @(evidence), '~'),
+    coalesce('=' || @(confidence_is_theory), '~'), coalesce('=' || @(criteria_reasoning), '~'), coalesce('=' || paper_focus::VARCHAR, '~'),
+    CASE WHEN key_concepts IS NULL THEN '~' WHEN json_valid(key_concepts) AND key_concepts LIKE '[%' THEN 'j' || array_to_string(list_transform(from_json(key_concepts, '["MAP(VARCHAR, VARCHAR)"]'),
+      lambda m: array_to_string(list_sort(list_transform(map_entries(m), lambda x: @(x.key) || '^' || coalesce('=' || @(x.value), '~'))), '#')), '##') ELSE 't' || @(key_concepts) END) AS c
+  FROM theories WHERE id IS NOT NULL)
+SELECT min(id) AS first_key, count(*) AS copies, count(DISTINCT (doi, name, mode, evidence, confidence_is_theory, criteria_reasoning, paper_focus, key_concepts)) AS spellings FROM t GROUP BY c"""))
 def p1_theory_groups(spark: SparkSession, d: str) -> DataFrame:
     return copies.theory_copies(table(spark, d, "theories")).groups.select("first_key", "copies", "spellings")
 

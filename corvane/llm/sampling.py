@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.skew import skew_join
+from corvane.session import cut as cut_lineage
+
 RANGE_DIGITS = 3  # hexadecimal: 16 ** 3 = 4096 ranges
 
 
@@ -45,6 +48,17 @@ def frozen_bottom_k(units: DataFrame, unit: str, batch: str, rate: float, salt:
     return whole.select("unit", "batch").unionByName(cut.select("unit", "batch")).unionByName(undated.select("unit", "batch"))
 
 
+def extended(seen: DataFrame, sampled: DataFrame, units: DataFrame, unit: str, batch: str, rate: float, salt: str) -> tuple[DataFrame, DataFrame]:
+    """(seen, sampled) after a further load: only units that were not ``seen`` are judged, in the batches they have now.
+
+    Earlier decisions are frozen, not made again: a row of a seen unit that arrives later with an earlier time moves
+    nothing. ``seen`` and ``sampled``: (unit, batch). The batches of the new units are their own, even where a name
+    of a batch occurred before: of n new units in a batch ceil(rate * n) are added.
+    """
+    new = cut_lineage(units.where(F.col(unit).isNotNull()).select(F.col(unit).alias("unit"), F.col(batch).alias("batch")).join(seen.select("unit"), "unit", "left_anti"))
+    return seen.select("unit", "batch").unionByName(new), sampled.select("unit", "batch").unionByName(frozen_bottom_k(new, "unit", "batch", rate, salt))
+
+
 def arrivals(entries: DataFrame, unit: str) -> DataFrame:
     """(unit, batch): each unit's first arrival day. A re-delivered or later row of a unit doesn't move it.
 
@@ -69,6 +83,5 @@ def sample_by_name(entries: DataFrame, rate: float = 0.1, salt: str = "corvane-n
 
 
 def rows_of_names(entries: DataFrame, names: DataFrame) -> DataFrame:
-    """The entries whose normalized_name was sampled. A name may own a tenth of the rows: the join leaves them in place
-    where the names are small and splits skewed partitions (adaptive execution) where they aren't."""
-    return entries.join(names.select("normalized_name"), "normalized_name", "left_semi")
+    """The entries whose normalized_name was sampled. A name may own a third of the rows: those of heavy names stay where they are."""
+    return skew_join(entries, names.select("normalized_name").distinct(), "normalized_name").select(*entries.columns)

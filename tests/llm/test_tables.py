@@ -46,6 +46,14 @@ def test_copies_of_entries(df):
     assert rows(found) == [("theory_entries", "T1", "T2")]
 
 
+def test_equal_digests_are_no_copies(df, monkeypatch):
+    """Groups are those of the full canonical text, even where different canonical texts have the same digest."""
+    real = copies._digest
+    monkeypatch.setattr(copies, "_digest", lambda text: F.when(text.rlike("^=101a\x04=[a-z]+$"), F.encode(F.lit("x"), "UTF-8")).otherwise(real(text)))
+    e = df([("T1", "10.1/a", "samea"), ("T2", "10.1/a", "sameb"), ("T3", "10.1/a", "Samea"), ("T4", "10.1/a", "other"), ("T5", "10.1/a", "Other.")], "theory_id string, doi string, original_name string")
+    assert rows(copies.entry_copies(e).members.where("key <> first_key")) == [("T3", "T1"), ("T5", "T4")]
+
+
 def test_hot_group_of_copies(spark, df):
     many = spark.range(3000).select(F.format_string("T%05d", "id").alias("theory_id"), F.lit("10.1/x").alias("doi"), F.when(F.col("id") < 1500, F.lit("Hot Name")).when(F.col("id") < 2000, F.lit("hot  name")).otherwise(F.col("id").cast("string")).alias("original_name"))
     got = copies.entry_copies(many).members.where("key <> first_key")
@@ -178,6 +186,16 @@ def test_sample_sizes_and_growth(df):
     assert before != set(rows(sampling.frozen_bottom_k(small, "unit", "batch", 0.1, "other")))
 
 
+def test_frozen_batches_are_extended(df):
+    """Decisions on earlier loads stand, also where a seen unit comes again with an earlier day."""
+    first = arrivals(df, 300, 3)
+    seen, sampled = first, sampling.frozen_bottom_k(first, "unit", "batch", 0.1, "s")
+    load = df([("u5", "2023-01-01"), *[(f"v{i}", "2024-02-01") for i in range(50)], (None, "2024-02-01")], "unit string, batch string")
+    seen2, sampled2 = sampling.extended(seen, sampled, load, "unit", "batch", 0.1, "s")
+    assert seen2.count() == 350 and set(rows(sampled)) <= set(rows(sampled2)) and sampled2.count() == 35
+    assert rows(sampling.extended(seen2, sampled2, load, "unit", "batch", 0.1, "s")[1]) == rows(sampled2)
+
+
 def test_sample_edges(df):
     u = df([("a", None), (None, "2024-01-01"), ("b", None)], "unit string, batch string")
     got = rows(sampling.frozen_bottom_k(u, "unit", "batch", 1.0, "s"))

@@ -212,6 +212,9 @@ def test_pack(df):
             by.setdefault(r.container, []).append((r.place, r.tokens))
     assert all(sum(t for _, t in v) <= 10 for v in by.values())
     assert packing.pack(lengths.limit(0), 10).isEmpty()
+    same = packing.pack(df([(7, 4)] * 900 + [(None, 6)] * 100, "doc_id bigint, tokens bigint"), 10, bins=20)
+    per = same.groupBy("container").agg(F.sum("tokens").alias("t"), F.max(F.shiftright("container", 32)).alias("g"))
+    assert per.where("t > 10").isEmpty() and per.select("g").distinct().count() > 5 and same.count() == 1000
     again = packing.pack(lengths.repartition(5), 10).collect()
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str)
 
@@ -220,8 +223,9 @@ def test_pack(df):
 def test_documents_are_measured(df):
     docs = df([(1, "Hello world"), (2, None), (3, ""), (None, "x"), (4, "word " * 5000)], "doc_id bigint, text string")
     got = {r.doc_id: r.tokens for r in packing.token_lengths(docs).collect()}
-    assert got == {1: 2, 2: 0, 3: 0, 4: 5001}
-    assert packing.fill(packing.pack_documents(docs)).first().containers == 3
+    assert got == {1: 2, 2: 0, 3: 0, 4: 5001, None: 1}
+    full = packing.fill(packing.pack_documents(docs)).first()
+    assert (full.containers, full.least) == (3, 3)
 
 
 # ---- problem 8
