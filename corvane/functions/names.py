@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.session import ship_active
+
 #: Words that the fuzzy key leaves out.
 GENERIC = [
     "hypotheses", "hypothesis", "theories", "theory", "models", "model", "frameworks", "framework", "paradigms", "paradigm", "approaches", "approach", "concepts", "concept", "mechanisms", "mechanism",
@@ -57,6 +59,7 @@ def title_case(x: pd.Series) -> pd.Series:
 
 
 def grouping_key(name: Column) -> Column:
+    ship_active()
     return title_case(grouping_key_sql(name))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.session import ship_active
+
 
 def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, bit-parallel over ``a``."""
@@ -32,10 +34,16 @@ def indel_ratio(a: str | None, b: str | None) -> float | None:
 
 
 @F.pandas_udf(T.DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """``indel_ratio`` of two columns."""
+    ship_active()
+    return _ratio(a, b)
+
+
 def sorted_tokens(x: Column) -> Column:
     """The words of ``x`` in alphabetical order."""
     return F.array_join(F.array_sort(F.filter(F.split(F.trim(x), r"\s+"), lambda w: w != "")), " ")

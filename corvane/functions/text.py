@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.session import ship_active
+
 #: Headers that begin a reference list, weights, exclusions and caps of sections.
 REFERENCE_HEADERS = ["references?", r"bibliography", r"works?\s+cited", r"literature\s+cited", r"reference\s+list"]
 SECTION_WEIGHT = {"abstract": 100, "introduction": 90, "background": 70, "results": 85, "discussion": 88, "conclusion": 82, "conclusions": 82}
@@ -30,11 +32,16 @@ URL = r"https?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA
 
 
 @F.pandas_udf(T.StringType())
-def to_ascii(x: pd.Series) -> pd.Series:
+def _to_ascii(x: pd.Series) -> pd.Series:
     """Compatibility decomposition; what then isn't ASCII is left out."""
     return x.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode("ascii"), na_action="ignore")
 
 
+def to_ascii(x: Column) -> Column:
+    ship_active()
+    return _to_ascii(x)
+
+
 def clean_ascii(x: Column) -> Column:
     """Clean ASCII text: spaces, blank lines, page numbers, stray captions, links, addresses and DOIs."""
     for pattern, by in (
@@ -79,10 +86,15 @@ def cut_references(text: str | None) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def remove_references(x: pd.Series) -> pd.Series:
+def _remove_references(x: pd.Series) -> pd.Series:
     return x.map(cut_references)
 
 
+def remove_references(x: Column) -> Column:
+    ship_active()
+    return _remove_references(x)
+
+
 def _sampled(text: str, most: int) -> str:
     if len(text) <= most:
         return text
@@ -130,15 +142,27 @@ def join_sections(raw: str | None, reduce: bool = True, budget: int | None = Non
 
 
 @F.pandas_udf(T.StringType())
-def assemble_sections(x: pd.Series) -> pd.Series:
+def _assemble_sections(x: pd.Series) -> pd.Series:
     return x.map(join_sections)
 
 
 @F.pandas_udf(T.StringType())
-def assemble_sections_whole(x: pd.Series) -> pd.Series:
+def _assemble_sections_whole(x: pd.Series) -> pd.Series:
     return x.map(lambda t: join_sections(t, reduce=False))
 
 
+def assemble_sections(x: Column) -> Column:
+    """``join_sections`` within the smaller budget."""
+    ship_active()
+    return _assemble_sections(x)
+
+
+def assemble_sections_whole(x: Column) -> Column:
+    """``join_sections`` of whole sections."""
+    ship_active()
+    return _assemble_sections_whole(x)
+
+
 def preprocessed(full_text: Column, sections: Column, abstract: Column, reduce: bool = True) -> Column:
     """The text that annotators see: sections, else full text; with the abstract; without references; within budget.
 

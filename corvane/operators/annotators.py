@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 
 from corvane import schemas
 from corvane.functions import names
-from corvane.operators.annotate import Annotator, annotate, parsed, with_fallback
+from corvane.operators import qa
+from corvane.operators.annotate import Annotator, annotate, parsed, whole, with_fallback
 from corvane.operators.batching import exemplars
+from corvane.session import cut
 
 #: reply schemas, by operator
 EXTRACT = "doi string, reply string"
 VALID = "theory_id string, valid boolean, reason string"
 MAP = "name string, mapped string, confidence double"
 VERDICT = "name string, verdict string, reason string, listed_name string"
+ANSWER = "doi string, question_name string, answer string, confidence double, reasoning string"
 STRATEGY = "cluster string, name string, strategy string, mapped string, confidence double"
 
 
@@ -62,31 +65,112 @@ def validate_names(rows: DataFrame, annotator: Annotator, attempts: int = 3, mos
         few = exemplars(rows.join(todo, "name", "left_semi"), "name", "theory_id", most, seed=str(42 + attempt))
         asked = few.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "evidence"))), lambda x: F.left(F.coalesce(x["evidence"], F.lit("")), F.lit(500))), "\n").alias("evidence"))
         good, _ = annotate(asked, annotator, VERDICT, ["name"], F.col("verdict").isin("valid", "invalid", "doubted"), attempts=1)
-        settled = good.where("verdict <> 'doubted'")
+        settled = cut(good.where("verdict <> 'doubted'"))
         done = settled if done is None else done.unionByName(settled)
-        todo = todo.join(settled.select("name"), "name", "left_anti")
+        todo = cut(todo.join(settled.select("name"), "name", "left_anti"))
         if todo.isEmpty():
             break
     rest = todo.select("name", F.lit("invalid").alias("verdict"), F.lit("doubted to the end").alias("reason"), F.lit(None).cast("string").alias("listed_name"))
     return done.select("name", "verdict", "reason", "listed_name").unionByName(rest)
 
 
-def refine_rare(members: DataFrame, annotator: Annotator) -> DataFrame:
+def group_names(batches: DataFrame, annotator: Annotator, rounds: int = 4) -> DataFrame:
+    """(name, mapped, batch, extra): names grouped batch by batch, each with the names of earlier groups at hand.
+
+    ``batches``: batch (from 1), name. Batches are asked in ``rounds`` runs of consecutive ones: a run knows all groups of the
+    runs before it; those that share a core word with a name are sent along (column ``groups``). A name without a
+    reply is its own group; names in a reply that weren't asked for are kept (extra). Of several mappings of a name
+    the last batch's counts.
+    """
+    rows = cut(batches.where(F.coalesce("name", F.lit("")) != "").select("batch", "name").distinct())
+    most = rows.agg(F.max("batch").alias("m")).first()["m"] or 0
+    per, out, known = max(1, -(-most // rounds)), None, None
+    for first in range(1, most + 1, per):
+        part = rows.where(F.col("batch").between(first, first + per - 1))
+        if known is None:
+            asked = part.withColumn("groups", F.array().cast("array<string>"))
+        else:
+            near = part.select("batch", "name", F.explode(names.core_tokens(F.col("name"))).alias("word")).join(known, "word").groupBy("batch", "name").agg(F.array_sort(F.collect_set("mapped")).alias("groups"))
+            asked = part.join(near, ["batch", "name"], "left")
+        reply = asked.select("batch", "name", "groups").mapInPandas(annotator, "batch int, name string, mapped string")
+        reply = reply.where((F.coalesce("name", F.lit("")) != "") & (F.coalesce("mapped", F.lit("")) != "")).groupBy("batch", "name").agg(F.min("mapped").alias("mapped"))
+        both = part.select("batch", "name", F.lit(False).alias("extra")).join(reply, ["batch", "name"], "full")
+        one = cut(both.select("batch", "name", F.coalesce("mapped", "name").alias("mapped"), F.coalesce("extra", F.lit(True)).alias("extra")))
+        out = one if out is None else out.unionByName(one)
+        told = one.select(F.explode(names.core_tokens(F.col("mapped"))).alias("word"), "mapped").distinct()
+        known = told if known is None else known.unionByName(told).distinct()
+    if out is None:
+        return rows.select("name", F.col("name").alias("mapped"), "batch", F.lit(False).alias("extra"))
+    return out.groupBy("name").agg(F.max(F.struct("batch", (~F.col("extra")).alias("own"), "mapped")).alias("b")).select("name", "b.mapped", "b.batch", (~F.col("b.own")).alias("extra"))
+
+
+def refine_rare(members: DataFrame, annotator: Annotator, prefer: str = "assign_common", retry_poor: bool = False) -> DataFrame:
     """(cluster, name, mapped, strategy): rare names take a reference name (map), a new common one (assign_common) or stay (retain).
 
-    ``members``: cluster, name, role. Replies count where the strategy is known and a mapped name is one of the cluster's references;
-    a missing or unusable reply means retain.
+    ``members``: cluster, name, role; ``prefer`` (assign_common in stage 5, map in stage 7) is sent along. Replies count where the strategy
+    is known and a mapped name is one of the cluster's references. A cluster with a name that got no such reply is asked once more as a
+    whole, and with ``retry_poor`` one where more than three names were given common names that are all different. The second reply counts
+    where it is complete; else the first one does, and names without a reply are retained.
     """
-    rare = members.where("role = 'rare'").select("cluster", "name").distinct()
-    refs = members.where("role = 'reference'").select("cluster", F.col("name").alias("mapped")).distinct().withColumn("is_ref", F.lit(True))
+    rare = cut(members.where("role = 'rare'").select("cluster", "name").distinct())
+    refs = cut(members.where("role = 'reference'").select("cluster", F.col("name").alias("mapped")).distinct().withColumn("is_ref", F.lit(True)))
     refs_per = refs.groupBy("cluster").agg(F.array_sort(F.collect_list("mapped")).alias("references"))
-    good, _ = annotate(rare.join(refs_per, "cluster", "left"), annotator, STRATEGY, ["cluster", "name"], F.col("strategy").isin("map", "assign_common", "retain") & (F.coalesce("mapped", F.lit("")) != ""), attempts=2)
-    judged = good.join(refs, ["cluster", "mapped"], "left").withColumn("ok", (F.col("strategy") != "map") | F.coalesce("is_ref", F.lit(False))).where("ok")
-    out = rare.join(judged.select("cluster", "name", "mapped", "strategy"), ["cluster", "name"], "left")
+
+    def ask(todo: DataFrame) -> DataFrame:
+        good, _ = annotate(todo.join(refs_per, "cluster", "left").withColumn("prefer", F.lit(prefer)), annotator, STRATEGY, ["cluster", "name"], F.col("strategy").isin("map", "assign_common", "retain") & (F.coalesce("mapped", F.lit("")) != ""), attempts=1)
+        return cut(good.join(refs, ["cluster", "mapped"], "left").where((F.col("strategy") != "map") | F.coalesce("is_ref", F.lit(False))).select("cluster", "name", "mapped", "strategy"))
+
+    def incomplete(todo: DataFrame, reply: DataFrame) -> DataFrame:
+        return todo.join(reply.select("cluster", "name"), ["cluster", "name"], "left_anti").select("cluster").distinct()
+
+    reply = ask(rare)
+    again = incomplete(rare, reply)
+    if retry_poor:
+        common = reply.where("strategy = 'assign_common'").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("mapped").alias("k"))
+        again = again.unionByName(common.where("n = k AND n > 3").select("cluster")).distinct()
+    todo = cut(rare.join(again, "cluster", "left_semi"))
+    if not todo.isEmpty():
+        second = ask(todo)
+        whole = cut(todo.select("cluster").distinct().join(incomplete(todo, second), "cluster", "left_anti"))
+        reply = reply.join(whole, "cluster", "left_anti").unionByName(second.join(whole, "cluster", "left_semi"))
+    out = rare.join(reply, ["cluster", "name"], "left")
     keep = F.coalesce("strategy", F.lit("retain"))
     return out.select("cluster", "name", F.when(keep == "retain", F.col("name")).otherwise(F.col("mapped")).alias("mapped"), keep.alias("strategy"))
 
 
+def answer_questions(papers: DataFrame, questions: DataFrame, annotator: Annotator, attempts: int = 3, limit: int = 50000) -> DataFrame:
+    """(doi, question_name, answer, confidence_score, reasoning, original_answer): all questions of each paper, or none.
+
+    ``papers``: doi, title, abstract, text (null where there is the abstract only); ``questions``: question_name, keywords, options. A
+    question is asked if its keywords call for it (``qa.gate``, on the text as sent); else the answer is No, with confidence 1. A paper's reply
+    counts if it has exactly the questions asked and each answer means an allowed option (for abstracts also 'Not available'); else
+    the paper is asked again as a whole, and after ``attempts`` it is left out. original_answer is set where an answer was normalised.
+    """
+    sent = papers.where("doi IS NOT NULL").select("doi", "title", F.left("abstract", F.lit(limit)).alias("abstract"), F.left("text", F.lit(limit)).alias("text")).dropDuplicates(["doi"])
+    sent = sent.withColumn("seen", F.coalesce("text", "abstract"))
+    gated = qa.gate(sent, questions.select("question_name", "keywords"), "seen").join(questions.select("question_name", "options"), "question_name")
+    gated = cut(gated.withColumn("options", F.when(F.col("text").isNull(), F.array_append("options", F.lit("Not available"))).otherwise(F.col("options"))))
+    todo, good = gated.where("ask").drop("ask"), None
+    for _ in range(attempts):
+        reply = cut(todo.groupBy("doi").applyInPandas(whole(annotator), ANSWER))
+        both = todo.select("doi", "question_name", "options", F.lit(True).alias("asked")).join(reply, ["doi", "question_name"], "full")
+        both = both.withColumn("option", names.answer_option(F.col("answer"), F.col("options"), F.col("question_name")))
+        bad = both.where(F.col("asked").isNull() | F.col("option").isNull()).select("doi").unionByName(reply.groupBy("doi", "question_name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doi")).distinct()
+        kept = both.join(bad, "doi", "left_anti").select(
+            "doi", "question_name", F.col("option").alias("answer"), F.coalesce("confidence", F.lit(0.0)).alias("confidence_score"), F.coalesce("reasoning", F.lit("")).alias("reasoning"), F.when(F.col("answer") != F.col("option"), F.col("answer")).alias("original_answer")
+        )
+        kept = cut(kept)
+        good = kept if good is None else good.unionByName(kept)
+        todo = cut(todo.join(kept.select("doi").distinct(), "doi", "left_anti"))
+        if todo.isEmpty():
+            break
+    open_ = todo.select("doi").distinct()
+    skipped = gated.where("NOT ask").join(open_, "doi", "left_anti").select(
+        "doi", "question_name", F.lit("No").alias("answer"), F.lit(1.0).alias("confidence_score"), F.lit("Skipped: no relevant keywords found in text").alias("reasoning"), F.lit(None).cast("string").alias("original_answer")
+    )
+    return good.unionByName(skipped)
+
+
 # ---- rules in the models' place
 
 
@@ -120,6 +204,31 @@ def request_size(batch: Column, reserve: int = 2000) -> Column:
     return token_estimate(F.to_json(batch), reserve)
 
 
+def concept_lines(concepts: Column, most: int = 3) -> Column:
+    """The first ``most`` concepts of a list of (concept, description), a line each."""
+    lines = F.transform(F.slice(concepts, 1, most), lambda c: F.concat(F.lit("  - "), F.coalesce(c["concept"], F.lit("")), F.lit(": "), F.coalesce(c["description"], F.lit(""))))
+    return F.when(F.size(concepts) > 0, F.concat(F.lit("Key concepts:\n"), F.array_join(lines, "\n"))).otherwise("  (No key concepts available)")
+
+
+def shortened(text: Column, most: int = 500) -> Column:
+    """Text of at most ``most`` characters, with dots where it was cut."""
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)
+
+
+def judging_prompt(rows: DataFrame, batch: str = "batch", evidence: bool = False, most: int = 3) -> DataFrame:
+    """(batch, prompt): the names of a batch in order, numbered, each with its versions: their first concepts and, in later
+    attempts, the evidence cut to 500 characters.
+
+    ``rows``: batch, name, rank, concepts (array of concept, description), evidence; batches and versions are bounded by their maker.
+    """
+    told = F.concat_ws("\n", F.concat(F.lit("### V."), F.col("rank").cast("string"), F.lit(":")), concept_lines(F.col("concepts"), most), *([F.concat(F.lit("Evidence: "), shortened(F.nullif("evidence", F.lit(""))))] if evidence else []))
+    per = rows.withColumn("__v", told).groupBy(batch, "name").agg(F.array_sort(F.collect_list(F.struct("rank", "__v"))).alias("l"))
+    per = per.withColumn("__n", F.row_number().over(Window.partitionBy(batch).orderBy("name")))
+    block = F.concat(F.lit("## UNIQUE NAME "), F.col("__n").cast("string"), F.lit(": "), "name", F.lit("\n"), F.array_join(F.transform("l", lambda x: x["__v"]), "\n"))
+    joined = per.withColumn("__b", block).groupBy(batch).agg(F.array_sort(F.collect_list(F.struct("__n", "__b"))).alias("l"))
+    return joined.select(batch, F.array_join(F.transform("l", lambda x: x["__b"]), "\n\n").alias("prompt"))
+
+
 def numbered_prompt(rows: DataFrame, batch: str, *order: str, text: str = "name") -> DataFrame:
     """(batch, prompt): the batch's texts, numbered from 1, one a line, in the given order. Batches are bounded by their maker."""
     rank = F.row_number().over(Window.partitionBy(batch).orderBy(*order))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.session import ship
+
 
 def initial(name: Column) -> Column:
     """The group of a name in alphabetical batching."""
@@ -96,11 +98,12 @@ def dynamic_size(canonical: int, size: int = 90, least: int = 30, beyond: int =
 def similar_batches(names: DataFrame, size: int, most: int = 5000, reach: int = 500, least: float = 0.15) -> DataFrame:
     """(batch, name): names near in the alphabet and alike by TF-IDF share a batch.
 
-    Up to ``size`` names are one batch, more than ``most`` are cut in alphabetical order; in between the greedy
+    The method changes with the number of names, by rule: up to ``size`` names are one batch, more than ``most`` are cut in alphabetical order; in between the greedy
     assignment is sequential, on at most ``most`` names, in one Arrow group.
     """
     import pandas as pd
 
+    ship(names.sparkSession)
     todo = names.where(F.coalesce(F.col("name"), F.lit("")) != "").select("name").distinct()
     n = todo.count()
     if n <= size:

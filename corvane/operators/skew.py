@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import cut
+
 #: Counters of the frequent-items sketch; its error is below 3.5 / TRACKED of the rows.
 TRACKED = 4096
 
@@ -105,7 +107,8 @@ def cluster_report(batches: DataFrame, share: float = 0.02) -> DataFrame:
     heavy cluster spreads over all tasks); then heavy clusters are counted over salts and the rest directly.
     """
     elements = cluster_elements(batches)
-    ids = elements.groupBy("cluster_name", "theory_id").agg(F.count(F.lit(1)).alias("n"))
+    # each collapsed form is made once and read by the sketch and by both branches
+    ids = cut(elements.groupBy("cluster_name", "theory_id").agg(F.count(F.lit(1)).alias("n")))
     per_id = balanced_aggregate(
         ids,
         "cluster_name",
@@ -114,7 +117,7 @@ def cluster_report(batches: DataFrame, share: float = 0.02) -> DataFrame:
         F.col("theory_id"),
         share,
     )
-    subs = elements.select("cluster_name", "sub_key").groupBy("cluster_name", "sub_key").agg(F.lit(1).alias("one"))
+    subs = cut(elements.select("cluster_name", "sub_key").groupBy("cluster_name", "sub_key").agg(F.lit(1).alias("one")))
     per_sub = balanced_aggregate(
         subs,
         "cluster_name",
@@ -129,7 +132,7 @@ def cluster_report(batches: DataFrame, share: float = 0.02) -> DataFrame:
 
 def dominant_clusters(batches: DataFrame, share: float = 0.05) -> DataFrame:
     """cluster_name of every cluster that owns more than ``share`` of all elements. Null names own none."""
-    report = cluster_report(batches, share / 2)
+    report = cut(cluster_report(batches, share / 2))
     total = report.agg(F.sum("ids").alias("total"))
     return (
         report.where(F.col("cluster_name").isNotNull())
@@ -151,7 +154,7 @@ def cluster_attributes(batches: DataFrame, entries: DataFrame, share: float = 0.
         elements, "cluster_name", lambda: [F.count(F.lit(1)).alias("ids")], lambda: [F.sum("ids").alias("ids")], F.col("theory_id"), share
     )
     pairs = elements.groupBy("cluster_name", "theory_id").agg(F.count(F.lit(1)).alias("n")).join(known, "theory_id")
-    docs = pairs.groupBy("cluster_name", "doi").agg(F.count(F.lit(1)).alias("known_ids"))
+    docs = cut(pairs.groupBy("cluster_name", "doi").agg(F.count(F.lit(1)).alias("known_ids")))
     wide = skew_join(docs, totals, "cluster_name", share)
     return balanced_aggregate(
         wide,

@@ -40,7 +40,7 @@ def clustered(rows: DataFrame, stage: int = 5) -> DataFrame:
 
 def gathered(rows: DataFrame) -> DataFrame:
     """Stage 7: the names that stage 6 left in clusters again; singletons take a reference name of theirs, if there is one."""
-    mapped = annotators.refine_rare(clustered(rows, 7), annotators.rule_first_reference).groupBy("name").agg(F.min("mapped").alias("mapped"))
+    mapped = annotators.refine_rare(clustered(rows, 7), annotators.rule_first_reference, prefer="map").groupBy("name").agg(F.min("mapped").alias("mapped"))
     return consolidate.remapped(rows, mapped).select("theory_id", "original", "name")
 
 
@@ -58,7 +58,8 @@ def cascade(m: DataFrame, ontology: DataFrame, large: int = 40) -> DataFrame:
         for pdf in batches:
             yield pdf.assign(subcluster_name=pdf.cluster_name + " / " + pdf.theory_id.str[-1])
 
-    parts = annotate.recluster(asked, by_digit, "cluster_name string, theory_id string, subcluster_name string")
+    concepts = m.select("theory_id", F.explode(names.core_tokens(F.col("name"))).alias("concept"))
+    parts = annotate.recluster(asked, by_digit, concepts)
     split = parts.select("theory_id", "subcluster_name")
     return gathered(cut(rows.join(split, "theory_id", "left").select("theory_id", "original", F.coalesce("subcluster_name", "name").alias("name"))))
 

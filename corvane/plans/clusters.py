@@ -122,4 +122,5 @@ def reclustered(spark: SparkSession, d: str) -> DataFrame:
         for pdf in batches:
             yield pdf.assign(subcluster_name=pdf.cluster_name + " / " + pdf.theory_id.str[-1])
 
-    return annotate.recluster(_requested(spark, d), by_digit, "cluster_name string, theory_id string, subcluster_name string")
+    words = table(spark, d, "theory_entries").select("theory_id", F.explode(names.core_tokens(F.col("original_name"))).alias("concept"))
+    return annotate.recluster(_requested(spark, d), by_digit, words)

@@ -64,6 +64,32 @@ def availability(papers: DataFrame) -> DataFrame:
     return papers.withColumn("has_full_text", full).withColumn("has_sections", sections).withColumn("source", source)
 
 
+def abstract_papers(papers: DataFrame, done: DataFrame | None = None, only_missing: bool = False, limit: int | None = None) -> DataFrame:
+    """Papers to extract from their abstracts: with an abstract and, unless ``only_missing``, without full text or sections.
+
+    ``done`` (doi): papers that are left out, being there already. ``limit`` counts eligible papers, in the order of doi.
+    """
+    rows = availability(papers).where(F.coalesce(F.trim("abstract"), F.lit("")) != "")
+    if not only_missing:
+        rows = rows.where(~F.col("has_full_text") & ~F.col("has_sections"))
+    if done is not None:
+        key = names.doi_key(F.col("doi"))
+        rows = rows.withColumn("__k", key).join(done.select(key.alias("__k")).where("__k IS NOT NULL").distinct(), "__k", "left_anti").drop("__k")
+    return rows if limit is None else rows.orderBy("doi").limit(limit)
+
+
+def papers_metadata(want: DataFrame, evaluations: DataFrame, papers: DataFrame, keep_unfound: bool = True) -> DataFrame:
+    """(doi, pmid, title, result, confidence_score) of wanted DOIs (keys): all their evaluations, else the paper with the defaults
+    'unknown' and 0; DOIs that neither has are kept with nulls and an empty title, or dropped."""
+    key = names.doi_key(F.col("doi"))
+    e = evaluations.select(key.alias("doi"), "pmid", "title", "result", "confidence_score").join(want, "doi", "left_semi")
+    rest = want.join(e.select("doi").distinct(), "doi", "left_anti")
+    p = papers.groupBy(key.alias("doi")).agg(F.min("pmid").alias("pmid"), F.min("title").alias("title"), F.lit(True).alias("found"))
+    other = rest.join(p, "doi", "left").where(F.lit(keep_unfound) | F.col("found"))
+    title = F.when(F.col("found"), F.col("title")).otherwise("")
+    return e.unionByName(other.select("doi", "pmid", title.alias("title"), F.lit("unknown").alias("result"), F.lit(0).alias("confidence_score")))
+
+
 AVAILABLE = r"""SELECT doi, abstract, coalesce(trim(full_text), '') <> '' AS has_full_text, coalesce(trim(full_text_sections), '') <> '' AND regexp_replace(full_text_sections, '\s', '', 'g') NOT IN ('{}', '[]', 'null', '""') AS has_sections FROM papers"""
 
 

@@ -65,6 +65,13 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_active() -> None:
+    """``ship`` for the session at hand, if there is one: for column functions, which have no DataFrame to ask."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers of the session, once: they need not have it installed."""
     sc = spark.sparkContext

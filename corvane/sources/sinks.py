@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -72,6 +72,13 @@ def insert_or_replace(rows: DataFrame, key: list[str], order: Column) -> DataFra
     return rows.withColumn("__last", last).where("__last = 1").drop("__last")
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a snapshot is there: a folder with a finished write in it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(folder) and any(p.getPath().getName() == "_SUCCESS" for p in fs.listStatus(folder))
+
+
 def evolved(old: DataFrame, new: DataFrame) -> DataFrame:
     """Union of an old and a new schema: columns that one side lacks are null."""
     return old.unionByName(new, allowMissingColumns=True)

@@ -31,6 +31,20 @@ def trailing_usage(events: DataFrame, key: str = "user_id", seconds: int = 60) -
     return events.withColumn("requests", F.count(F.lit(1)).over(w)).withColumn("tokens", F.round(F.sum("value").over(w), 4))
 
 
+def tracked(events: DataFrame, tokens: float, requests: int, key: str = "user_id", over: float = 1.5, pause: float = 2.0) -> DataFrame:
+    """The tracker that never blocks: adds requests and tokens of the trailing minute, the tokens of the day so far, and the pause.
+
+    A pause of ``pause`` seconds follows where the minute exceeds ``over`` times one of the limits. Days are periods of 24 hours
+    from the key's first event; their tokens are recorded and not limited.
+    """
+    at = F.col("ts").cast("timestamp").cast("double")
+    day = F.floor((at - F.min(at).over(Window.partitionBy(key))) / 86400).cast("int")
+    out = trailing_usage(events.withColumn("day", day), key)
+    so_far = F.sum("value").over(Window.partitionBy(key, "day").orderBy(at).rangeBetween(Window.unboundedPreceding, 0))
+    paused = (F.col("tokens") > tokens * over) | (F.col("requests") > requests * over)
+    return out.withColumn("day_tokens", F.round(so_far, 4)).withColumn("pause", F.when(paused, pause).otherwise(0.0))
+
+
 class _Admission(StatefulProcessor):
     """Per key: the admitted events of the last minute; an event is admitted if it fits below the limit."""
 
@@ -62,6 +76,8 @@ class _Admission(StatefulProcessor):
 
 def admissions(events: DataFrame, limit: float = 100.0, seconds: float = 60.0) -> DataFrame:
     """(event_id, user_id, admitted): admission control with a token budget per key and trailing window, headroom included in ``limit``."""
+    # keyed state needs column families, which the default store lacks
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     processor = type("Admission", (_Admission,), {"limit": float(limit), "seconds": float(seconds)})()
     return events.groupBy("user_id").transformWithStateInPandas(processor, "event_id bigint, user_id bigint, admitted boolean", "append", "none")
 
@@ -85,11 +101,12 @@ def incremental_upsert(stream: DataFrame, target: str, key: list[str], order: Co
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drive a stream over what is there now into a table in memory; for small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, place: str) -> DataFrame:
+    """Drive a stream over what is there now into Parquet files below ``place``, exactly once; what the watermark holds back comes with
+    later input."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start(f"{place}/rows")
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{place}/rows")
 
 
 def event_schema() -> StructType:

@@ -128,7 +128,7 @@ def test_recluster_conserves(df):
         for pdf in batches:
             yield pdf.assign(subcluster_name=(pdf.theory_id.str[1:].astype(int) // 4).astype(str))
 
-    got = annotate.recluster(asked, by_half, "cluster_name string, theory_id string, subcluster_name string")
+    got = annotate.recluster(asked, by_half)
     assert tuple(quality.conservation(asked, got, "theory_id").first()) == (0, 0, 0)
     assert got.where("status <> 'ok'").count() == 1
 
