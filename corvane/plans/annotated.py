@@ -13,7 +13,7 @@ from corvane.operators import annotate, annotators, batching, matching, vectors
 from corvane.plans.cascade import clustered
 from corvane.plans.clusters import LISTED, _requested
 from corvane.plans.documents import AVAILABLE, DOI, abstract_papers, availability, papers_metadata
-from corvane.plans.naming import NAMES, core_sql
+from corvane.plans.naming import core_sql
 from corvane.plans.registry import query
 from corvane.plans.summaries import LINEAGE, SIZES, lineage_rows, mentions
 from corvane.plans.vectors import COS

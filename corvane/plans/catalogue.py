@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.plans import annotated, cascade, clusters, documents, naming, qa, shredded, skewed, streams, summaries, vectors  # noqa: F401  they register themselves
+from corvane.plans import annotated, cascade, clusters, documents, files, naming, qa, shredded, skewed, streams, summaries, vectors  # noqa: F401  they register themselves
 from corvane.plans.registry import QUERIES, SQL, Query
 from corvane.plans.summaries import canonical_documents  # noqa: F401  the flagship query
 

@@ -211,11 +211,13 @@ def parsed_focus(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "theories").select("id", names.focus(F.col("evidence")).alias("focus"))
 
 
-@query("""WITH t AS (SELECT id, name, evidence, from_json(key_concepts, '[{"concept": "VARCHAR", "description": "VARCHAR"}]') AS k FROM theories WHERE json_valid(key_concepts)),
+@query("""WITH t AS (SELECT id, name, evidence, from_json(CASE WHEN json_valid(key_concepts) AND key_concepts LIKE '[%' THEN key_concepts ELSE '[]' END, '[{"concept": "VARCHAR", "description": "VARCHAR"}]') AS k FROM theories),
 c AS (SELECT *, array_to_string(list_transform(list_filter(k, lambda x: coalesce(x.concept, '') <> ''), lambda x: x.concept || ': ' || coalesce(x.description, '')), ' | ') AS concepts FROM t)
 SELECT id, md5(array_to_string(list_filter([name, concepts, evidence], lambda x: trim(x) <> ''), '. ')) AS enriched FROM c""")
 def enriched_mentions(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "theories").where(F.expr("try_parse_json(key_concepts)").isNotNull()).withColumn("k", F.from_json("key_concepts", "array<struct<concept:string,description:string>>"))
+    kind = "array<struct<concept:string,description:string>>"
+    k = F.from_json(F.when(F.col("key_concepts").startswith("[") & F.expr("try_parse_json(key_concepts)").isNotNull(), F.col("key_concepts")), kind)
+    rows = table(spark, d, "theories").withColumn("k", F.coalesce(k, F.array().cast(kind)))  # concepts that can't be read are none
     return rows.select("id", F.md5(text.enriched_text(F.col("name"), F.col("k"), F.col("evidence"))).alias("enriched"))
 
 

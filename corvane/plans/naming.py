@@ -52,6 +52,12 @@ def voting_sql(x: str) -> str:
 
 
 CLUSTERING = SQUEEZE.format(r"replace(regexp_replace(regexp_replace(lower(n), '[^\w\s]', '', 'g'), '\b(theory|hypothesis|model|framework|the)\b', '', 'g'), 'ageing', 'aging')")
+def title_sql(x: str) -> str:
+    """Every letter after a non-letter in upper case, all others in lower case."""
+    one = rf"CASE WHEN i = 1 OR NOT regexp_matches(substr({x}, i - 1, 1), '\p{{L}}') THEN upper(substr({x}, i, 1)) ELSE lower(substr({x}, i, 1)) END"
+    return f"array_to_string(list_transform(range(1, length({x}) + 1), lambda i: {one}), '')"
+
+
 NAMES = "(SELECT DISTINCT original_name AS n FROM theory_entries WHERE original_name IS NOT NULL)"
 ALIASES = "(SELECT ontology_id, name AS canonical, unnest(list_concat([name], coalesce(aliases, []))) AS alias, unnest(range(0, 1 + len(coalesce(aliases, [])))) AS p FROM ontology)"
 
@@ -74,7 +80,7 @@ def name_key_grouping(spark: SparkSession, d: str) -> DataFrame:
     return _keys(spark, d, names.grouping_key_sql)
 
 
-@query()
+@query(f"SELECT n, {title_sql('g')} AS key FROM (SELECT n, {grouping_sql('n')} AS g FROM {NAMES})")
 def name_key_titled(spark: SparkSession, d: str) -> DataFrame:
     return _keys(spark, d, names.grouping_key)
 
@@ -260,9 +266,10 @@ def hierarchy_counts(spark: SparkSession, d: str) -> DataFrame:
     return o.rollup("category", "subcategory").agg(F.count(F.lit(1)).alias("entries"), F.sum("k").alias("aliases"))
 
 
-@query()
+@query("""WITH low AS (SELECT category, subcategory, list({'name': name, 'aliases': coalesce(aliases, [])} ORDER BY name) AS entries FROM ontology GROUP BY ALL)
+SELECT category, to_json(list({'subcategory': subcategory, 'entries': entries} ORDER BY subcategory))::VARCHAR AS children FROM low GROUP BY 1""")
 def hierarchy_nested(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "ontology")
+    o = table(spark, d, "ontology").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
     low = o.groupBy("category", "subcategory").agg(F.array_sort(F.collect_list(F.struct("name", "aliases"))).alias("entries"))
     return low.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("subcategory", "entries"))).alias("children")).select("category", F.to_json("children").alias("children"))
 
@@ -272,7 +279,7 @@ def keyword_extraction(spark: SparkSession, d: str) -> DataFrame:
     return annotate.keywords(table(spark, d, "papers").where("abstract IS NOT NULL"), "doi", "abstract")
 
 
-@query()
+@query(f"SELECT n AS name, CASE WHEN length(n) % 7 > 0 THEN coalesce(nullif({title_sql('s')}, ''), n) ELSE n END AS mapped FROM (SELECT n, {_strip('n')} AS s FROM {NAMES}) WHERE n <> '' AND n NOT IN (SELECT name FROM ontology)")
 def annotated_names(spark: SparkSession, d: str) -> DataFrame:
     """Names mapped by an annotator (here: a rule), with retries and identity for what stays open."""
     todo = matching.not_listed(_names(spark, d), table(spark, d, "ontology"))

@@ -75,10 +75,10 @@ def answer_maps(spark: SparkSession, d: str) -> DataFrame:
     return m.select("doi", F.size("answers").cast("bigint").alias("questions"), F.array_join(F.transform(F.map_entries("answers"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"]["answer"], F.lit("")))), ";").alias("answers"))
 
 
-@query(f"SELECT a.doi, a.question_name, a.answer, a.label AS correct_answer FROM {ANSWERS} a WHERE a.doi IN (SELECT 'paper' || (item_id // 7)::VARCHAR FROM eval_items WHERE item_id <= 70)")
+@query(f"SELECT a.doi, a.question_name, a.answer, a.label AS correct_answer FROM {ANSWERS} a")
 def labelled_export(spark: SparkSession, d: str) -> DataFrame:
     """Answers of a list of papers beside their labels."""
-    wanted = table(spark, d, "eval_items").where("item_id <= 70").select(F.concat(F.lit("paper"), F.floor(F.col("item_id") / 7).cast("string")).alias("doi")).distinct()
+    wanted = table(spark, d, "eval_items").select(F.concat(F.lit("paper"), F.floor(F.col("item_id") / 7).cast("string")).alias("doi")).distinct()
     a = _answers(spark, d).join(wanted, "doi", "left_semi")
     return a.join(_labels(spark, d).select("doi", "question_name", F.col("label").alias("correct_answer")), ["doi", "question_name"], "left")
 
@@ -89,7 +89,9 @@ def request_plan(spark: SparkSession, d: str) -> DataFrame:
     return i.select("item_id", annotate.rotated_key(3, F.col("item_id")).alias("access_key"), annotate.chunk_budget(F.col("item_id") % 9 + 1).alias("chunks"))
 
 
-@query()
+@query(f"""WITH r AS (SELECT doi, question_name, item_id % 13 <> 0 AS ask, CASE WHEN item_id % 5 = 0 THEN lower(label) || ' (see text)' WHEN item_id % 11 = 0 THEN 'No, not shown' ELSE label END AS original_answer FROM {LABELS}),
+s AS (SELECT *, CASE WHEN NOT ask THEN 'No' ELSE (SELECT {OPTION} FROM (SELECT question_name AS q, trim(original_answer) AS a)) END AS answer FROM r)
+SELECT doi, question_name, answer, CASE WHEN ask THEN 0.8 ELSE 1.0 END AS confidence_score, original_answer FROM s WHERE doi NOT IN (SELECT doi FROM s WHERE answer IS NULL)""")
 def settled_answers(spark: SparkSession, d: str) -> DataFrame:
     """Replies through gate, options and defaults; papers with an unusable reply are left out."""
     r = _replies(spark, d)

@@ -35,7 +35,7 @@ def trailing_usage(spark: SparkSession, d: str) -> DataFrame:
     return budget.trailing_usage(table(spark, d, "events")).select("event_id", "requests", "tokens")
 
 
-@query()
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
 def streamed_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The last event of each user by an incremental load into snapshots."""
     place = shared_folder(spark, "stream")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import similarity
 from corvane.operators import matching, vectors
+from corvane.operators.skew import skew_join
 from corvane.plans.registry import query
 from corvane.session import table
 
@@ -58,16 +59,18 @@ def ward_clusters(spark: SparkSession, d: str) -> DataFrame:
     return vectors.ward(_embeddings(spark, d), "vec_id", "embedding", 1.8, group="label")
 
 
-@query("""WITH c AS (SELECT id, list_distinct(list_transform(list_filter(from_json(key_concepts, '[{"concept": "VARCHAR"}]'), lambda x: x.concept IS NOT NULL), lambda x: lower(trim(x.concept)))) AS k, name FROM theories WHERE json_valid(key_concepts)),
-p AS (SELECT a.id AS a, b.id AS b, a.k AS ka, b.k AS kb FROM c a JOIN c b ON a.name = b.name AND a.id < b.id)
-SELECT a, b, round(CASE WHEN least(len(ka), len(kb)) = 0 THEN 0 ELSE len(list_intersect(ka, kb)) * 1.0 / least(len(ka), len(kb)) END, 6) AS overlap FROM p""")
+@query("""WITH c AS (SELECT id, name, list_distinct(list_transform(list_filter(from_json(CASE WHEN json_valid(key_concepts) AND key_concepts LIKE '[%' THEN key_concepts ELSE '[]' END, '[{"concept": "VARCHAR"}]'), lambda x: x.concept IS NOT NULL), lambda x: lower(trim(x.concept)))) AS k FROM theories WHERE name IS NOT NULL),
+f AS (SELECT name, arg_min(id, id) AS first, arg_min(k, id) AS kf FROM c GROUP BY 1)
+SELECT id, first, round(CASE WHEN least(len(k), len(kf)) = 0 THEN 0 ELSE len(list_intersect(k, kf)) * 1.0 / least(len(k), len(kf)) END, 6) AS overlap FROM c JOIN f USING (name)""")
 def concept_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Shared concepts of theories of the same name."""
-    c = F.from_json("key_concepts", "array<struct<concept:string>>")
+    """Shared concepts of each theory with the first one of its name; a list that can't be read counts as empty."""
+    none = F.array().cast("array<struct<concept:string>>")
+    c = F.coalesce(F.from_json(F.when(F.col("key_concepts").startswith("["), F.col("key_concepts")), "array<struct<concept:string>>"), none)
     k = F.array_distinct(F.transform(F.filter(c, lambda x: x["concept"].isNotNull()), lambda x: F.lower(F.trim(x["concept"]))))
-    t = table(spark, d, "theories").where(F.expr("try_parse_json(key_concepts)").isNotNull()).select("id", "name", k.alias("k"))
-    pairs = t.select(F.col("id").alias("a"), "name", F.col("k").alias("ka")).join(t.select(F.col("id").alias("b"), "name", F.col("k").alias("kb")), "name").where("a < b")
-    return pairs.select("a", "b", F.round(similarity.overlap_coefficient(F.col("ka"), F.col("kb")), 6).alias("overlap"))
+    t = table(spark, d, "theories").where("name IS NOT NULL").select("id", "name", k.alias("k"))
+    first = t.groupBy("name").agg(F.min_by(F.struct("id", "k"), "id").alias("f"))
+    joined = skew_join(t, first, "name")
+    return joined.select("id", F.col("f.id").alias("first"), F.round(similarity.overlap_coefficient(F.col("k"), F.col("f.k")), 6).alias("overlap"))
 
 
 @query()

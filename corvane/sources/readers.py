@@ -13,12 +13,12 @@ from pyspark.sql.types import StructType
 from corvane import schemas
 
 
-def extraction_results(spark: SparkSession, path: str) -> DataFrame:
+def extraction_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per theory of ``{results: [{..., theories: [...]}]}``: papers without theories give none.
 
-    paper_pos and theory_pos keep the file's order.
+    paper_pos and theory_pos keep the file's order. One document a file, or with ``lines`` one a line (splittable).
     """
-    doc = spark.read.schema(schemas.EXTRACTION).json(path, multiLine=True)
+    doc = spark.read.schema(schemas.EXTRACTION).json(path, multiLine=not lines)
     papers = doc.select(F.posexplode("results").alias("paper_pos", "p"))
     return papers.select("paper_pos", "p.doi", "p.pmid", F.col("p.title").alias("paper_title"), "p.timestamp", F.posexplode("p.theories").alias("theory_pos", "t")).select(
         "paper_pos", "theory_pos", "doi", "pmid", "paper_title", "timestamp", "t.*"
@@ -91,16 +91,27 @@ def alias_ontology(spark: SparkSession, path: str) -> DataFrame:
 
 def ontology_names(spark: SparkSession, path: str) -> DataFrame:
     """(name) of every JSON object with a ``name``, at any depth; aliases don't count. Distinct."""
-    doc = spark.read.text(path, wholetext=True).select(F.expr("try_parse_json(value)").alias("v"))
-    names = None
-    for _ in range(12):
-        found = doc.select(F.expr("try_variant_get(v, '$.name', 'string')").alias("name")).where("name IS NOT NULL")
-        names = found if names is None else names.unionByName(found)
-        doc.createOrReplaceTempView("corvane_ontology_level")
-        doc = spark.sql("SELECT x.value AS v FROM corvane_ontology_level d, LATERAL variant_explode(d.v) x WHERE coalesce(x.key, '') NOT IN ('aliases', 'abbreviations') AND schema_of_variant(x.value) RLIKE '^(ARRAY|OBJECT)'")
-        if doc.isEmpty():
-            break
-    return names.distinct()
+    doc = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    from corvane.operators.shred import adjacency
+
+    return named_nodes(adjacency(doc, "file", F.col("text")))
+
+
+def named_nodes(nodes: DataFrame) -> DataFrame:
+    """(name) of the objects of an adjacency table that have a scalar ``name``, those below aliases or abbreviations left out. Distinct.
+
+    Names are few; what lies below an excluded list is found by going down from its node, level by level.
+    """
+    from corvane.session import cut
+
+    edges = cut(nodes.where("parent IS NOT NULL").select("record", "node", "parent"))
+    below = cut(nodes.where("label IN ('aliases', 'abbreviations')").select("record", "node"))
+    out = below
+    while not below.isEmpty():
+        below = cut(edges.join(below.select("record", F.col("node").alias("parent")), ["record", "parent"]).select("record", "node"))
+        out = out.unionByName(below)
+    found = nodes.where("kind = 'scalar' AND label = 'name'").select("record", "node", F.col("scalar").alias("name"))
+    return found.join(out.distinct(), ["record", "node"], "left_anti").select("name").distinct()
 
 
 def mechanism_ontology(spark: SparkSession, path: str) -> DataFrame:

@@ -22,7 +22,7 @@ def write_csv(rows: DataFrame, path: str, plain: bool = False) -> None:
     """CSV with header; ``plain`` replaces commas in texts by semicolons for readers that know no quotes."""
     if plain:
         rows = rows.select(*[F.translate(c, ",", ";").alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes])
-    rows.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    rows.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_as(rows: DataFrame, path: str, form: str, text: Column | None = None, newest: str | None = None) -> None:
