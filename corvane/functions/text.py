@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from corvane.session import ship_active
 
 #: Headers that begin a reference list, weights, exclusions and caps of sections.
-REFERENCE_HEADERS = ["references?", r"bibliography", r"works?\s+cited", r"literature\s+cited", r"reference\s+list"]
+REFERENCE_HEADERS = [r"\n\s*references?\s*\n", r"\n\s*bibliography\s*\n", r"\n\s*works?\s+cited\s*\n", r"\n\s*literature\s+cited\s*\n", r"\n\s*reference\s+list\s*\n"]
 SECTION_WEIGHT = {"abstract": 100, "introduction": 90, "background": 70, "results": 85, "discussion": 88, "conclusion": 82, "conclusions": 82}
 EXCLUDED = [
     "references", "bibliography", "acknowledgments", "acknowledgements", "funding", "competing interests", "author contributions", "data availability",
@@ -71,7 +71,7 @@ def cut_references(text: str | None) -> str:
     if not text:
         return ""
     for header in REFERENCE_HEADERS:
-        if m := re.search(rf"\n\s*{header}\s*\n", text, re.I):
+        if m := re.search(header, text, re.I):
             text = text[: m.start()]
             break
     lines = text.split("\n")

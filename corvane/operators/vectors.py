@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from corvane.functions.similarity import overlap_coefficient
 from corvane.session import cut, ship
 
-#: Largest set that is clustered exactly in one task; its distances take WARD_MOST ** 2 * 8 bytes.
+#: Largest group that is clustered in one task; larger ones are clustered in rounds over all tasks, with the same result.
 WARD_MOST = 4000
 #: Centres or queries that a task holds at once.
 SLICE = 4000
@@ -119,14 +119,14 @@ def most_similar(rows: DataFrame, key: str, vector: str, queries: DataFrame, k:
 def ward(rows: DataFrame, key: str, vector: str, cutoff: float, group: str | None = None) -> DataFrame:
     """(key, cluster): Ward's clustering of each group, cut where merging would cost more than ``cutoff``.
 
-    Exact, by nearest-neighbour chains in one task per group. A group must hold at most WARD_MOST vectors: larger sets
-    are divided beforehand (e.g. by ``nearest_mean``); exceeding it is an error, not a silent cut.
+    Exact: by nearest-neighbour chains in one task per group of up to WARD_MOST vectors, by rounds of reciprocal nearest neighbours
+    (``_ward_rounds``) for larger ones. Clusters are numbered from 0 in the order of their least keys; null vectors are left out.
     """
     ship(rows.sparkSession)
     keyed = rows.where(F.col(vector).isNotNull()).select(F.col(group).cast("string").alias("g") if group else F.lit("").alias("g"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    largest = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest > WARD_MOST:
-        raise ValueError(f"a group of {largest} vectors exceeds {WARD_MOST}; divide it first")
+    keyed = cut(keyed)
+    sizes = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    large = cut(sizes.where(F.col("n") > WARD_MOST).select("g"))
     kind = rows.schema[key].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -134,10 +134,58 @@ def ward(rows: DataFrame, key: str, vector: str, cutoff: float, group: str | Non
         labels = ward_labels(np.vstack(pdf.v.to_numpy()), cutoff)
         return pd.DataFrame({"g": pdf.g, "key": pdf.key, "cluster": labels})
 
-    out = keyed.groupBy("g").applyInPandas(run, f"g string, key {kind}, cluster int")
+    small = keyed if large.isEmpty() else keyed.join(large, "g", "left_anti")
+    out = small.groupBy("g").applyInPandas(run, f"g string, key {kind}, cluster int")
+    if small is not keyed:
+        out = out.unionByName(_ward_rounds(keyed.join(large, "g", "left_semi"), cutoff))
     return out.select(F.col("g").alias("group"), F.col("key").alias(key), "cluster") if group else out.select(F.col("key").alias(key), "cluster")
 
 
+def _ward_rounds(keyed: DataFrame, cutoff: float) -> DataFrame:
+    """(g, key, cluster): Ward's clustering of large groups. Each round every cluster finds its nearest one, and all pairs that are each other's
+    nearest are merged; as Ward's costs never fall by a merger elsewhere, this gives the clusters that merging one pair at a time does.
+
+    Centres stay distributed; slices of them go to the tasks, each compared with whole batches by one matrix product.
+    """
+    kind, arrow = keyed.schema["key"].dataType.simpleString(), to_arrow_type(keyed.schema["key"].dataType)
+    state = cut(keyed.select("g", F.col("key").alias("id"), F.lit(1.0).alias("n"), F.col("v").alias("c")))
+    members = cut(keyed.select("g", "key", F.col("key").alias("id")))
+    while True:
+        found = None
+        for part in _slices(state, "id", "g", "n", "c"):
+            ids, gs = np.array([r[0] for r in part]), np.array([r[1] for r in part])
+            ns, cs = np.array([r[2] for r in part]), np.array([r[3] for r in part], dtype=np.float64)
+
+            def nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, gs: np.ndarray = gs, ns: np.ndarray = ns, cs: np.ndarray = cs) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    if not batch.num_rows or not len(ids):
+                        continue
+                    mine, own = batch.column(1).to_numpy(zero_copy_only=False), batch.column(0).to_numpy(zero_copy_only=False)
+                    n, x = batch.column(2).to_numpy(zero_copy_only=False), _matrix(batch.column(3))
+                    gap = np.maximum((x**2).sum(axis=1)[:, None] + (cs**2).sum(axis=1)[None] - 2 * x @ cs.T, 0)
+                    cost = np.round(np.sqrt(2 * n[:, None] * ns[None] / (n[:, None] + ns[None]) * gap), 9)
+                    cost[(own[:, None] != gs[None]) | (mine[:, None] == ids[None])] = np.inf
+                    order = np.argsort(ids, kind="stable")
+                    at = order[cost[:, order].argmin(axis=1)]  # ties go to the least id
+                    least = cost[np.arange(len(mine)), at]
+                    ok = np.flatnonzero(np.isfinite(least))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), batch.column(1).take(pa.array(ok)), pa.array(ids[at[ok]], arrow), pa.array(least[ok])], ["g", "id", "other", "cost"])
+
+            one = state.select("g", "id", "n", "c").mapInArrow(nearest, f"g string, id {kind}, other {kind}, cost double")
+            found = one if found is None else found.unionByName(one)
+        best = cut(found.groupBy("g", "id").agg(F.min(F.struct("cost", "other")).alias("b")).select("g", "id", F.col("b.other").alias("other"), F.col("b.cost").alias("cost")))
+        back = best.select("g", F.col("id").alias("other"), F.col("other").alias("id"))
+        pairs = cut(best.where(F.col("cost") <= cutoff).join(back, ["g", "id", "other"]).where("id < other").select("g", F.col("id").alias("keep"), F.col("other").alias("id")))
+        if pairs.isEmpty():
+            break
+        moved = lambda df: df.join(pairs, ["g", "id"], "left").withColumn("id", F.coalesce("keep", "id")).drop("keep")
+        mean = F.when(F.size("l") == 1, F.col("l")[0]["c"]).otherwise(F.zip_with(F.col("l")[0]["c"], F.col("l")[1]["c"], lambda a, b: (a * F.col("l")[0]["n"] + b * F.col("l")[1]["n"]) / F.col("n")))
+        merged = moved(state).groupBy("g", "id").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("n", "c"))).alias("l"))  # two at most
+        state, members = cut(merged.select("g", "id", "n", mean.alias("c"))), cut(moved(members).select("g", "key", "id"))
+    named = state.select("g", "id", (F.row_number().over(Window.partitionBy("g").orderBy("id")) - 1).alias("cluster"))
+    return members.join(named, ["g", "id"]).select("g", "key", "cluster")
+
+
 def ward_labels(x: np.ndarray, cutoff: float) -> np.ndarray:
     """Labels from 0 in order of first members: clusters whose union costs at most ``cutoff`` are merged."""
     n = len(x)

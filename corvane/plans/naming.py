@@ -198,8 +198,10 @@ def by_canonical(spark: SparkSession, d: str) -> DataFrame:
 
     e = table(spark, d, "theory_entries").where(F.coalesce("mapped_name", F.lit("")) != "").withColumn("paper", F.expr(PAPER))
     stats = e.groupBy(F.col("mapped_name").alias("canonical")).agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("paper").alias("papers"), F.count_distinct("original_name").alias("variants"))
-    rank = F.row_number().over(Window.partitionBy("mapped_name").orderBy("theory_id"))
-    few = e.select("mapped_name", "theory_id").distinct().withColumn("r", rank).where("r <= 10").groupBy(F.col("mapped_name").alias("canonical")).agg(F.array_join(F.array_sort(F.collect_list("theory_id")), ",").alias("first_ids"))
+    # the first ten of each of 64 parts, then of each name, so that a name with most of the rows is no long task
+    rank = lambda *by: F.row_number().over(Window.partitionBy("mapped_name", *by).orderBy("theory_id"))
+    few = e.select("mapped_name", "theory_id").distinct().withColumn("part", F.pmod(F.xxhash64("theory_id"), F.lit(64)))
+    few = few.withColumn("r", rank("part")).where("r <= 10").withColumn("r", rank()).where("r <= 10").groupBy(F.col("mapped_name").alias("canonical")).agg(F.array_join(F.array_sort(F.collect_list("theory_id")), ",").alias("first_ids"))
     return stats.join(few, "canonical")
 
 

@@ -100,6 +100,18 @@ def test_health_counts_ids_in_warnings(df):
     assert (got["a"].warnings, got["a"].in_warnings, got["a"].rate, got["c"].missing, got["d"].extra, got["e"].assigned) == (1, 5, 0.5, 1, 1, 0)
 
 
+def test_ward_in_rounds_is_ward_in_one_task(df, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 3, (6, 4))
+    data = [(int(i), "a" if i < 90 else "b", [float(x) for x in centres[i % 6] + rng.normal(0, 0.4, 4)]) for i in range(120)] + [(500, "a", None)]
+    frame = df(data, "k bigint, g string, v array<double>")
+    want = rows(vectors.ward(frame, "k", "v", 2.5, group="g"))
+    monkeypatch.setattr(vectors, "WARD_MOST", 40)
+    monkeypatch.setattr(vectors, "SLICE", 50)
+    got = rows(vectors.ward(frame, "k", "v", 2.5, group="g"))
+    assert got == want and len(want) == 120 and 2 <= len({r[2] for r in want if r[0] == "a"}) <= 20
+
+
 def test_small_clusters_move_as_a_whole(df):
     """The mean of a small cluster decides: its members stay together, although they are nearest to different large ones."""
     big = [(f"a{i}", "A", [1.0, 0.01 * i]) for i in range(5)] + [(f"b{i}", "B", [0.01 * i, 1.0]) for i in range(5)]
@@ -220,12 +232,6 @@ def test_ward_against_brute_force(df):
     for cutoff in (0.3, 1.8, 20.0):
         labels = vectors.ward_labels(x, cutoff)
         assert {frozenset(np.flatnonzero(labels == k)) for k in set(labels.tolist())} == brute(x, cutoff)
-    with pytest.raises(ValueError):
-        vectors.WARD_MOST, old = 2, vectors.WARD_MOST
-        try:
-            vectors.ward(df([(i, [float(i)]) for i in range(4)], "id int, v array<double>"), "id", "v", 1.0).collect()
-        finally:
-            vectors.WARD_MOST = old
 
 
 def test_skewed_join_and_aggregate(df, spark):
