@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from corvane.llm import tokens
 from corvane.session import ship
 
-# ---- fixed values: grammars, by kind; each with the key strings (lower case) without which it cannot match
+# ---- grammars, by kind; each with the key strings (lower case) without which it cannot match
 
 _ID = r"[^\W\d_][\w .-]*?"  # what stands between delimiters: a field's name
 #: Nouns that name the field of a form or letter; in square or angle brackets, written like a name, they are places to fill in.
