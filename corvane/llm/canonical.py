@@ -6,8 +6,8 @@
    model ...), words that the list's aliases add whatever the entry, and fillers: words that the list lacks and that stand
    beside complete forms of at least FILLER_ENTRIES entries. Fillers are learned from all values; more rows can only add some.
 3. A stripped value that is a form, in any order, means its entry.
-4. All others go through a partition-based pigeonhole join. Each form, in every order of its words, is a reference
-   string without spaces. K edits are allowed, a swap of neighbours being one edit that ``levenshtein`` counts as two, so a
+4. All others go through a partition-based pigeonhole join. Each form, in every order of its words (an
+   abbreviation beside them last), is a reference string without spaces. K edits are allowed, a swap of neighbours being one edit that ``levenshtein`` counts as two, so a
    string is cut into 2 K + 1 segments of which one must survive, at a position that moved by at most K. An equality join on
    (length, segment, substring) finds the candidates, Spark's ``levenshtein`` verifies them, and the nearest entry wins.
 5. A misspelling must look like one, by rules that don't depend on the other rows: the words by which value and form
@@ -97,10 +97,10 @@ def synonyms(base: DataFrame) -> DataFrame:
 
 
 def forms(base: DataFrame, ontology: DataFrame) -> DataFrame:
-    """(key, w, ontology_id): the sets of content words that mean an entry, and no other entry.
+    """(key, w, abbr, ontology_id): the sets of content words that mean an entry, and no other entry.
 
     Names of three content words read site, thing, process; such a name is also known by its last two (the site left
-    out), where these belong to one entry only. Each form also counts with the entry's abbreviation beside it.
+    out), where these belong to one entry only. Each form also counts with the entry's abbreviation (abbr, else empty) beside it.
     """
     short = base.where((F.col("text") == F.col("name")) & (F.size("w") == 3)).select("ontology_id", F.slice("w", 2, 2).alias("w"))
     parts = base.select("ontology_id", "w").unionByName(short)
@@ -109,11 +109,12 @@ def forms(base: DataFrame, ontology: DataFrame) -> DataFrame:
     sets = parts.unionByName(swapped)
     abbreviated = ontology.where(F.col("ontology_id").isNotNull()).select("ontology_id", F.explode("abbreviations").alias("abbr"))
     abbreviated = abbreviated.select("ontology_id", F.lower(F.regexp_replace("abbr", r"[^\p{L}\p{N}]+", "")).alias("abbr")).where(F.col("abbr") != "")
-    beside = sets.join(abbreviated, "ontology_id").select("ontology_id", F.concat("w", F.array("abbr")).alias("w"))
-    every = sets.unionByName(beside).select(_key(F.array_distinct("w")).alias("key"), F.array_distinct("w").alias("w"), "ontology_id")
-    every = every.unionByName(abbreviated.select(F.concat(F.lit("="), "abbr").alias("key"), F.array().cast("array<string>").alias("w"), "ontology_id"))
+    sets = sets.select("ontology_id", F.array_distinct("w").alias("w"))
+    beside = sets.join(abbreviated, "ontology_id").select(_key(F.array_distinct(F.concat("w", F.array("abbr")))).alias("key"), "w", "abbr", "ontology_id")
+    every = sets.select(_key(F.col("w")).alias("key"), "w", F.lit("").alias("abbr"), "ontology_id").unionByName(beside)
+    every = every.unionByName(abbreviated.select(F.concat(F.lit("="), "abbr").alias("key"), F.array().cast("array<string>").alias("w"), "abbr", "ontology_id"))
     one = every.groupBy("key").agg(F.min("ontology_id").alias("ontology_id"), F.max("ontology_id").alias("last")).where(F.col("ontology_id") == F.col("last")).select("key", "ontology_id")
-    return every.select("key", "w").distinct().join(one, "key")
+    return every.select("key", "w", "abbr").distinct().join(one, "key")
 
 
 def vocabulary(spark: SparkSession, path: str | None = VOCABULARY) -> DataFrame:
@@ -153,8 +154,10 @@ def _orders(w: Column) -> Column:
 
 
 def references(known: DataFrame) -> DataFrame:
-    """(ref, w, ontology_id): the strings of the forms of at least two words, and of long single ones."""
-    rows = known.where(F.size("w") > 0).select("ontology_id", "w", F.explode(F.array_distinct(_orders(F.col("w")))).alias("ref"))
+    """(ref, w, ontology_id): the strings of the forms of at least two words, and of long single ones; an abbreviation comes last."""
+    whole = F.when(F.col("abbr") == "", F.col("w")).otherwise(F.concat("w", F.array("abbr")))
+    rows = known.where(F.size("w") > 0).select("ontology_id", whole.alias("w"), F.explode(F.array_distinct(_orders(F.col("w")))).alias("order"), "abbr")
+    rows = rows.select("ontology_id", "w", F.concat("order", "abbr").alias("ref"))
     return rows.where((F.size("w") > 1) | (F.length("ref") >= LONG))
 
 
@@ -240,7 +243,7 @@ def match_values(values: DataFrame, ontology: DataFrame, vocabulary_path: str |
     spark = values.sparkSession
     base = cut(base_forms(ontology))
     known = cut(forms(base, ontology))
-    listed = cut(known.select(F.explode("w").alias("word")).unionByName(reference_texts(ontology).select(F.explode(words(F.col("text"))).alias("word"))).distinct())
+    listed = cut(known.select(F.explode(F.concat("w", F.array("abbr"))).alias("word")).where("word <> ''").unionByName(reference_texts(ontology).select(F.explode(words(F.col("text"))).alias("word"))).distinct())
     idle = added_words(ontology).agg(F.collect_set("word").alias("idle"))
     split = values.select("value", words(F.col("value")).alias("all")).where(F.size("all") > 0)
     stripped = split.join(idle).select("value", "all", "idle", F.array_except(_told(F.col("all")), "idle").alias("w"))
