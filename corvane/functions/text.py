@@ -182,6 +182,11 @@ def unfenced(x: Column) -> Column:
     return F.trim(F.when(inner != "", inner).otherwise(x))
 
 
+def trimmed_fence(x: Column) -> Column:
+    """The other way with fences: a leading ```json or ``` and a trailing ``` are cut off, whatever stands between them."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(x), "^```json", ""), "^```", ""), "```$", ""))
+
+
 def token_estimate(x: Column, reserve: int = 0) -> Column:
     """A quarter of the characters, plus what is reserved for the reply."""
     return F.floor(F.length(F.coalesce(x, F.lit(""))) / 4) + reserve

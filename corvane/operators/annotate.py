@@ -7,6 +7,7 @@ what stays open after the last attempt takes the operator's fallback.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,14 +19,18 @@ from corvane.session import cut, ship
 Annotator = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
-def annotate(requests: DataFrame, annotator: Annotator, schema: str, key: list[str], valid: Column, attempts: int = 3) -> tuple[DataFrame, DataFrame]:
+def annotate(requests: DataFrame, annotator: Annotator, schema: str, key: list[str], valid: Column, attempts: int = 3, pause: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(good responses, requests still open). Each attempt asks only for what has no valid response yet.
 
+    Between attempts the driver waits ``pause`` seconds, doubled each time, ten at most: a back-off for remote models.
+
     Responses with unknown keys are dropped; of several valid ones for a key the first in order of all columns stays.
     """
     ship(requests.sparkSession)
     good, todo = None, cut(requests)
-    for _ in range(attempts):
+    for attempt in range(attempts):
+        if attempt and pause:
+            time.sleep(min(pause * 2**attempt, 10))
         raw = cut(todo.mapInPandas(annotator, schema))
         known = raw.where(valid).join(todo.select(*key).distinct(), key, "left_semi")
         first = F.row_number().over(Window.partitionBy(*key).orderBy(*[c for c in raw.columns if c not in key] or key))

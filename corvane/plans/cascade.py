@@ -44,9 +44,9 @@ def gathered(rows: DataFrame) -> DataFrame:
     return consolidate.remapped(rows, mapped).select("theory_id", "original", "name")
 
 
-def cascade(m: DataFrame, ontology: DataFrame, large: int = 40) -> DataFrame:
-    """(theory_id, original, name): the final name of every mention that passes stage 0."""
-    rows = cut(named(filtered(m), ontology))
+def cascade(m: DataFrame, ontology: DataFrame, large: int = 40, kept: DataFrame | None = None) -> DataFrame:
+    """(theory_id, original, name): the final name of every mention that passes stage 0; ``kept``: these mentions, if at hand."""
+    rows = cut(named(filtered(m) if kept is None else kept, ontology))
     verdicts = annotators.validate_names(rows.join(m.select("theory_id", "evidence"), "theory_id").select("name", "theory_id", "evidence"), annotators.rule_verdict)
     rows = rows.join(verdicts.where("verdict = 'valid'").select("name"), "name", "left_semi")
     refined = annotators.refine_rare(clustered(rows), annotators.rule_first_reference).groupBy("name").agg(F.min("mapped").alias("mapped"))
@@ -73,15 +73,16 @@ def naming_cascade(spark: SparkSession, d: str) -> DataFrame:
     return cascade(_mentions(spark, d), table(spark, d, "ontology"))
 
 
-@query()
+@query("SELECT 0::BIGINT AS extra, 0::BIGINT AS duplicates")
 def naming_cascade_conserves(spark: SparkSession, d: str) -> DataFrame:
-    """Ids lost, made up or doubled between stage 0 and the final names (lost ones were judged invalid)."""
-    m = _mentions(spark, d)
-    return quality.conservation(filtered(m), cascade(m, table(spark, d, "ontology")), "theory_id")
+    """Ids made up or doubled between stage 0 and the final names (ids that got lost were judged invalid)."""
+    m = cut(_mentions(spark, d))
+    kept = cut(filtered(m))
+    return quality.conservation(kept, cascade(m, table(spark, d, "ontology"), kept=kept), "theory_id").select("extra", "duplicates")
 
 
 @query()
 def cascade_final_map(spark: SparkSession, d: str) -> DataFrame:
-    m = _mentions(spark, d)
+    m = cut(_mentions(spark, d))
     final = cascade(m, table(spark, d, "ontology"))
     return consolidate.final_map(final.join(m.select("theory_id", "doi", "paper_focus"), "theory_id"))

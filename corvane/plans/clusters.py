@@ -10,6 +10,7 @@ from corvane.operators import annotate, consolidate, quality
 from corvane.plans.registry import query
 from corvane.plans.summaries import ASSIGNED, MENTION, assigned, mentions
 from corvane.session import table
+from corvane.sources import sinks
 
 OK = f"(SELECT * FROM {ASSIGNED} WHERE coalesce(theory_id, '') <> '' AND cluster_name IS NOT NULL)"
 LISTED = "(SELECT DISTINCT cluster_name, a.theory_id FROM (SELECT cluster_name, unnest(batch_result.original_format.theory_assignments) AS a FROM stage6_batches) WHERE coalesce(a.theory_id, '') <> '' AND cluster_name IS NOT NULL)"
@@ -68,6 +69,14 @@ def missing_by_cluster(spark: SparkSession, d: str) -> DataFrame:
     return quality.missing_ids(_requested(spark, d), _started(spark, d)).withColumn("share", F.round("share", 6))
 
 
+@query(f"""WITH r AS {LISTED}, a AS {STARTED}, m AS (SELECT * FROM r ANTI JOIN a USING (cluster_name, theory_id)), n AS (SELECT cluster_name, count(*) AS n FROM r GROUP BY 1), k AS (SELECT cluster_name, count(*) AS k FROM m GROUP BY 1),
+f AS (SELECT m.cluster_name, m.theory_id, k * 1.0 / n AS share, row_number() OVER (PARTITION BY m.cluster_name ORDER BY m.theory_id) AS i FROM m JOIN n USING (cluster_name) JOIN k USING (cluster_name))
+SELECT printf('%s%s%.1f %%%s%s', cluster_name, chr(9), share * 100, chr(9), theory_id) AS line FROM f WHERE i <= 20""")
+def missing_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report of missing ids, clusters with the highest share first."""
+    return sinks.missing_report(quality.missing_ids(_requested(spark, d), _started(spark, d)))
+
+
 @query(f"""WITH r AS {LISTED}, a AS {STARTED}, w AS (SELECT DISTINCT normalized_name AS cluster_name, theory_id FROM {MENTION} WHERE normalized_name IS NOT NULL), m AS (SELECT * FROM r ANTI JOIN a USING (cluster_name, theory_id))
 SELECT m.cluster_name, w.cluster_name AS other, count(DISTINCT m.theory_id) AS ids FROM m JOIN w ON w.theory_id = m.theory_id AND w.cluster_name <> m.cluster_name GROUP BY 1, 2""")
 def missing_found_elsewhere(spark: SparkSession, d: str) -> DataFrame:

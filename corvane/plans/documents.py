@@ -152,6 +152,15 @@ def unfenced_replies(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "extraction_results").where(F.coalesce("payload", F.lit("")) != "").select("record_id", F.md5(text.unfenced(fenced)).alias("body"))
 
 
+@query(r"""WITH f AS (SELECT record_id, CASE record_id % 3 WHEN 0 THEN '```json' || chr(10) || payload || chr(10) || '```' WHEN 1 THEN '```' || payload || '```' ELSE payload END AS p FROM extraction_results WHERE coalesce(payload, '') <> '')
+SELECT record_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(trim(p), '^```json', ''), '^```', ''), '```$', ''))) AS body FROM f""")
+def trimmed_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Replies with a fence of either kind, or none."""
+    r = table(spark, d, "extraction_results").where(F.coalesce("payload", F.lit("")) != "")
+    p = F.when(F.col("record_id") % 3 == 0, F.concat(F.lit("```json\n"), "payload", F.lit("\n```"))).when(F.col("record_id") % 3 == 1, F.concat(F.lit("```"), "payload", F.lit("```"))).otherwise(F.col("payload"))
+    return r.select("record_id", F.md5(text.trimmed_fence(p)).alias("body"))
+
+
 @query("SELECT doi, lower(doi) AS of_file, replace(translate(title, '/ ', '__'), ':', '') AS title_file FROM papers")
 def file_keys(spark: SparkSession, d: str) -> DataFrame:
     p = _papers(spark, d)

@@ -228,6 +228,23 @@ def alphabetical_batches(spark: SparkSession, d: str) -> DataFrame:
     return batching.alphabetical(_names(spark, d), 100)
 
 
+@query(f"SELECT batches, n AS names, 0::BIGINT AS oversized, 0::BIGINT AS torn FROM (VALUES ('alphabetical'), ('topped up'), ('similar')) v(batches), (SELECT count(*) AS n, count(*) FILTER (n NOT IN (SELECT name FROM ontology)) AS open FROM {NAMES} WHERE n <> '') WHERE batches <> 'similar' UNION ALL SELECT 'similar', count(*), 0, 0 FROM {NAMES} WHERE n <> '' AND n NOT IN (SELECT name FROM ontology)")
+def batch_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Whether batches hold every name once and none is larger than allowed."""
+    every = _names(spark, d)
+    out = None
+    for label, made, most in (
+        ("alphabetical", batching.alphabetical(every, 100), 100), ("topped up", batching.alphabetical(every, 100, top_up=True), 100),
+        ("similar", batching.similar_batches(matching.not_listed(every, table(spark, d, "ontology")), 20), 20),
+    ):
+        made = made.select(F.col("batch").cast("string").alias("batch"), "name")
+        over = made.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > most).alias("oversized"), F.sum("n").alias("names"))
+        torn = made.groupBy("name").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("torn"))
+        one = over.withColumn("one", F.lit(1)).join(torn.withColumn("one", F.lit(1)), "one").select(F.lit(label).alias("batches"), "names", "oversized", "torn")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query()
 def topped_up_batches(spark: SparkSession, d: str) -> DataFrame:
     return batching.alphabetical(_names(spark, d), 100, top_up=True)

@@ -93,9 +93,13 @@ def nested_children(parents: DataFrame, children: DataFrame, key: str, name: str
     return out.withColumn(name, F.coalesce(F.col(name), F.array().cast(packed.schema[name].dataType)))
 
 
-def answer_map(answers: DataFrame, key: str = "doi") -> DataFrame:
-    """(key, answers): a map from question to answer, confidence and reasoning, in the order of questions."""
-    entry = F.struct("question_name", F.struct("answer", "confidence_score", "reasoning").alias("v"))
+def answer_map(answers: DataFrame, key: str = "doi", limit: int | None = None) -> DataFrame:
+    """(key, answers): a map from question to answer, confidence and reasoning (and original_answer, if there is such a column), in the
+    order of questions; with ``limit`` the first keys in order only."""
+    if limit is not None:
+        answers = answers.join(answers.select(key).distinct().orderBy(key).limit(limit), key, "left_semi")
+    fields = ["answer", "confidence_score", "reasoning", *[c for c in ("original_answer",) if c in answers.columns]]
+    entry = F.struct("question_name", F.struct(*fields).alias("v"))
     return answers.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("answers"))
 
 
