@@ -156,8 +156,8 @@ def _orders(w: Column) -> Column:
 def references(known: DataFrame) -> DataFrame:
     """(ref, w, ontology_id): the strings of the forms of at least two words, and of long single ones; an abbreviation comes last."""
     whole = F.when(F.col("abbr") == "", F.col("w")).otherwise(F.concat("w", F.array("abbr")))
-    rows = known.where(F.size("w") > 0).select("ontology_id", whole.alias("w"), F.explode(F.array_distinct(_orders(F.col("w")))).alias("order"), "abbr")
-    rows = rows.select("ontology_id", "w", F.concat("order", "abbr").alias("ref"))
+    rows = known.where(F.size("w") > 0).select("ontology_id", "w", "abbr", F.explode(F.array_distinct(_orders(F.col("w")))).alias("order"))
+    rows = rows.select("ontology_id", whole.alias("form"), F.concat("order", "abbr").alias("ref")).withColumnRenamed("form", "w")
     return rows.where((F.size("w") > 1) | (F.length("ref") >= LONG))
 
 

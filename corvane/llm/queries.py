@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import canonical, copies, leak, mixture, packing, residue, sampling
-from corvane.session import table
+from corvane.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,6 +97,20 @@ def p2_class_links(spark: SparkSession, d: str) -> DataFrame:
     return mixture.class_links(table(spark, d, "theories"))
 
 
+@query("SELECT count(*) AS records, count(*) AS members, 0::BIGINT AS in_several, 0::BIGINT AS loose_links FROM (SELECT DISTINCT id FROM theories WHERE id IS NOT NULL)")
+def p2_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every theory is in one cluster, and every pair found within one."""
+    theories = table(spark, d, "theories")
+    held = cut(mixture.members(theories))
+    of = held.groupBy("id").agg(F.min("cluster_id").alias("c"), F.count(F.lit(1)).alias("n"))
+    pairs = mixture.pairs_found(theories)
+    loose = pairs.join(of.select(F.col("id").alias("first_id"), F.col("c").alias("a")), "first_id").join(of.select(F.col("id").alias("second_id"), F.col("c").alias("b")), "second_id").agg(F.count_if(F.col("a") != F.col("b")).alias("loose_links"))
+    counted = of.agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("n") > 1).alias("in_several"))
+    records = theories.where("id IS NOT NULL").agg(F.count_distinct("id").alias("records"))
+    one = F.lit(1).alias("one")
+    return records.select("*", one).join(counted.select("*", one), "one").join(loose.select("*", one), "one").drop("one")
+
+
 # ---- problem 4
 
 
@@ -110,6 +124,18 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return canonical.unmatched(table(spark, d, "theory_entries"), table(spark, d, "ontology"))
 
 
+@query("""WITH m AS (SELECT DISTINCT theory_id, unnest([original_name, mapped_name, match_result.canonical_name]) AS v, unnest(['original_name', 'mapped_name', 'canonical_name']) AS field FROM theory_entries WHERE theory_id IS NOT NULL)
+SELECT field, count(*) AS mentions FROM m WHERE coalesce(v, '') <> '' GROUP BY 1""")
+def p4_conserves(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions of each field, mapped and unmapped ones together."""
+    entries, listed = table(spark, d, "theory_entries"), table(spark, d, "ontology")
+    rows = cut(canonical.mentions(entries))
+    matched = cut(canonical.match_values(cut(rows.select("value").distinct()), listed))
+    mapped = rows.join(matched, "value").groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+    open_ = rows.join(matched.select("value"), "value", "left_anti").groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+    return mapped.unionByName(open_).groupBy("field").agg(F.sum("n").alias("mentions"))
+
+
 # ---- problem 5
 
 SAMPLE = """WITH u AS (SELECT {unit} AS unit, strftime(min(ingested_at), '%Y-%m-%d') AS batch FROM theory_entries WHERE coalesce({unit}, '') <> '' GROUP BY 1),
@@ -186,6 +212,16 @@ def p9_clean_corpus(spark: SparkSession, d: str) -> DataFrame:
     return residue.clean_corpus(table(spark, d, "documents")).select("doc_id", "lang", "source", "n_chars")
 
 
+@query("SELECT count(*) AS documents, 0::BIGINT AS in_both FROM documents")
+def p9_conserves(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, the clean ones and those with residue together."""
+    docs = table(spark, d, "documents")
+    found, clean = cut(residue.residue_found(docs)), residue.clean_corpus(docs).select("doc_id")
+    both = found.join(clean, "doc_id", "left_semi").agg(F.count(F.lit(1)).alias("in_both"), F.lit(1).alias("one"))
+    dirty = docs.select("doc_id").join(found, "doc_id", "left_semi")
+    return clean.unionByName(dirty).agg(F.count(F.lit(1)).alias("documents"), F.lit(1).alias("one")).join(both, "one").select("documents", "in_both")
+
+
 @query()
 def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
     kinds = residue.residue(table(spark, d, "documents")).select(F.explode("kinds").alias("kind"))
