@@ -69,20 +69,19 @@ def reference_texts(ontology: DataFrame) -> DataFrame:
     return ontology.where(F.col("ontology_id").isNotNull()).select("ontology_id", "name", F.explode(arrays).alias("text")).where(F.col("text").isNotNull())
 
 
-def added_words(ontology: DataFrame) -> DataFrame:
-    """(word): words that aliases of at least ALIAS_SHARE of the entries have and no name has."""
+def added_words(ontology: DataFrame) -> list[str]:
+    """Words that aliases of at least ALIAS_SHARE of the entries have and no name has: 1 / ALIAS_SHARE for each word of an alias at most."""
     t = reference_texts(ontology)
     named = t.select(F.explode(words(F.col("name"))).alias("word")).distinct()
-    total = ontology.agg(F.greatest(F.count_distinct("ontology_id") * ALIAS_SHARE, F.lit(3)).alias("least"))
+    least = max(3, ontology.agg(F.count_distinct("ontology_id").alias("n")).first()["n"] * ALIAS_SHARE)
     used = t.select("ontology_id", F.explode(_told(words(F.col("text")))).alias("word")).groupBy("word").agg(F.count_distinct("ontology_id").alias("n"))
-    return used.join(total, F.col("n") >= F.col("least")).select("word").join(named, "word", "left_anti")
+    return sorted(r.word for r in used.where(F.col("n") >= least).join(named, "word", "left_anti").select("word").collect())
 
 
-def base_forms(ontology: DataFrame) -> DataFrame:
-    """(ontology_id, name, text, w): the content words of each name and alias, in order."""
-    t = reference_texts(ontology).withColumn("w", _told(words(F.col("text"))))
-    idle = added_words(ontology).agg(F.collect_set("word").alias("idle"))  # at most 1 / ALIAS_SHARE words of each place in an alias
-    return t.join(idle).select("ontology_id", "name", "text", F.array_except("w", "idle").alias("w")).where(F.size("w") > 0)
+def base_forms(ontology: DataFrame, idle: list[str]) -> DataFrame:
+    """(ontology_id, name, text, w): the content words of each name and alias, in order, without ``idle`` ones."""
+    t = reference_texts(ontology).withColumn("told", _told(words(F.col("text"))))
+    return t.select("ontology_id", "name", "text", F.filter("told", lambda w: ~w.isin(idle)).alias("w")).where(F.size("w") > 0)
 
 
 def synonyms(base: DataFrame) -> DataFrame:
@@ -223,9 +222,10 @@ def mentions(entries: DataFrame, fields: dict[str, str] | None = None, key: str
     return rows.where(F.coalesce(F.col("value"), F.lit("")) != "").distinct()
 
 
-def _almost(w: Column, idle: Column) -> Column:
-    """Whether a word is one for the kind, or one of the long idle ones, with one or two edits."""
-    return F.exists(F.concat(F.array(*[F.lit(k) for k in KINDS if len(k) > 4]), F.filter(idle, lambda i: F.length(i) > 4)), lambda k: F.levenshtein(w, k, 3).between(1, F.when(F.length(k) > 6, 3).otherwise(2)))
+def _almost(w: Column, idle: list[str]) -> Column:
+    """Whether a word is one for the kind, or one of the long idle ones, with a few edits."""
+    long = [k for k in (*KINDS, *idle) if len(k) > 4]
+    return F.exists(F.array(*map(F.lit, long)), lambda k: F.levenshtein(w, k, 3).between(1, F.when(F.length(k) > 6, 3).otherwise(2)))
 
 
 def _one_entry(found: DataFrame, by: str) -> DataFrame:
@@ -241,12 +241,12 @@ def match_values(values: DataFrame, ontology: DataFrame, vocabulary_path: str |
     have no reference of their length. An empty list matches nothing.
     """
     spark = values.sparkSession
-    base = cut(base_forms(ontology))
+    idle = added_words(ontology)
+    base = cut(base_forms(ontology, idle))
     known = cut(forms(base, ontology))
     listed = cut(known.select(F.explode(F.concat("w", F.array("abbr"))).alias("word")).where("word <> ''").unionByName(reference_texts(ontology).select(F.explode(words(F.col("text"))).alias("word"))).distinct())
-    idle = added_words(ontology).agg(F.collect_set("word").alias("idle"))
     split = values.select("value", words(F.col("value")).alias("all")).where(F.size("all") > 0)
-    stripped = split.join(idle).select("value", "all", "idle", F.array_except(_told(F.col("all")), "idle").alias("w"))
+    stripped = split.select("value", F.filter(_told(F.col("all")), lambda w: ~w.isin(idle)).alias("w"))
     # words may be hot ("theory" is in most values, but so may any other be): they are looked up where they stand
     tokens = cut(stripped.select("value", F.posexplode("w").alias("at", "word")))
     told = skew_join(tokens, listed.withColumn("listed", F.lit(True)), "word", how="left").groupBy("value").agg(F.array_sort(F.collect_set(F.struct("at", "word", F.coalesce("listed", F.lit(False)).alias("listed")))).alias("t"))
@@ -266,8 +266,8 @@ def match_values(values: DataFrame, ontology: DataFrame, vocabulary_path: str |
     spelled = split.select("value", F.concat(F.lit("="), F.array_join(F.filter("all", lambda w: ~w.isin(long_stop)), "")).alias("key"))
     exact = cut(_one_entry(exact.unionByName(spelled.join(by_key, "key").select("value", "ontology_id")), "value"))
     # only a value with a strange word can be a form misspelt; words for the kind may be misspelt as well, so it is also read without what looks like one
-    rest = bare.where(F.size("strange") > 0).join(exact.select("value"), "value", "left_anti").join(idle)
-    rest = rest.withColumn("kindless", F.array_except("w", F.filter("strange", lambda w: _almost(w, F.col("idle")))))
+    rest = bare.where(F.size("strange") > 0).join(exact.select("value"), "value", "left_anti")
+    rest = rest.withColumn("kindless", F.array_except("w", F.filter("strange", lambda w: _almost(w, idle))))
     read = rest.select("value", F.explode(F.array_distinct(F.array("w", "kindless"))).alias("w")).where(F.size("w") > 0)
     read = cut(read.select("value", "w", _key(F.col("w")).alias("key")))
     second = cut(_one_entry(read.join(by_key, "key").select("value", "ontology_id"), "value"))
