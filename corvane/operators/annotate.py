@@ -120,7 +120,9 @@ def split_batches(batches: DataFrame, annotator: Annotator, least: int = 2, atte
     todo, good = cut(batches.select(*key, "theory_id").distinct()), None
     asked = todo
     for _ in range(attempts):
-        reply = cut(todo.groupBy(*key).applyInPandas(whole(annotator), SPLIT).where("theory_id IS NOT NULL"))
+        # a stated number of partitions: few bytes, but work enough for all lanes
+        spread = todo.repartition(todo.sparkSession.sparkContext.defaultParallelism, *key)
+        reply = cut(spread.groupBy(*key).applyInPandas(whole(annotator), SPLIT).where("theory_id IS NOT NULL"))
         once = reply.groupBy(*key, "theory_id").agg(F.min("subcluster_name").alias("subcluster_name"))
         once = once.join(todo.withColumn("asked", F.lit(True)), [*key, "theory_id"], "left")
         sized = once.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*key, "subcluster_name")))

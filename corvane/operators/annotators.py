@@ -152,7 +152,8 @@ def answer_questions(papers: DataFrame, questions: DataFrame, annotator: Annotat
     gated = cut(gated.withColumn("options", F.when(F.col("text").isNull(), F.array_append("options", F.lit("Not available"))).otherwise(F.col("options"))))
     todo, good = gated.where("ask").drop("ask"), None
     for _ in range(attempts):
-        reply = cut(todo.groupBy("doi").applyInPandas(whole(annotator), ANSWER))
+        spread = todo.repartition(todo.sparkSession.sparkContext.defaultParallelism, "doi")
+        reply = cut(spread.groupBy("doi").applyInPandas(whole(annotator), ANSWER))
         both = todo.select("doi", "question_name", "options", F.lit(True).alias("asked")).join(reply, ["doi", "question_name"], "full")
         both = both.withColumn("option", names.answer_option(F.col("answer"), F.col("options"), F.col("question_name")))
         bad = both.where(F.col("asked").isNull() | F.col("option").isNull()).select("doi").unionByName(reply.groupBy("doi", "question_name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doi")).distinct()
