@@ -1,3 +1,5 @@
+import zlib
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -135,6 +137,34 @@ def test_grouping_knows_earlier_groups_and_keeps_extra_names(df):
     assert annotators.group_names(rows.limit(0), rule).isEmpty()
 
 
+def test_grouping_has_all_earlier_groups_at_hand_without_writing_them_out(spark, df):
+    """Each name has all earlier groups with a common word, in order, though what is shuffled grows with the names and not with their pairs."""
+    named = {f"tissue é{i % 7} n{i:04d}" if i % 3 else f"own{i:04d} é{i % 7}": 1 + i // 750 for i in range(3000)}
+    rows = df([(b, n) for n, b in named.items()], "batch int, name string")
+
+    def first(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"batch": pdf.batch, "name": pdf.name, "mapped": [next(iter(g)) if g else n for n, g in zip(pdf.name, pdf.groups, strict=True)]})
+
+    def every(batches):
+        for pdf in batches:
+            few = pdf[pdf.name.str.endswith("00")]
+            yield pd.DataFrame({"batch": few.batch, "name": few.name, "mapped": [f"{len(g)}:{zlib.crc32("|".join(g).encode())}" for g in few.groups.map(lambda g: [] if g is None else list(g))]})
+
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    assert annotators.group_names(rows, first).count() == len(named)
+    assert shuffled() - before < 400 * len(named)
+    got = {r.name: r.mapped for r in annotators.group_names(rows, every).collect()}
+    assert sorted(got) == sorted(named)
+    for name, batch in named.items():
+        if not name.endswith("00"):
+            assert got[name] == name
+        else:
+            g = sorted(n for n, b in named.items() if b < batch and n.startswith("tissue") and not n.endswith("00")) if name.startswith("tissue") else []
+            assert got[name] == f"{len(g)}:{zlib.crc32("|".join(g).encode())}", name
+
+
 def test_rare_names_are_asked_again_by_cluster(df):
     """Poor grouping is asked again; an incomplete second reply leaves the first one, with the rest retained."""
     members = df([("a", f"n{i}", "rare") for i in range(5)] + [("b", "m0", "rare"), ("b", "m1", "rare"), ("b", "ref", "reference")], "cluster string, name string, role string")
