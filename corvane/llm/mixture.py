@@ -38,7 +38,7 @@ COMPONENTS = (0.0, 0.25, 0.35, 0.45)  # numbers of components tried, as shares o
 NAME_WEIGHT = 0.2  # of the name beside the concepts
 SHARD, CAP = 128, 192  # classes in a shard on the average; classes of a concept that is not divided
 SUPPORT, MUTUAL = 5, 0.5  # times that two words must replace each other, and least share of all their replacements
-FILLERS = 6  # words that may fill a gap before its context is narrowed
+FILLERS = 6  # words that may fill a gap before its context is narrowed; wider ones are judged last
 #: Function words; they don't tell concepts apart.
 STOP = ["of", "in", "the", "a", "an", "and", "to", "by", "for", "with", "on", "at", "from", "is", "are", "de", "la", "le", "der", "die"]
 
@@ -61,14 +61,44 @@ def concepts(records: DataFrame, key: str = "id", column: str = "key_concepts",
     return rows.where(F.col("text").isNotNull()).select("key", "name", concept_words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
 
 
+def pairs_filling(contexts: DataFrame) -> DataFrame:
+    """(a, b, n): words that fill the same gap, and for how many rests; at least SUPPORT. ``contexts``: context, rest, word, each of few words."""
+    filled = contexts.groupBy("context", "rest").agg(F.collect_list("word").alias("ws"))
+    pairs = filled.select("rest", F.explode("ws").alias("a"), "ws").select("rest", "a", F.explode("ws").alias("b")).where("a <> b")
+    return cut(pairs.distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT))
+
+
+def pairs_filling_any(contexts: DataFrame) -> DataFrame:
+    """``pairs_filling`` for contexts of any number of words, whose pairs are never written out one by one.
+
+    A word that completes fewer than SUPPORT rests makes no pair that counts. Of each rest the different sets of words
+    are kept; the pairs are made from them and summed in place.
+    """
+    often = contexts.select("rest", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT).select("word")
+    filled = contexts.join(often, "word").groupBy("context", "rest").agg(F.array_sort(F.collect_list("word")).alias("ws")).where(F.size("ws") > 1)
+    sets = filled.groupBy("rest").agg(F.collect_set("ws").alias("sets"))
+    each = sets.select("sets", F.explode(F.array_distinct(F.flatten("sets"))).alias("a"))
+    pairs = each.select("a", F.explode(F.array_distinct(F.flatten(F.filter("sets", lambda ws: F.array_contains(ws, F.col("a")))))).alias("b")).where("a <> b")
+    return cut(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT))
+
+
+def mutual(counted: DataFrame) -> DataFrame:
+    """(a, b), both ways round: pairs that make up MUTUAL of the replacements of either word."""
+    total = F.sum("n").over(Window.partitionBy("a"))
+    strong = counted.withColumn("share", F.col("n") / total).where(F.col("share") >= MUTUAL).select("a", "b")
+    return strong.intersect(strong.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
 def thesaurus(rows: DataFrame) -> DataFrame:
     """(word, rep): words that are replaced by others, learned from ``concepts`` rows.
 
     Records with the same concepts count once. A context is a concept that stands beside the one with the gap; one whose gap
-    more than FILLERS words fill tells no pair apart and is narrowed by a second such concept, so frequent concepts lose
-    no evidence. A pair counts once for each different rest of a concept that it completes (so that one chance resemblance
+    more than FILLERS words fill hardly tells a pair apart and is narrowed by a second such concept. A pair counts once for each
+    different rest of a concept that it completes (so that one chance resemblance
     of two concepts is not many); it is kept if it counts SUPPORT times and makes up MUTUAL of the replacements of either
-    word. The representative is the pair's first word.
+    word. Contexts that FILLERS words fill at most decide first; words that they give no partner are judged with
+    all contexts of two concepts, however many words fill them, and what is left with all contexts of one concept, so no
+    evidence is lost. The representative is the pair's first word.
     """
     exact = rows.select("key", "words", F.xxhash64(F.array_join("words", " ")).alias("c")).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("c", "words"))).alias("cs"))
     exact = exact.where(F.size("cs") > 1).groupBy(F.xxhash64("cs.c").alias("s")).agg(F.first("cs").alias("cs"))
@@ -81,16 +111,21 @@ def thesaurus(rows: DataFrame) -> DataFrame:
     one = near.select("context", "rest", "word")
     one = written(one.join(told(one, "context"), "context").distinct())
     sized = cut(one.groupBy("context").agg(F.count(F.lit(1)).alias("n")))
-    found = one.join(sized.where(F.col("n") <= FILLERS).select("context"), "context")
-    wide = near.join(sized.where(F.col("n") > FILLERS).select("context"), "context")
-    two = cut(wide.select("near", F.explode("beside").alias("second"), "rest", "word").where("near <> second").select(F.xxhash64(F.least("near", "second"), F.greatest("near", "second"), "rest").alias("context"), "rest", "word").distinct())
-    found = found.unionByName(two.join(two.groupBy("context").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, FILLERS)).select("context"), "context"))
-    filled = found.groupBy("context", "rest").agg(F.collect_list("word").alias("ws"))
-    pairs = filled.select("rest", F.explode("ws").alias("a"), "ws").select("rest", "a", F.explode("ws").alias("b")).where("a <> b")
-    counted = cut(pairs.distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT))
-    total = F.sum("n").over(Window.partitionBy("a"))
-    strong = counted.withColumn("share", F.col("n") / total).where(F.col("share") >= MUTUAL).select("a", "b")
-    both = strong.intersect(strong.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    if sized.where(F.col("n") > FILLERS).isEmpty():
+        both = mutual(pairs_filling(one))
+    else:
+        found = one.join(sized.where(F.col("n") <= FILLERS).select("context"), "context")
+        wide = near.join(sized.where(F.col("n") > FILLERS).select("context"), "context")
+        two = wide.select("near", F.explode("beside").alias("second"), "rest", "word").where("near <> second")
+        two = written(two.select(F.xxhash64(F.least("near", "second"), F.greatest("near", "second"), "rest").alias("context"), "rest", "word").distinct())
+        two = written(two.join(told(two, "context"), "context"))
+        narrow = two.join(two.groupBy("context").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= FILLERS).select("context"), "context")
+        both = cut(mutual(pairs_filling(found.unionByName(narrow))))
+        for contexts in (found.unionByName(two), one):
+            more = mutual(pairs_filling_any(contexts))
+            for side in ("a", "b"):
+                more = more.join(both.select(F.col("a").alias(side)), side, "left_anti")
+            both = cut(both.unionByName(more.select("a", "b")))
     named = rows.select(F.explode("words").alias("text")).distinct().select("text", F.xxhash64("text").alias("h"))
     both = both.join(named.select(F.col("h").alias("a"), F.col("text").alias("word")), "a").join(named.select(F.col("h").alias("b"), F.col("text").alias("rep")), "b")
     return both.where("rep < word").select("word", "rep")

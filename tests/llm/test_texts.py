@@ -141,6 +141,27 @@ def test_wide_gaps_are_narrowed(spark):
     assert [tuple(r) for r in mixture.thesaurus(mixture.concepts(frame)).collect()] == [("slow", "gradual")]
 
 
+@pytest.mark.parametrize("beside", [["frequent concept", "second frequent concept"], ["frequent concept"]])
+def test_gaps_that_stay_wide_count(spark, beside):
+    """What no second concept narrows is judged with all the words that fill the gap, be there a second concept or not."""
+    out = [[*beside, f"{w} repair of site{i}"] for i in range(8) for w in ("slow", "gradual", *(f"q{i}x{k}" for k in range(30)))]
+    out += [[*beside, f"{w} loss of part{i}"] for i in range(9) for w in ("late", "early", "soon", "after", *(f"r{i}x{k}" for k in range(9)))]
+    frame = spark.createDataFrame([(i, "d", f"n{i}", "m", "e", "h", None, 1, json.dumps([{"concept": c} for c in cs])) for i, cs in enumerate(out)], THEORY)
+    assert [tuple(r) for r in mixture.thesaurus(mixture.concepts(frame)).collect()] == [("slow", "gradual")]
+
+
+def test_wide_gaps_take_no_pair_away(spark):
+    """Words that narrow contexts have paired stay paired whatever wide contexts say; pairs of either way of counting are the same."""
+    out = [[f"own {i} thing", f"{w} repair of site{i}"] for i in range(8) for w in ("slow", "gradual")]
+    out += [["frequent concept", f"{w} repair of part{i}"] for i in range(9) for w in ("slow", "gradual", "late", "early", "soon", "big", "small", "thin")]
+    frame = spark.createDataFrame([(i, "d", f"n{i}", "m", "e", "h", None, 1, json.dumps([{"concept": c} for c in cs])) for i, cs in enumerate(out)], THEORY)
+    assert [tuple(r) for r in mixture.thesaurus(mixture.concepts(frame)).collect()] == [("slow", "gradual")]
+    rng = random.Random(1)
+    told = {(c, c % 12, rng.randrange(9)) for c in range(300) for _ in range(rng.randrange(1, 9))}
+    contexts = spark.createDataFrame(sorted(told), "context bigint, rest bigint, word bigint")
+    assert rows(mixture.pairs_filling(contexts)) == rows(mixture.pairs_filling_any(contexts)) != []
+
+
 def test_members_and_links(mixed):
     frame, truth = mixed
     got = mixture.members(frame).collect()
